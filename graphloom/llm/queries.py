@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, exact, sharding
+from graphloom.llm import decontam, exact, minhash, secrets, sharding, toxicity
 
 SHARD_BYTES = 32 << 20
 
@@ -16,6 +16,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near copies, on two-word shingles at similarity 0.8."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+places AS (
+  SELECT doc_id, len(w) AS k, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS l
+  FROM (SELECT doc_id, w, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d)),
+s AS (SELECT DISTINCT doc_id, array_to_string(l, ' ') AS g FROM places WHERE len(l) = 2 OR k = 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (
+  SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s AS a JOIN s AS b USING (g)
+                    WHERE a.doc_id < b.doc_id GROUP BY 1, 2)
+  JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * i >= 80 * (nx.n + ny.n - i)),
+sym AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.y FROM reach AS r JOIN sym AS l ON l.x = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity, by a model of the labels that are not held out."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one of its group of equal texts that stays."""
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
@@ -56,6 +88,11 @@ FROM d JOIN leaf ON leaf.p = d.h >> (60 - leaf.depth)
 """
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the secrets found in it."""
+    return secrets.secret_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words and items of the benchmark that it holds."""
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -73,14 +110,15 @@ b AS (
     lambda x: x <> '') AS w
   FROM benchmark),
 bw AS (
-  SELECT DISTINCT item_id, least(len(w), 13) AS n, unnest(list_transform(range(0, greatest(len(w) - 12, 1)),
-    lambda i: array_to_string(w[i + 1:i + least(len(w), 13)], ' '))) AS g
-  FROM b WHERE len(w) > 0),
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i + 1:i + least(len(w), 13)], ' ') AS g
+  FROM (SELECT *, unnest(range(0, greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0)),
+places AS (
+  SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS l
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d)),
 dw AS (
-  SELECT doc_id, n, unnest(list_transform(range(0, len(w) - n + 1),
-    lambda i: {'i': i, 'g': array_to_string(w[i + 1:i + n], ' ')})) AS x
-  FROM d, (SELECT DISTINCT n FROM bw) AS lengths),
-hits AS (SELECT doc_id, dw.x.i AS i, dw.n AS n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.x.g = bw.g),
+  SELECT doc_id, i, n, array_to_string(l[1:n], ' ') AS g
+  FROM places, (SELECT DISTINCT n FROM bw) AS lengths WHERE len(l) >= n),
+hits AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, g)),
 covered AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit
   FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY 1),
@@ -94,12 +132,16 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_sharding": op7_sharding,
+    "op8_secret_scan": op8_secret_scan,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op7_sharding": op7_sql(),
     "op10_decontamination": OP10_SQL,
