@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, exact, minhash, secrets, sharding, toxicity
+from graphloom.llm import decontam, exact, minhash, packing, secrets, sharding, toxicity
 
 SHARD_BYTES = 32 << 20
 
@@ -63,6 +63,11 @@ SELECT doc_id, k AS keep_id, c AS group_size, doc_id = k AS kept, h AS text_sha2
 """
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.public_tokenizer())
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shard of at most SHARD_BYTES bytes of text."""
     return sharding.shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
@@ -135,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
     "op8_secret_scan": op8_secret_scan,
     "op10_decontamination": op10_decontamination,
@@ -143,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_minhash_dedup": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op6_packing": op6_packing,
     "op7_sharding": op7_sql(),
     "op10_decontamination": OP10_SQL,
 }
