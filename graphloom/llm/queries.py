@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, exact, minhash, packing, secrets, sharding, toxicity
+from graphloom.llm import decontam, exact, minhash, packing, secrets, sharding, substrings, toxicity
 
 SHARD_BYTES = 32 << 20
 
@@ -98,6 +98,33 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that repeat a window of 13 words of an earlier document."""
+    return substrings.substring_duplicates(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+windows AS (
+  SELECT doc_id, i, array_to_string(l, ' ') AS g FROM (
+    SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS l
+    FROM words) WHERE len(l) = 13),
+firsts AS (SELECT g, min(doc_id) AS f FROM windows GROUP BY g),
+gone AS (
+  SELECT DISTINCT doc_id, i FROM (
+    SELECT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (g) WHERE doc_id > f)),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words and items of the benchmark that it holds."""
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -143,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
     "op8_secret_scan": op8_secret_scan,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
 }
 
@@ -151,5 +179,6 @@ ORACLES: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sql(),
+    "op9_substring_dedup": OP9_SQL,
     "op10_decontamination": OP10_SQL,
 }
