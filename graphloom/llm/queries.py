@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, exact, minhash, packing, secrets, sharding, substrings, toxicity
+from graphloom.llm import decontam, exact, licenses, minhash, packing, rollup, secrets, sharding, substrings, toxicity
+from graphloom.llm.common import SPACE_CLASS, shared_dir
 
 SHARD_BYTES = 32 << 20
 
@@ -63,6 +65,51 @@ SELECT doc_id, k AS keep_id, c AS group_size, doc_id = k AS kept, h AS text_sha2
 """
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the license notices found in it, their spans and coverage."""
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
+#: Signs that a revised count leaves out.
+MARKS = "[#$%&*|]+"
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after four batches over all documents, one of them sent twice.
+
+    First every document is counted by words; then by letters and digits too. Then documents with marks are
+    counted anew without them, and documents of fewer than 200 characters are deleted.
+    """
+
+    def words(text):
+        return F.size(F.filter(F.split(text, f"{SPACE_CLASS}+"), lambda w: w != ""))
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.col("text")
+    book = rollup.TokenRollup(spark, f"{shared_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}")
+    book.commit("1-words", rollup.count_changes(docs, {"words-1": words(text)}))
+    alnum = rollup.count_changes(docs, {"alnum-1": F.regexp_count(text, F.lit("[A-Za-z0-9]+"))})
+    book.commit("2-alnum", alnum)
+    book.commit("2-alnum", alnum)
+    marked = docs.where(text.rlike(MARKS))
+    book.commit("3-marks", rollup.count_changes(marked, {"words-1": words(F.regexp_replace(text, MARKS, " "))}))
+    short = docs.where(F.char_length(text) < 200)
+    book.commit("4-short", rollup.delete_changes(short, ["words-1", "alnum-1"]))
+    return book.totals()
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT source, lang, coalesce(text, '') AS t FROM documents WHERE length(coalesce(text, '')) >= 200)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS docs, CAST(sum(len(list_filter(string_split_regex(
+    regexp_replace(t, '[#$%&*|]+', ' ', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS BIGINT) AS tokens
+FROM d GROUP BY 1, 2
+UNION ALL
+SELECT source, lang, 'alnum-1', count(*), CAST(sum(len(regexp_extract_all(t, '[A-Za-z0-9]+'))) AS BIGINT)
+FROM d GROUP BY 1, 2
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), packing.public_tokenizer())
@@ -167,6 +214,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_license_scan": op4_license_scan,
+    "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
     "op8_secret_scan": op8_secret_scan,
@@ -177,7 +226,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_minhash_dedup": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
-    "op6_packing": op6_packing,
+    "op5_token_counts": OP5_SQL,
     "op7_sharding": op7_sql(),
     "op9_substring_dedup": OP9_SQL,
     "op10_decontamination": OP10_SQL,
