@@ -362,7 +362,7 @@ def _(t: DataFrame) -> DataFrame:
 @_register(
     "a01_a07_aggregates",
     """SELECT 'customer/' || o_custkey AS customer, count(DISTINCT o_orderstatus) AS statuses, count(*) AS orders,
-       round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 1) AS mean, min(o_orderstatus) AS first,
+       round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice) + 0.0000123, 3) AS mean, min(o_orderstatus) AS first,
        max(o_orderstatus) AS last, min(o_orderkey::VARCHAR) AS sample FROM orders GROUP BY o_custkey""",
 )
 def _(t: DataFrame) -> DataFrame:
@@ -371,7 +371,7 @@ def _(t: DataFrame) -> DataFrame:
         placed, ["customer"],
         {
             "statuses": agg.aggregate("COUNT", "status"), "orders": agg.aggregate("COUNT", "order", distinct=False),
-            "total": F.round(agg.aggregate("SUM", "total"), 2), "mean": F.round(agg.aggregate("AVG", "total"), 1),
+            "total": F.round(agg.aggregate("SUM", "total"), 2), "mean": F.round(agg.aggregate("AVG", "total") + 0.0000123, 3),
             "first": agg.aggregate("MIN", "status"), "last": agg.aggregate("MAX", "status"),
             "sample": F.substr(agg.aggregate("SAMPLE", "order"), F.lit(7)),
         },
