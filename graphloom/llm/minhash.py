@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
@@ -102,11 +103,14 @@ def _tables(classes: DataFrame) -> DataFrame:
     return _shared(a.join(b, "rep").select(F.xxhash64("a", "b").alias("key"), "rep", "n"), "key").select("key", "rep", "n")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, similar: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. texts: (id, text) of the classes' first documents."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    found = texts.join(need, "id", "left_semi").mapInArrow(lambda it: _sets(it, k), "id long, items array<long>")
-    sets = written(found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")))
+def _full_sets(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, items): the shingle sets of the given ids; rows that share an id put theirs together."""
+    found = texts.join(ids, "id", "left_semi").mapInArrow(lambda it: _sets(it, k), "id long, items array<long>")
+    return written(found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b"
     )
@@ -118,6 +122,33 @@ def _sizes_agree(n: str, m: str, similar: int):
     return (100 * F.col(n) >= similar * F.col(m)) & (100 * F.col(m) >= similar * F.col(n))
 
 
+def _across(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of members(id, part) of different parts that can be similar enough.
+
+    Two sets of x and y items need an overlap of t / (1 + t) * (x + y), so their rarest x - overlap + 1 and
+    y - overlap + 1 items have one in common. Items are ranked by how many members have them; sizes are met by
+    bands, since the overlap depends on both. What a family of texts shares ranks last, beyond that many
+    items, so texts with much in common, but less than asked for, do not meet. Items of one part only make no
+    pair across parts.
+    """
+    t, band = similar / 100, math.log(1.1)
+    reach = math.ceil(-math.log(t) / band)
+    items = sets.join(members, "id").select("id", "part", F.size("items").alias("n"), F.explode("items").alias("item"))
+    known = items.groupBy("item").agg(F.count("*").alias("f"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "item"))
+    rare = items.join(known, "item").withColumn("rank", rank).where("lo < hi").withColumn("band", F.floor(F.log("n") / band))
+    partners = F.sequence(F.col("band") - reach, F.col("band") + reach)
+    least = F.greatest(F.floor(F.exp(F.col("other") * band) - 1e-6), F.ceil(F.lit(t) * F.col("n") - 1e-6))
+    overlap = F.ceil(F.lit(t / (1 + t)) * (F.col("n") + least) - 1e-6)
+    keyed = rare.withColumn("other", F.explode(partners)).where(F.col("rank") <= F.col("n") - overlap + 1)
+    left = keyed.select("item", "band", "other", F.col("id").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
+    right = keyed.select(
+        "item", F.col("other").alias("band"), F.col("band").alias("other"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb")
+    )
+    met = left.join(right, ["item", "band", "other"])
+    return met.where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _sizes_agree("na", "nb", similar)).select("b", "a").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -132,9 +163,10 @@ def near_duplicates(
     id reachable over links, and the document with that id is kept.
 
     Steps: documents of equal sets form a class. Tensored banding gives table keys; every class is compared
-    with the first class of each of its tables, and links are confirmed on full sets. Then the tables that
-    still hold more than one component are gone through pair by pair across components, so a large group of
-    near copies costs a comparison for each member and table, and no link between candidates is left out.
+    with the first class of each of its tables, and links are confirmed on full sets, so a large group of near
+    copies costs a few comparisons for each member. Then classes in tables that still hold more than one
+    component meet those of other components over their rarest shingles, which leaves out no link, and are
+    confirmed likewise.
 
     Nulls and texts without words have the empty set and link with nothing. Rows with a null id belong to the
     component of their text, and are kept only where no row of the same set has an id. Rows with the same id
@@ -161,25 +193,17 @@ def near_duplicates(
         .distinct()
     )
     spokes = written(spokes)
-    links = written(_confirmed(spokes, texts, shingle_words, similar))
+    sets = _full_sets(texts, tables.select(F.col("rep").alias("id")).distinct(), shingle_words)
+    links = written(_confirmed(spokes, sets, similar))
     parts = components(links)
 
-    # Tables whose classes are not all in one component yet.
+    # Members of tables whose classes are not all in one component yet.
     labelled = tables.join(parts, F.col("rep") == F.col("node"), "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("part")
+        "key", F.col("rep").alias("id"), F.coalesce("component", "rep").alias("part")
     )
     mixed = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    open_ = labelled.join(mixed, "key")
-    left = open_.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    right = open_.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    across = (
-        left.join(right, "key")
-        .where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _sizes_agree("na", "nb", similar))
-        .select("b", "a")
-        .distinct()
-        .join(spokes, ["b", "a"], "left_anti")
-    )
-    more = written(_confirmed(written(across), texts, shingle_words, similar))
+    members = written(labelled.join(mixed, "key").select("id", "part").distinct())
+    more = written(_confirmed(_across(members, sets, similar).join(spokes, ["b", "a"], "left_anti"), sets, similar))
     if not more.isEmpty():
         parts = components(links.unionByName(more))
 
