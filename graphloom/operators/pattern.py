@@ -119,7 +119,7 @@ def values(solutions: DataFrame, var: str, wanted: Iterable) -> DataFrame:
     if len(wanted) <= INLINE_VALUES:
         return solutions.where(F.col(var).isin(wanted)) if wanted else solutions.where(F.lit(False))
     table = solutions.sparkSession.createDataFrame([(w,) for w in wanted], [var])
-    return solutions.join(table, var, "left_semi")
+    return solutions.join(table, var, "left_semi").select(*solutions.columns)
 
 
 def all_of(solutions: DataFrame, *conditions: Column) -> DataFrame:

@@ -73,7 +73,7 @@ def read_query_corpus(spark: SparkSession, path: str) -> DataFrame:
     def header(key: str) -> Column:
         return F.nullif(F.btrim(F.regexp_extract("value", rf"(?im)^\s*#\s*{key}\s*:[ \t]*(.*)$", 1), F.lit(' "\t\r')), F.lit(""))
 
-    query = F.trim(F.regexp_extract("value", r"(?im)(?:^\s*#\s*query\s*:?[^\n]*\n)((?:(?!^\s*#\s*workflow)[\s\S])*)", 1))
+    query = F.btrim(F.regexp_extract("value", r"(?im)(?:^\s*#\s*query\s*:?[^\n]*\n)((?:(?!^\s*#\s*workflow)[\s\S])*)", 1), F.lit(" \t\r\n"))
     steps = F.regexp_extract("value", r"(?im)^\s*#\s*workflow[^\n]*\n([\s\S]*)", 1)
     workflow = F.filter(F.transform(F.split(steps, r"\r?\n"), F.trim), lambda s: s != "")
     return files.select(
