@@ -126,8 +126,12 @@ def shards(
 def write_shards(
     docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
-    """Writes the rows of docs as Parquet, one folder shard_id=<bits> each, by shards(). Rows with a null id are kept."""
-    places = shards(docs, limit, id_col, text_col).select(F.col(id_col).alias("__id"), "shard_id").distinct()
+    """Writes the rows of docs as Parquet, one folder shard_id=b<bits> for each of shards().
+
+    The b keeps readers from taking the bits for a number. Rows with a null id are kept. Each shard is one task's.
+    """
+    bits = F.concat(F.lit("b"), "shard_id").alias("shard_id")
+    places = shards(docs, limit, id_col, text_col).select(F.col(id_col).alias("__id"), bits).distinct()
     docs.join(places, docs[id_col].eqNullSafe(places["__id"])).drop("__id").repartition("shard_id").write.partitionBy(
         "shard_id"
     ).parquet(path)
