@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import aggregate as agg
@@ -117,7 +117,11 @@ def _matched(triples: DataFrame, pattern: Triple) -> DataFrame:
 
 
 def _joined(query: DataFrame, triples: DataFrame, patterns: Sequence[Triple]) -> DataFrame:
-    """query with the patterns that it has not already got: those whose variables are not all columns of it."""
+    """query with the patterns that bring a new variable or compare with a constant.
+
+    In a spec a pair of variables stands for one pattern, so a pattern between two columns that are there already
+    has been joined by an earlier step (the core or another filter), and is not joined again.
+    """
     todo = [p for p in patterns if not {v[1:] for v in (p[0], p[2]) if v.startswith("?")} <= {*query.columns} or not p[2].startswith("?")]
     while todo:
         ready = next((p for p in todo if any(v[1:] in query.columns for v in (p[0], p[2]))), None)
@@ -268,11 +272,3 @@ def ensure_not_empty(query: DataFrame) -> DataFrame:
     if not query.limit(1).count():
         raise ValueError("the query has no results")
     return query
-
-
-def condition(*columns: Column) -> Column:
-    """All conditions as one."""
-    out = F.lit(True)
-    for c in columns:
-        out = out & c
-    return out
