@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +17,8 @@ END_ID = 1
 #: Rows of one remaining length that are numbered in one group; more are split by a hash.
 GROUP_ROWS = 20_000
 _MEMO = 600_000
+#: Makes a function from text to its ids as little-endian four-byte numbers.
+Tokenizer = Callable[[], Callable[[str], bytes]]
 
 
 class WordTokenizer:
@@ -29,7 +29,7 @@ class WordTokenizer:
     go to the tokenizer itself, and so do words with the text of a special token.
     """
 
-    #: The file's own pattern for pieces, and characters that need no normal form but lower case.
+    #: The file's own pattern for pieces, and characters whose normal form is their lower case, alone and together.
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     PLAIN = re.compile(r"[\x21-\x7E\xA1-\xAC\xAE-įĲ-ž]+")
     WORD_END = "</w>"
@@ -37,9 +37,9 @@ class WordTokenizer:
     def __init__(self, path: str):
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
+        import tokenizers
 
-        self.whole = Tokenizer.from_file(path)
+        self.whole = tokenizers.Tokenizer.from_file(path)
         self.pieces = regex.compile(self.PIECES).findall
         self.specials = [str(t.content) for t in self.whole.get_added_tokens_decoder().values()]
         to_byte = _byte_of_char()
@@ -51,28 +51,44 @@ class WordTokenizer:
         # 0xFF, which UTF-8 never has, stands for the end of a word.
         ranks.setdefault(b"\xff", max(ranks.values()) + 1)
         self.merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.memo: dict[bytes, list[int]] = {}
+        self.words, self.parts = _Memo(self._word), _Memo(self._part)
 
-    def word(self, word: bytes) -> list[int]:
+    def _part(self, part: bytes) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in self.merge(part + b"\xff")])
+
+    def _word(self, word: bytes) -> bytes:
+        parts = self.parts
         if word.isalpha():  # ASCII letters
-            return self.merge(word.lower() + b"\xff")
+            return parts[word.lower()]
         if word[-1:] in b".," and word[:-1].isalpha():
-            return self.merge(word[:-1].lower() + b"\xff") + self.merge(word[-1:] + b"\xff")
+            return parts[word[:-1].lower()] + parts[word[-1:]]
         text = word.decode(errors="replace")
         if self.PLAIN.fullmatch(text) and not any(s in text for s in self.specials):
-            return [i for piece in self.pieces(unicodedata.normalize("NFC", text).lower()) for i in self.merge(piece.encode() + b"\xff")]
-        return self.whole.encode(text, add_special_tokens=False).ids
+            low = text.lower()
+            if low.isalpha():
+                return parts[low.encode()]
+            if low[-1] in ".," and low[:-1].isalpha():
+                return parts[low[:-1].encode()] + parts[low[-1:].encode()]
+            return b"".join([parts[p.encode()] for p in self.pieces(low)])
+        return b"".join([i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids])
+
+    def __call__(self, text: str) -> bytes:
+        """The text's ids, each as four bytes, lowest first."""
+        return b"".join(map(self.words.__getitem__, text.encode(errors="replace").split()))
+
+
+class _Memo(dict):
+    """What a function gives for a word, kept for the first _MEMO words."""
+
+    def __init__(self, function: Callable[[bytes], bytes]):
+        super().__init__()
+        self.function = function
 
-    def __call__(self, text: str) -> np.ndarray:
-        memo, out = self.memo, []
-        for word in text.encode(errors="replace").split():
-            ids = memo.get(word)
-            if ids is None:
-                ids = self.word(word)
-                if len(memo) < _MEMO:
-                    memo[word] = ids
-            out += ids
-        return np.array(out, np.uint32)
+    def __missing__(self, word: bytes) -> bytes:
+        value = self.function(word)
+        if len(self) < _MEMO:
+            self[word] = value
+        return value
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -82,25 +98,23 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def _pieces(tokenizer: Callable[[], Callable[[str], np.ndarray]], capacity: int, end_id: int | None):
+def _pieces(tokenizer: Tokenizer, capacity: int, end_id: int | None):
     """Batches of (id, text) to the pieces of each document: full ones of `capacity`, and what remains."""
+    end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize = tokenizer()
         for batch in batches:
             rows, start, length, crc, total = [], [], [], [], []
             for row, text in enumerate(batch["text"].to_pylist()):
-                ids = tokenize(text)
-                if end_id is not None:
-                    ids = np.append(ids, np.uint32(end_id))
-                ids = ids.astype("<u4")
-                for at in range(0, len(ids), capacity):
-                    part = ids[at : at + capacity]
+                ids = tokenize(text) + end
+                for at in range(0, len(ids), 4 * capacity):
+                    part = ids[at : at + 4 * capacity]
                     rows.append(row)
-                    start.append(at)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-                    total.append(len(ids))
+                    start.append(at // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    total.append(len(ids) // 4)
             numbers = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
             yield pa.RecordBatch.from_arrays(
                 [batch["id"].take(pa.array(rows, pa.int32())), *numbers], ["id", "start", "length", "ids_crc32", "doc_tokens"]
@@ -151,7 +165,7 @@ def fill_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
 
 def pack(
     docs: DataFrame,
-    tokenizer: Callable[[], Callable[[str], np.ndarray]],
+    tokenizer: Tokenizer,
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = CAPACITY,
@@ -160,7 +174,7 @@ def pack(
 ) -> DataFrame:
     """One row for each piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
-    tokenizer: makes, in the worker, a function from text to ids. Every document's ids, with `end_id` behind,
+    tokenizer: makes, in the worker, a function from text to ids as little-endian four-byte numbers. Every document's ids, with `end_id` behind,
     are cut into pieces of `capacity`, which are sequences of their own, and a remainder. The driver gets the
     number of remainders of each length (at most `capacity` numbers, however many rows) and plans the bins; a
     remainder finds its place by its rank among those of its length. Lengths of many rows are ranked in groups
