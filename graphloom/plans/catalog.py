@@ -48,6 +48,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The whole view for SQL: class, table, subject, label, and the column of each predicate (triples need one that is not null).
+_CLASSES = (
+    ("Order", "orders", "'order/' || o_orderkey", None,
+     (("rdf:type", "*"), ("placedBy", "o_custkey"), ("date", "o_orderdate"), ("total", "o_totalprice"), ("status", "o_orderstatus"), ("priority", "o_orderpriority"))),
+    ("Customer", "customer", "'customer/' || c_custkey", "c_name",
+     (("rdf:type", "*"), ("rdfs:label", "c_name"), ("inNation", "c_nationkey"), ("segment", "c_mktsegment"), ("balance", "c_acctbal"))),
+    ("Supplier", "supplier", "'supplier/' || s_suppkey", "s_name",
+     (("rdf:type", "*"), ("rdfs:label", "s_name"), ("inNation", "s_nationkey"), ("balance", "s_acctbal"))),
+    ("Nation", "nation", "'nation/' || n_nationkey", "n_name",
+     (("rdf:type", "*"), ("rdfs:label", "n_name"), ("skos:broader", "n_regionkey"), ("linkedTo", "n_nationkey"))),
+    ("Region", "region", "'region/' || r_regionkey", "r_name", (("rdf:type", "*"), ("rdfs:label", "r_name"), ("skos:broader", "*"))),
+    ("Part", "part", "'part/' || p_partkey", "p_name",
+     (("rdf:type", "*"), ("rdfs:label", "p_name"), ("brand", "p_brand"), ("partType", "p_type"), ("size", "p_size"), ("price", "p_retailprice"))),
+    ("Line", "lineitem", "'line'", None,
+     (("rdf:type", "*"), ("ofOrder", "l_orderkey"), ("ofPart", "l_partkey"), ("bySupplier", "l_suppkey"), ("quantity", "l_quantity"), ("shipDate", "l_shipdate"))),
+    ("Document", "documents", "'document/' || doc_id", None, (("rdf:type", "*"), ("lang", "lang"), ("source", "source"), ("text", "text"))),
+)
+
 # Kinds of entity over the driver's tables.
 CUSTOMER = plans.Entity(
     "customer", "name",
@@ -108,6 +126,18 @@ def _(t: DataFrame) -> DataFrame:
     return pt.match(t, "customer/7", "?property", "?value").where("property != 'balance'")
 
 
+@_register(
+    "p06_all_properties",
+    """SELECT 'inNation' AS property, 'nation/' || c_nationkey AS value FROM customer WHERE c_custkey = 7
+       UNION ALL SELECT 'rdf:type', 'Customer' FROM customer WHERE c_custkey = 7
+       UNION ALL SELECT 'rdfs:label', c_name FROM customer WHERE c_custkey = 7
+       UNION ALL SELECT 'segment', 'segment/' || c_mktsegment FROM customer WHERE c_custkey = 7
+       UNION ALL SELECT 'balance', c_acctbal::DOUBLE::VARCHAR FROM customer WHERE c_custkey = 7""",
+)
+def _(t: DataFrame) -> DataFrame:
+    return pt.match(t, "customer/7", "?property", "?value")
+
+
 @_register(
     "p07_sequence_path",
     """SELECT 'customer/' || c_custkey AS customer, 'region/' || n_regionkey AS region FROM customer
@@ -425,6 +455,16 @@ def _(t: DataFrame) -> DataFrame:
     return agg.joined_types(t.where(F.col("p") == pt.TYPE).where("o IN ('Region', 'Nation')"))
 
 
+@_register(
+    "a16_all_types",
+    " UNION ALL ".join(f"SELECT {s} AS s, '{c}' AS types FROM {table}" for c, table, s, _, _ in _CLASSES),
+)
+def _(t: DataFrame) -> DataFrame:
+    # Ids of lines depend on the files' layout, so the result shows none.
+    line = F.when(F.col("types") == "Line", "line").otherwise(F.col("s"))
+    return agg.joined_types(t).select(line.alias("s"), "types")
+
+
 @_register(
     "a17_best_label",
     """SELECT source, substr(min(CASE WHEN lang = 'en' THEN '1' WHEN lang = '' THEN '2' ELSE '3' END || text), 2) AS text
@@ -454,6 +494,16 @@ def _(t: DataFrame) -> DataFrame:
     return agg.predicate_counts(t.where(F.col("p").isin("placedBy", "inNation", "brand", "skos:broader")))
 
 
+@_register(
+    "a18_all_predicates",
+    "SELECT edge, sum(n)::BIGINT AS count FROM ("
+    + " UNION ALL ".join(f"SELECT '{edge}' AS edge, count({column}) AS n FROM {table}" for _, table, _, _, of in _CLASSES for edge, column in of)
+    + ") GROUP BY edge HAVING sum(n) > 0",
+)
+def _(t: DataFrame) -> DataFrame:
+    return agg.predicate_counts(t)
+
+
 @_register(
     "a19_class_counts",
     " UNION ALL ".join(
@@ -656,6 +706,14 @@ def _(t: DataFrame) -> DataFrame:
     return en.labels_of(t, wanted)
 
 
+@_register(
+    "e04_all_labels",
+    " UNION ALL ".join(f"SELECT {s} AS s, {label} AS label FROM {table} WHERE {label} IS NOT NULL" for _, table, s, label, _ in _CLASSES if label),
+)
+def _(t: DataFrame) -> DataFrame:
+    return en.labels_of(t)
+
+
 @_register(
     "e05_resolve",
     """SELECT n_name AS name, 'nation/' || n_nationkey AS entity, n_name AS label, 1.0 AS score FROM nation

@@ -29,3 +29,15 @@ def test_query_matches_sql(spark, name):
     names = sorted(got.columns)
     want = db.sql(f"SELECT {', '.join(f'{chr(34)}{n}{chr(34)}' for n in names)} FROM ({catalog.ORACLES[name]})").fetchall()
     assert _plain(got.select(*names).collect()) == _plain(want)
+
+
+WHOLE = ("p06_all_properties", "a16_all_types", "a18_all_predicates", "e04_all_labels")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+@pytest.mark.parametrize("name", WHOLE)
+def test_query_over_the_whole_view_matches_sql(spark, name):
+    test_query_matches_sql(spark, name)
+    if name == "a18_all_predicates":
+        rows = {r.edge: r["count"] for r in catalog.QUERIES[name](spark, str(DATA)).collect()}
+        assert len(rows) == 24 and rows["ofOrder"] == spark.read.parquet(str(DATA / "lineitem.parquet")).count()
