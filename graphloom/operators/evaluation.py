@@ -12,8 +12,6 @@ EXPLORATORY = ("find_candidate_entities", "get_entity_properties", "get_usage_gu
 DRY_RUN = "Dry Run"
 #: Most hops of easy and of medium queries.
 EASY_HOPS, MEDIUM_HOPS = 5, 13
-#: Rounds in which nested parentheses are taken away, from the inside.
-NESTING = 12
 
 
 def uri_columns(cells: DataFrame) -> DataFrame:
@@ -193,19 +191,41 @@ def latency_seconds(start: str = "start_time", end: str = "end_time") -> Column:
     return (F.unix_micros(F.col(end)) - F.unix_micros(F.col(start))) / 1e6
 
 
+def _outside_pairs(body: Column) -> Column:
+    """Signs that stand in no pair of matching parentheses, however deep; a parenthesis without its partner hides nothing.
+
+    No ( before a lone ) stays open and no ) after a lone ( does, so a sign is outside if nothing is open before it,
+    read forwards, or if it follows the first lone ( and nothing is open behind it, read backwards.
+    """
+    signs = F.regexp_extract_all(body, F.lit("([()./;,])"), 1)
+
+    def fold(read: Column, opening: str, closing: str) -> Column:
+        # free: signs at depth 0; beyond: those of them met before the last lone closing sign.
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("free"), F.lit(0).alias("beyond"))
+
+        def step(acc: Column, sign: Column) -> Column:
+            lone = (sign == closing) & (acc["depth"] == 0)
+            depth = F.when(sign == opening, acc["depth"] + 1).when(sign == closing, F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
+            free = acc["free"] + F.when(~sign.isin(opening, closing) & (acc["depth"] == 0), 1).otherwise(0)
+            return F.struct(depth.alias("depth"), free.alias("free"), F.when(lone, acc["free"]).otherwise(acc["beyond"]).alias("beyond"))
+
+        return F.aggregate(read, start, step)
+
+    both = fold(signs, "(", ")")["free"] + fold(F.reverse(signs), ")", "(")["beyond"]
+    return F.when(body.contains("("), both).otherwise(F.regexp_count(body, F.lit("[./;,]")))
+
+
 def count_hops(query: Column) -> Column:
     """Signs that join triples (. ; ,) and path steps (/) in the outer braces of a query.
 
-    Comment lines, texts, URIs and what stands in parentheses (up to NESTING deep) do not count.
+    Comment lines, texts, URIs and what stands in parentheses do not count.
     """
     bare = F.regexp_replace(query, r"(?m)^#.*\n?", "")
     braced = F.regexp_extract(bare, r"^[^{]*\{([\s\S]*)\}[^}]*$", 1)
     body = F.when(bare.rlike(r"^[^{]*\{[\s\S]*\}[^}]*$"), braced).otherwise(bare)
     body = F.regexp_replace(body, r'"[^"\\]*(?:\\[^\n][^"\\]*)*"', " ")
     body = F.regexp_replace(body, r"<[^>]*>", " ")
-    for _ in range(NESTING):
-        body = F.regexp_replace(body, r"\([^()]*\)", " ")
-    return F.regexp_count(body, F.lit("[./;,]"))
+    return _outside_pairs(body)
 
 
 def query_difficulty(query: Column, given: Column) -> Column:

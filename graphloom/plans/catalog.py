@@ -1031,6 +1031,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.split_counts(docs.select(F.struct("lang", ev.query_difficulty(bare, F.lit("")).alias("split")).alias("k")), "k").select("k.*", "count")
 
 
+# No SQL: it cannot match parentheses.
+@_register_tables("v18_v20_all_documents", None)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = F.translate(F.coalesce("text", F.lit("")), "{}", "  ")
+    docs = _table(spark, sf_dir, "documents")
+    return ev.split_counts(docs.select(F.struct("lang", ev.query_difficulty(bare, F.lit("")).alias("split")).alias("k")), "k").select("k.*", "count")
+
+
 @_register_tables(
     "v21_select_examples",
     "SELECT 'doc' || doc_id AS file_path FROM documents WHERE source IN ('src1', 'src2') AND lang IN ('en', 'de') ORDER BY 1 OFFSET 5",

@@ -1,12 +1,17 @@
 """Schema graphs, run metrics and sources on hand-made rows."""
 
 import json
+import random
+import re
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import evaluation as ev
 from graphloom.operators import schema as sc
+from graphloom.plans import catalog
 from graphloom.sources import readers
 
 
@@ -96,6 +101,38 @@ def test_hops_and_difficulty(spark):
     assert [tuple(r) for r in d.select(ev.count_hops(F.col("q")), ev.query_difficulty(F.col("q"), F.col("s"))).collect()] == [(3, "easy"), (3, "impossible"), (1, "hard"), (6, "medium"), (1, "easy")]
 
 
+def plain_hops(body):
+    """Hops of a text without braces: pairs of parentheses are taken away until none is left."""
+    body = re.sub(r"(?m)^#.*\n?", "", body)
+    body = re.sub(r"<[^>]*>", " ", re.sub(r'"[^"\\]*(?:\\[^\n][^"\\]*)*"', " ", body))
+    before = None
+    while before != body:
+        before, body = body, re.sub(r"\([^()]*\)", " ", body)
+    return len(re.findall("[./;,]", body))
+
+
+def test_hops_outside_parentheses_at_any_depth(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("()()()./;,a ", k=rng.randint(0, 40))) for _ in range(400)]
+    texts += [". " + "(" * 40 + " . ; " + ", )" * 40 + " /", "(" * 500 + ".", "." + ")" * 500 + ".", "(.(.)", ")(.", "().)."]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, q string")
+    assert {r[0]: r[1] for r in d.select("i", ev.count_hops(F.col("q"))).collect()} == {i: plain_hops(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no tables")
+def test_difficulty_of_all_documents(spark):
+    data = "/root/testdata/sf0.01"
+    want = Counter()
+    for lang, text in spark.read.parquet(f"{data}/documents.parquet").select("lang", "text").collect():
+        text = (text or "").replace("{", " ").replace("}", " ")
+        n, special = plain_hops(text), re.search(r"\b(GROUP BY|COUNT|ORDER BY)\b", text.upper(), re.ASCII)
+        want[lang, "hard" if special or n > 13 else "medium" if n > 5 else "easy"] += 1
+    got = {(r.lang, r.split): r["count"] for r in catalog.QUERIES["v18_v20_all_documents"](spark, data).collect()}
+    assert got == want
+    old = catalog.QUERIES["v18_v20_query_difficulty"](spark, data)
+    assert old.agg(F.sum("count")).first()[0] < sum(got.values())
+
+
 def test_questions(spark):
     d = [{"messages": [{"content": "a"}, {"content": "b"}]}, {"input": "c"}, {"question": "d"}, {"inputs": {"query_input": "e"}}, {"z": 1}]
     got = spark.createDataFrame([(json.dumps(x),) for x in d], "i string").select(ev.question_text(F.col("i"))).collect()
