@@ -1,10 +1,12 @@
-"""License scanning: winnowed fingerprints pick candidates, banded alignment measures them."""
+"""License scanning: fingerprints pick candidates, local alignment measures them."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -43,8 +45,27 @@ TEMPLATES = {
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
-#: Words of a fingerprint, and fingerprints of which one is kept: any run of GRAM + WINNOW - 1 words is seen.
-GRAM, WINNOW = 3, 3
+#: More notices, of which many differ from one above in a few words; of both the one with more words matched is reported.
+TEMPLATES |= {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
+    "AGPL-3.0-header": TEMPLATES["GPL-3.0-header"].replace("GNU General", "GNU Affero General"),
+    "All-rights-reserved": "All rights reserved",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "EPL-2.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at"
+    ),
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "GPL-2.0-header": TEMPLATES["GPL-3.0-header"].replace("version 3", "version 2"),
+    "LGPL-2.1-header": TEMPLATES["GPL-3.0-header"].replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"),
+    "LGPL-3.0-header": TEMPLATES["GPL-3.0-header"].replace("GNU General", "GNU Lesser General"),
+}
+#: Whole texts, named by their files with "-text" added.
+TEMPLATES |= {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+#: Most words of a fingerprint.
+GRAM = 3
 BAND = 6
 MIN_COVERAGE = 0.8
 #: Most words of all templates together; the index goes to every task.
@@ -62,13 +83,13 @@ class Match(NamedTuple):
 
 
 class Index(NamedTuple):
-    templates: dict[str, list[str]]
-    grams: np.ndarray  # sorted
-    places: dict[int, list[tuple[str, int]]]
+    """Templates, and by length of a fingerprint all of them, sorted, each with its template and place."""
 
+    templates: list[tuple[str, list[str]]]
+    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-def _grams(words: list[str], memo: dict[str, int]) -> np.ndarray:
-    """Hash of each run of GRAM words."""
+
+def _hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
     hashes = []
     for word in words:
         h = memo.get(word)
@@ -77,82 +98,136 @@ def _grams(words: list[str], memo: dict[str, int]) -> np.ndarray:
             if len(memo) < _MEMO:
                 memo[word] = h
         hashes.append(h)
-    h = np.array(hashes, np.uint64)
-    out = np.zeros(max(0, len(h) - GRAM + 1), np.uint64)
-    for j in range(GRAM):
+    return np.array(hashes, np.uint64)
+
+
+def _grams(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of `size` words."""
+    out = np.zeros(max(0, len(h) - size + 1), np.uint64)
+    for j in range(size):
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(out)]
     return out
 
 
-def build_index(templates: dict[str, str]) -> Index:
-    """Winnowed fingerprints: of each WINNOW neighbouring ones the least (the last such) is kept."""
+def _spare(n: int, min_coverage: float) -> int:
+    """Words of n that a match may lack."""
+    return n - min(n, max(1, math.ceil(min_coverage * n)))
+
+
+def _gram_size(n: int, min_coverage: float) -> int:
+    """Words that stay together somewhere, whichever words of n a match lacks; GRAM at most."""
+    spare = _spare(n, min_coverage)
+    return max(1, min(GRAM, -(-(n - spare) // (spare + 1))))
+
+
+def _least_hits(n: int, min_coverage: float) -> int:
+    """Fingerprints that a match has at least: a word that is lacking breaks gram-size many."""
+    size = _gram_size(n, min_coverage)
+    return max(1, min(n // 10, n - size + 1 - size * _spare(n, min_coverage)))
+
+
+def build_index(templates: dict[str, str], min_coverage: float = MIN_COVERAGE) -> Index:
+    """Every fingerprint of every template."""
     words = {name: _WORD.findall(text.lower()) for name, text in templates.items()}
-    words = {name: w for name, w in words.items() if w}
-    if sum(map(len, words.values())) > INDEX_WORDS:
+    kept = [(name, w) for name, w in words.items() if len(w) >= GRAM]
+    if sum(len(w) for w in words.values()) > INDEX_WORDS:
         raise ValueError(f"the templates have over {INDEX_WORDS} words")
-    places: dict[int, list[tuple[str, int]]] = defaultdict(list)
-    for name, w in words.items():
-        grams = _grams(w, {}).tolist()
-        kept = set()
-        for at in range(max(1, len(grams) - WINNOW + 1)):
-            if near := grams[at : at + WINNOW]:
-                kept.add(max(i + at for i, g in enumerate(near) if g == min(near)))
-        for at in sorted(kept):
-            places[grams[at]].append((name, at))
-    return Index(words, np.array(sorted(places), np.uint64), dict(places))
-
-
-def align(template: list[str], words: list[str], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
+    entries: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+    for k, (_, w) in enumerate(kept):
+        size = _gram_size(len(w), min_coverage)
+        grams = _grams(_hashes(w, {}), size)
+        entries[size].append((grams, np.full(len(grams), k), np.arange(len(grams))))
+    index = {}
+    for size, parts in entries.items():
+        grams, owners, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.argsort(grams, kind="stable")
+        index[size] = (grams[by], owners[by], places[by])
+    return Index(kept, index)
+
+
+def align(template: list[str], words: list[str], diagonal: int = 0, band: int | None = BAND) -> tuple[int, int, int]:
     """(matched, first, last): words that the best local alignment matches, and the document's words it spans.
 
-    Only places within `band` of the diagonal (place in the document less place in the template) are tried.
-    Matches score 2, other words and gaps -1.
+    Only places within `band` of the diagonal (place in the document less place in the template) are tried; None
+    tries all. Matches score 2, other words and gaps -1.
     """
-    best = (0, 0, 0, 0)  # score, matched, first, last
-    row: dict[int, tuple[int, int, int]] = {}  # place in the document: score, matched, first
+    n, m = len(template), len(words)
+    codes = {w: i for i, w in enumerate(dict.fromkeys(template))}
+    have = np.array([codes.get(w, -1) for w in words], np.int64)
+    # A cell is score, matched and first in one number; 0 is no alignment.
+    low = m.bit_length()
+    one = 1 << low
+    point = one << (n.bit_length() + 1)
+    best, found = 0, (0, 0, 0)
+    row = np.zeros(m + 1, np.int64)  # place in the document + 1
+    at = np.arange(m, dtype=np.int64)
     for i, want in enumerate(template):
-        now: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i + diagonal - band), min(len(words), i + diagonal + band + 1)):
-            hit = words[j] == want
-            score, matched, first = row.get(j - 1, (0, 0, j))
-            options = [(score + (2 if hit else -1), matched + hit, first if score > 0 else j)]
-            if j in row:
-                options.append((row[j][0] - 1, *row[j][1:]))
-            if j - 1 in now:
-                options.append((now[j - 1][0] - 1, *now[j - 1][1:]))
-            cell = max(options, key=lambda o: (o[0], o[1], o[2]))
-            if cell[0] > 0:
-                now[j] = cell
-                if hit and (cell[0], cell[1]) > best[:2]:
-                    best = (cell[0], cell[1], cell[2], j)
+        lo, hi = (0, m) if band is None else (max(0, i + diagonal - band), min(m, i + diagonal + band + 1))
+        now = np.zeros(m + 1, np.int64)
+        if lo < hi:
+            hit = have[lo:hi] == codes[want]
+            before = row[lo:hi]
+            cell = np.where(before > 0, before, at[lo:hi]) + np.where(hit, 2 * point + one, -point)
+            cell = np.maximum(cell, row[lo + 1 : hi + 1] - point)
+            steps = at[: hi - lo] * point
+            cell = np.maximum.accumulate(cell + steps) - steps
+            cell[cell < point] = 0
+            now[lo + 1 : hi + 1] = cell
+            if hit.any():
+                key = np.where(hit, cell >> low, 0)
+                j = int(key.argmax())
+                if key[j] > best:
+                    best, whole = int(key[j]), int(cell[j])
+                    found = ((whole % point) >> low, whole % one, lo + j)
         row = now
-    return best[1:]
+    return found
+
+
+def _aligned(template: list[str], words: list[str], places: np.ndarray, lo: int, hi: int, needed: int, least: int) -> Iterator[tuple[int, int, int]]:
+    """Best alignments in words lo to hi, then those before and after each, where enough fingerprints are left."""
+    todo = [(lo, hi)]
+    while todo:
+        lo, hi = todo.pop()
+        inside = places[(places >= lo) & (places < hi)]
+        if len(inside) < least or hi - lo < needed:
+            continue
+        matched, first, last = align(template, words[lo:hi], band=None)
+        if not matched:
+            continue
+        if matched >= needed:
+            yield matched, lo + first, lo + last
+        todo += [(lo, lo + first), (lo + last + 1, hi)]
 
 
 def find_licenses(text: str, index: Index, memo: dict[str, int], min_coverage: float = MIN_COVERAGE) -> list[Match]:
     """Matches by start; of those that overlap, the one with most matched words, then the best covered, then by name."""
-    if not text or not len(index.grams):
+    if not text or not index.grams:
         return []
     found = list(_WORD.finditer(text))
     words = [m[0].lower() for m in found]
-    grams = _grams(words, memo)
-    at = np.searchsorted(index.grams, grams)
-    at[at == len(index.grams)] = 0
-    hits = np.flatnonzero(index.grams[at] == grams).tolist()
-    diagonals: dict[str, set[int]] = defaultdict(set)
-    for place in hits:
-        for name, own in index.places[int(grams[place])]:
-            diagonals[name].add(place - own)
+    h = _hashes(words, memo)
     matches = []
-    for name, near in diagonals.items():
-        template, last = index.templates[name], None
-        for diagonal in sorted(near):
-            if last is not None and diagonal - last <= BAND // 2:
-                continue
-            last = diagonal
-            matched, first, end = align(template, words, diagonal)
-            if matched >= min_coverage * len(template):
-                matches.append(Match(name, found[first].start(), found[end].end(), matched, len(template)))
+    for size, (grams, owners, _) in index.grams.items():
+        own = _grams(h, size)
+        start, stop = np.searchsorted(grams, own), np.searchsorted(grams, own, "right")
+        hits = np.flatnonzero(stop > start)
+        if not len(hits):
+            continue
+        counts = (stop - start)[hits]
+        at = np.repeat(hits, counts)
+        entry = np.repeat(start[hits], counts) + np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+        owner = owners[entry]
+        for k in np.unique(owner).tolist():
+            name, template = index.templates[k]
+            n = len(template)
+            least = _least_hits(n, min_coverage)
+            places = np.unique(at[owner == k])
+            # An alignment with a score over 0 spans less than 3 n words.
+            for near in np.split(places, np.flatnonzero(np.diff(places) > 3 * n) + 1):
+                if len(near) >= least:
+                    lo, hi = max(0, int(near[0]) - 3 * n), min(len(words), int(near[-1]) + 3 * n)
+                    for matched, first, last in _aligned(template, words, near, lo, hi, math.ceil(min_coverage * n), least):
+                        matches.append(Match(name, found[first].start(), found[last].end(), matched, n))
     matches.sort(key=lambda m: (-m.matched, -m.matched / m.words, m.license, m.start))
     kept: list[Match] = []
     for m in matches:
@@ -173,16 +248,17 @@ def license_spans(
 ) -> DataFrame:
     """(id, spans array<struct<license, start, end, matched, words>>) for each row of docs.
 
-    Words are letters and digits in lower case. Fingerprints of three words are looked up in an index of the
-    templates' winnowed fingerprints; each diagonal with hits is aligned within a band, and is reported when at
-    least min_coverage of the template's words match. Spans are code points, ends exclusive. Templates of fewer
-    than three words have no fingerprint and are never found.
+    Words are letters and digits in lower case. Runs of up to three words are looked up among all of the templates;
+    near those found the best local alignments are taken, one after the other, and are reported when at least
+    min_coverage of the template's words match. No copy that lacks or replaces as many words as min_coverage allows
+    goes unseen; one with words put in at very many places may. Spans are code points, ends exclusive. Templates
+    of fewer than three words are never found.
 
     Null and empty texts have no spans; null and repeated ids are rows like any other; an empty table or no
     templates give no spans. Other columns are ignored. No shuffle; the index goes with the tasks, and is
     bounded by INDEX_WORDS.
     """
-    index = build_index(TEMPLATES if templates is None else templates)
+    index = build_index(TEMPLATES if templates is None else templates, min_coverage)
     kind = pa.list_(pa.struct([("license", pa.string()), *((n, pa.int64()) for n in ("start", "end", "matched", "words"))]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,6 +98,42 @@ def test_banded_alignment_matches_whole_alignment():
         assert not matched or (lead <= first <= last < lead + len(copy))
 
 
+def named(text, templates=licenses.TEMPLATES):
+    return [m.license for m in licenses.find_licenses(text, licenses.build_index(templates), {})]
+
+
+def test_whole_license_texts():
+    index = licenses.build_index(licenses.TEMPLATES)
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0", "EPL-1.0", "Unlicense"):
+        whole = licenses.TEMPLATES[f"{name}-text"]
+        (m,) = licenses.find_licenses(f"{'é ' * 40}{whole.strip()} and more", index, {})
+        assert (m.license, m.start, m.matched) == (f"{name}-text", 80, m.words) and m.end >= 80 + len(whole.strip()) - 3
+    for name in ("AGPL-3.0-header", "GPL-2.0-header", "LGPL-3.0-header", "CC-BY-SA-4.0", "CC-BY-4.0"):
+        assert named(licenses.TEMPLATES[name]) == [name]
+
+
+def test_short_notices_with_a_word_changed_and_repeats():
+    words = licenses.TEMPLATES["MIT"].split()
+    for i in range(len(words)):
+        assert named(" ".join([*words[:i], "zzz", *words[i + 1 :]])) == ["MIT"]
+        assert named(" ".join([*words[:i], *words[i + 1 :]])) == ["MIT"]
+    assert named("All rights reserved. " * 3) == ["All-rights-reserved"] * 3
+    assert named(f"{licenses.TEMPLATES['MIT']}. " * 4) == ["MIT"] * 4
+
+
+def test_found_wherever_a_plain_alignment_finds():
+    rng = random.Random(7)
+    for _ in range(150):
+        n = rng.randint(3, 40)
+        template = [f"t{rng.randint(0, 30)}" for _ in range(n)]
+        gone = set(rng.sample(range(n), rng.randint(0, n // 4)))
+        copy = [w if i not in gone else "zzz" for i, w in enumerate(template) if i not in gone or rng.random() < 0.5]
+        doc = [f"d{i}" for i in range(rng.randint(0, 30))] + copy + [f"e{i}" for i in range(rng.randint(0, 30))]
+        best = plain_best(template, doc)[1]
+        got = licenses.find_licenses(" ".join(doc), licenses.build_index({"x": " ".join(template)}), {})
+        assert [m.matched for m in got] == ([best] if best >= licenses.MIN_COVERAGE * n else [])
+
+
 def plain_contamination(pairs, items, n=13):
     def words(text):
         lower = (text or "").translate({c: c + 32 for c in range(65, 91)})
