@@ -85,22 +85,22 @@ def _frequent(window: int, k: int):
     return count
 
 
-def _pack_block(ids: list[int], starts: list[int], numbers: list[int], packed: list[bytes]) -> bytes:
+def _pack_block(ids: list[int], rows: list[int], starts: list[int], numbers: list[int], packed: list[bytes]) -> bytes:
     head = np.array([len(packed)], "<i8").tobytes()
-    columns = [np.array(x, t).tobytes() for x, t in ((ids, "<i8"), (starts, "<i4"), (numbers, "<u4"), ([len(p) for p in packed], "<i4"))]
+    columns = [np.array(x, t).tobytes() for x, t in ((ids, "<i8"), (rows, "<i8"), (starts, "<i4"), (numbers, "<u4"), ([len(p) for p in packed], "<i4"))]
     return zstandard.ZstdCompressor(level=3).compress(b"".join([head, *columns, *packed]))
 
 
-def _unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """(ids, starts, numbers, where each string begins, and ends, strings)."""
+def _unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """(ids, rows, starts, numbers, where each string begins, and ends, strings)."""
     raw = zstandard.ZstdDecompressor().decompress(block)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     columns, at = [], 8
-    for kind in ("<i8", "<i4", "<u4", "<i4"):
+    for kind in ("<i8", "<i8", "<i4", "<u4", "<i4"):
         columns.append(np.frombuffer(raw, kind, n, at))
         at += columns[-1].nbytes
-    ids, starts, numbers, lengths = columns
-    return ids, starts, numbers, np.concatenate([[0], np.cumsum(lengths)]) + at, raw
+    ids, rows, starts, numbers, lengths = columns
+    return ids, rows, starts, numbers, np.concatenate([[0], np.cumsum(lengths)]) + at, raw
 
 
 def _sent(window: int, k: int, buckets: int, hot: frozenset[int], block_bytes: int):
@@ -111,16 +111,16 @@ def _sent(window: int, k: int, buckets: int, hot: frozenset[int], block_bytes: i
     not grow with the number of documents that have it.
     """
 
-    def flush(best: dict[bytes, tuple[int, int, list[int]]], marks: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        by_bucket: dict[int, tuple[list, list, list, list]] = defaultdict(lambda: ([], [], [], []))
+    def flush(best: dict[bytes, tuple[int, int, list[tuple[int, int]]]], marks: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        by_bucket: dict[int, tuple[list, list, list, list, list]] = defaultdict(lambda: ([], [], [], [], []))
         for packed, (number, id_, starts) in best.items():
             out = by_bucket[(number * 0x9E3779B1 & 0xFFFFFFFF) * buckets >> 32]
-            for start in starts:
-                for column, value in zip(out, (id_, start, number, packed), strict=True):
+            for row, start in starts:
+                for column, value in zip(out, (id_, row, start, number, packed), strict=True):
                     column.append(value)
-        for id_, start, windows in marks:
+        for id_, row, start, windows in marks:
             out = by_bucket[xxhash.xxh32_intdigest(id_.to_bytes(8, "little", signed=True)) % buckets]
-            for column, value in zip(out, (id_, start, windows, b""), strict=True):
+            for column, value in zip(out, (id_, row, start, windows, b""), strict=True):
                 column.append(value)
         blocks = [_pack_block(*columns) for columns in by_bucket.values()]
         return pa.RecordBatch.from_arrays(
@@ -128,26 +128,26 @@ def _sent(window: int, k: int, buckets: int, hot: frozenset[int], block_bytes: i
         )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[bytes, tuple[int, int, list[int]]] = {}
-        marks: list[tuple[int, int, int]] = []
+        best: dict[bytes, tuple[int, int, list[tuple[int, int]]]] = {}
+        marks: list[tuple[int, int, int, int]] = []
         held = 0
         for batch in batches:
-            for id_, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for id_, row, text in zip(batch["id"].to_pylist(), batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 words = _words(text)
                 for number, start, packed in super_kmers(words, window, k, hot):
                     old = best.get(packed)
                     if old is None:
-                        best[packed] = (number, id_, [start])
+                        best[packed] = (number, id_, [(row, start)])
                         held += len(packed)
                     elif old[1] == id_:
-                        old[2].append(start)
+                        old[2].append((row, start))
                     else:
                         windows = packed.count(b" ") + 2 - window
                         if old[1] < id_:
-                            marks.append((id_, start, windows))
+                            marks.append((id_, row, start, windows))
                         else:
-                            marks += [(old[1], s, windows) for s in old[2]]
-                            best[packed] = (number, id_, [start])
+                            marks += [(old[1], *at, windows) for at in old[2]]
+                            best[packed] = (number, id_, [(row, start)])
                 if held >= block_bytes:
                     yield flush(best, marks)
                     best, marks, held = {}, [], 0
@@ -157,60 +157,60 @@ def _sent(window: int, k: int, buckets: int, hot: frozenset[int], block_bytes: i
 
 
 def _repeats(window: int):
-    """All blocks of a partition to (id, first, last): runs of windows that also start in a smaller id."""
+    """All blocks of a partition to (id, row, first, last): runs of windows that also start in a smaller id."""
 
-    def of_number(entries: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int]]:
-        """entries: id, start, string of one number. Sorts their windows; yields (id, place of the window)."""
+    def of_number(entries: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
+        """entries: id, row, start, string of one number. Sorts their windows; yields (id, row, place of the window)."""
         windows = []
-        for id_, start, packed in entries:
+        for id_, row, start, packed in entries:
             words = packed.split(b" ")
-            windows += [(b" ".join(words[i : i + window]), id_, start + i) for i in range(len(words) - window + 1)]
+            windows += [(b" ".join(words[i : i + window]), id_, row, start + i) for i in range(len(words) - window + 1)]
         windows.sort()
         text, least = None, 0
-        for packed, id_, place in windows:
+        for packed, id_, row, place in windows:
             if packed != text:
                 text, least = packed, id_
             elif id_ > least:
-                yield id_, place
+                yield id_, row, place
 
     def runs(found: np.ndarray) -> pa.RecordBatch:
-        """Sorted distinct (id, place) to runs of neighbouring places."""
+        """(id, row, place) to runs of neighbouring places."""
         if len(found):
-            found = found[np.lexsort((found[:, 1], found[:, 0]))]
-            new = np.concatenate([[True], (found[1:, 0] != found[:-1, 0]) | (found[1:, 1] > found[:-1, 1] + 1)])
+            found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+            new = np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(axis=1) | (found[1:, 2] > found[:-1, 2] + 1)])
             first = np.flatnonzero(new)
             last = np.concatenate([first[1:], [len(found)]]) - 1
-            found = np.column_stack([found[first], found[last, 1]])
+            found = np.column_stack([found[first], found[last, 2]])
         else:
-            found = np.empty((0, 3), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.T], ["id", "first", "last"])
+            found = np.empty((0, 4), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.T], ["id", "row", "first", "last"])
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, starts, numbers, block_of, begins, ends, raws = [], [], [], [], [], [], []
+        ids, rows, starts, numbers, block_of, begins, ends, raws = [], [], [], [], [], [], [], []
         found: list[np.ndarray] = []
         for batch in batches:
             for block in batch["block"].to_pylist():
-                i, s, n, at, raw = _unpack_block(block)
+                i, r, s, n, at, raw = _unpack_block(block)
                 real = at[1:] > at[:-1]
                 if not real.all():  # marks: the number says how many windows
                     many = n[~real].astype(np.int64)
                     within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    found.append(np.column_stack([np.repeat(i[~real], many), np.repeat(s[~real].astype(np.int64), many) + within]))
-                ids.append(i[real]), starts.append(s[real]), numbers.append(n[real])
+                    found.append(np.column_stack([np.repeat(i[~real], many), np.repeat(r[~real], many), np.repeat(s[~real].astype(np.int64), many) + within]))
+                ids.append(i[real]), rows.append(r[real]), starts.append(s[real]), numbers.append(n[real])
                 begins.append(at[:-1][real]), ends.append(at[1:][real])
                 block_of.append(np.full(real.sum(), len(raws)))
                 raws.append(raw)
         if ids:
-            i, s, n, o, b, e = map(np.concatenate, (ids, starts, numbers, block_of, begins, ends))
+            i, r, s, n, o, b, e = map(np.concatenate, (ids, rows, starts, numbers, block_of, begins, ends))
             order = np.argsort(n, kind="stable")
             edges = np.flatnonzero(np.concatenate([[True], np.diff(n[order]) != 0, [True]])) if len(n) else np.array([0])
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 group = order[lo:hi]
                 if hi - lo > 1 and (i[group] != i[group[0]]).any():
-                    entries = [(int(i[x]), int(s[x]), raws[o[x]][b[x] : e[x]]) for x in group.tolist()]
+                    entries = [(int(i[x]), int(r[x]), int(s[x]), raws[o[x]][b[x] : e[x]]) for x in group.tolist()]
                     if places := list(of_number(entries)):
                         found.append(np.array(places, np.int64))
-        yield runs(np.concatenate(found) if found else np.empty((0, 2), np.int64))
+        yield runs(np.concatenate(found) if found else np.empty((0, 3), np.int64))
 
     return repeats
 
@@ -225,7 +225,9 @@ def repeated_windows(
     hot_rows: int = HOT_ROWS,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """(id, first, last): runs of windows, by the place of their first word, that also start in a smaller id.
+    """(id, row, first, last): runs of windows, by the place of their first word, that also start in a smaller id.
+
+    row is the XXH64 of the text, and tells rows of one id apart.
 
     The number of buckets follows the bytes of text. Minimisers with very many super-k-mers are counted first,
     over all documents; their windows travel alone, to buckets by their own words, so that no bucket gets a
@@ -237,14 +239,14 @@ def repeated_windows(
         raise ValueError("window must have as many words as a minimiser at least")
     rows = docs.where(docs[id_col].isNotNull()).select(
         docs[id_col].cast("long").alias("id"), text_column(docs, text_col).alias("text")
-    )
+    ).withColumn("row", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / bucket_bytes))
     counted = rows.select("text").mapInArrow(_frequent(window, minimiser), "number long, n long")
     hot = counted.groupBy("number").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_rows).select("number").collect()
     numbers = frozenset(r["number"] for r in hot)
     sent = rows.mapInArrow(_sent(window, minimiser, buckets, numbers, block_bytes), "bucket int, block binary")
-    return sent.repartition(buckets, "bucket").mapInArrow(_repeats(window), "id long, first long, last long")
+    return sent.repartition(buckets, "bucket").mapInArrow(_repeats(window), "id long, row long, first long, last long")
 
 
 def _kept(window: int, keep_text: bool):
@@ -283,13 +285,13 @@ def substring_duplicates(
     text of the other words, one space between them (null unless keep_text).
 
     Null and short texts lose nothing. Rows with a null id lose nothing, and take nothing from others. Rows
-    with the same id are judged as one document: words that any of them loses at some place, all lose there.
+    with the same id lose nothing to each other, and each loses what it repeats of smaller ids.
     Empty table: no rows. Other columns are ignored. The id must be an integer.
     """
     runs = written(repeated_windows(docs, window, id_col, text_col, **options))
-    by_doc = runs.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("runs")).withColumnRenamed("id", "of")
+    by_doc = runs.groupBy(F.col("id").alias("of"), F.col("row").alias("of_row")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_column(docs, text_col).alias("text"))
-    joined = rows.join(by_doc, F.col("id") == F.col("of"), "left").select("id", "text", "runs")
+    joined = rows.join(by_doc, (F.col("id") == F.col("of")) & (F.xxhash64("text") == F.col("of_row")), "left").select("id", "text", "runs")
     out = joined.mapInArrow(
         _kept(window, keep_text), "id long, n_words long, n_removed long, kept_sha256 string, kept string"
     )

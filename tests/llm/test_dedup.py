@@ -151,6 +151,15 @@ def test_substrings_match_plain_version(docs):
     assert out(substrings.substring_duplicates(d, window=4), "doc_id", "n_words", "n_removed", "kept_sha256") == plain_substrings(pairs, 4)
 
 
+def test_substrings_of_rows_that_share_an_id(docs):
+    passage = " ".join(f"p{i}" for i in range(20))
+    lead, other = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(90))
+    d = docs((1, passage), (4, f"{lead} {passage}"), (4, "short"), (4, other), (4, None), (4, f"{passage} c"), (3, other))
+    want = [(1, 0, passage), (3, 0, other), (4, 0, ""), (4, 0, "short"), (4, 20, "c"), (4, 20, lead), (4, 90, "")]
+    for options in ({}, {"hot_rows": 1, "bucket_bytes": 300, "block_bytes": 100}):
+        assert out(substrings.substring_duplicates(d, keep_text=True, **options), "doc_id", "n_removed", "kept") == sorted(want)
+
+
 def test_substrings_edges(docs):
     long = " ".join(map(str, range(20)))
     got = out(substrings.substring_duplicates(docs((None, long), (4, long), (4, long), (2, long)), keep_text=True), "doc_id", "n_removed", "kept")
