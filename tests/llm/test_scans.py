@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -220,3 +221,81 @@ def test_toxicity_without_labels(spark, docs):
     assert toxicity.toxicity(docs(), none).count() == 0
     ones = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert out(toxicity.toxicity(docs((1, "a")), ones), "predicted") == [(1,)]
+
+
+def random_machine(rng, n=12):
+    model = toxicity.FactorizationMachine.fresh(np.arange(n), 0.3)
+    model.linear = rng.normal(0, 1, n + 1)
+    model.factors = rng.normal(0, 1, model.factors.shape)
+    rows = toxicity.Rows.of([np.array([0, *sorted(rng.choice(n, rng.integers(0, 8), replace=False) + 1)]) for _ in range(20)])
+    return model, rows
+
+
+def test_logits_are_the_sum_over_pairs():
+    model, rows = random_machine(np.random.default_rng(0))
+    texts = np.split(rows.flat, rows.starts[1:])
+    plain = [sum(model.linear[t]) + sum(model.factors[a] @ model.factors[b] for i, a in enumerate(t) for b in t[:i]) for t in texts]
+    assert np.allclose(model.logits(rows), plain)
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(1)
+    model, rows = random_machine(rng)
+    labels = rng.integers(0, 2, 20).astype(float)
+
+    def loss():
+        p = model.scores(rows)
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    for values, grad in zip((model.linear, model.factors), model.gradients(rows, labels), strict=True):
+        for at in np.ndindex(*values.shape):
+            kept = values[at]
+            values[at] = kept + 1e-5
+            up = loss()
+            values[at] = kept - 1e-5
+            numeric, values[at] = (up - loss()) / 2e-5, kept
+            assert abs(numeric - grad[at]) < 1e-6
+
+
+def hashed(texts):
+    rows = [np.array(sorted({b for w in toxicity._distinct_words(t) for b in toxicity._buckets(w)})) for t in texts]
+    return np.concatenate(rows), np.array(list(map(len, rows)))
+
+
+def test_learns_what_only_pairs_tell():
+    """Toxic is insult with groupx and calm with plainx; no word tells anything by itself."""
+    rng = random.Random(3)
+    texts, labels = [], []
+    for _ in range(2400):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = rng.choices([f"word{i}" for i in range(200)], k=25) + ["insult" if a else "calm", "groupx" if b else "plainx"]
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+        labels.append(float(a == b))
+    labels, held = np.array(labels), np.arange(2400) % 4 == 2
+    flat, sizes = hashed(np.array(texts)[~held])
+    model = toxicity.machine(flat, sizes, labels[~held])
+    rows = toxicity.Rows.of([model.reader()(t) for t in np.array(texts)[held]])
+    assert ((model.scores(rows) >= 0.5) == labels[held]).mean() > 0.95
+    every = np.unique(flat)
+    linear = toxicity.FactorizationMachine.fresh(every, 0.5)
+    linear.factors[:] = 0
+    linear.learn(toxicity.Rows.within(flat, sizes, every), labels[~held], 400, 128)
+    rows = toxicity.Rows.of([linear.reader()(t) for t in np.array(texts)[held]])
+    assert abs(((linear.scores(rows) >= 0.5) == labels[held]).mean() - 0.5) < 0.1
+
+
+def test_weighs_what_speaks_against_the_label():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["zlarf", "kindly"] if i % 3 else ["zlarf", "vromp"], k=6) + rng.choices([f"w{j}" for j in range(50)], k=9)) for i in range(600)]
+    model = toxicity.machine(*hashed(texts), np.array([float(i % 3 == 0) for i in range(600)]))
+    places = model.reader()("kindly")[1:]
+    assert len(places) and (model.linear[places] < 0).all()
+
+
+def test_toxicity_of_labels_beyond_the_sample(spark, docs):
+    rng = random.Random(6)
+    pairs = [(i, " ".join(rng.choices(["a", "b", "c"], k=5) + ["zlarf"] * (i % 4 == 0))) for i in range(800)]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(*pairs), marks, training_rows=200)
+    assert {r.doc_id for r in toxicity.score(docs(*pairs), model).where("score >= 0.3").collect()} == {i for i in range(0, 800, 4)}
