@@ -16,8 +16,9 @@ from graphloom.llm.common import text_column
 
 #: Buckets that terms are hashed to.
 BUCKETS = 1 << 20
+CONSTANT = BUCKETS
 #: Documented bound: labelled rows that the model is fitted on (in expectation, chosen by a hash of the id).
-TRAINING_ROWS = 20_000
+TRAINING_ROWS = 15_000
 #: Rows of a term, or of two together, from which they can be weighed.
 LEAST_ROWS = 3
 #: Evidence, as twice a log-likelihood ratio: one in a thousand of chance for one term. Pairs are asked for more, by their number.
@@ -62,17 +63,14 @@ class Rows:
     def of(cls, rows: list[np.ndarray]) -> Rows:
         return cls(np.concatenate([np.empty(0, np.int64), *rows]), np.cumsum([0, *map(len, rows)])[:-1])
 
-    @classmethod
-    def within(cls, flat: np.ndarray, sizes: np.ndarray, buckets: np.ndarray) -> Rows:
-        """From buckets of the rows; those that are not among the sorted `buckets` are left out."""
-        at = np.minimum(np.searchsorted(buckets, flat), max(0, len(buckets) - 1))
-        known = buckets[at] == flat if len(buckets) else np.zeros(len(flat), bool)
-        row = np.repeat(np.arange(len(sizes)), sizes)[known]
-        counts = np.bincount(row, minlength=len(sizes)) + 1
-        starts = np.cumsum(counts) - counts
-        out = np.zeros(int(counts.sum()), np.int64)
-        out[np.arange(len(row)) + row + 1] = at[known] + 1
-        return cls(out, starts)
+    def within(self, buckets: np.ndarray) -> Rows:
+        """From rows of buckets, with CONSTANT in front of each, to places; buckets that are not among the sorted ones given are left out."""
+        place = np.full(BUCKETS + 1, -1, np.int32)
+        place[buckets], place[CONSTANT] = np.arange(1, len(buckets) + 1), 0
+        flat = place[self.flat]
+        known = flat >= 0
+        sizes = np.add.reduceat(known, self.starts, dtype=np.int64) if len(self.starts) else self.starts
+        return Rows(flat[known], np.cumsum(sizes) - sizes)
 
     @property
     def sizes(self) -> np.ndarray:
@@ -158,30 +156,30 @@ class FactorizationMachine:
             self.factors -= factor_rate * grad_v / np.sqrt(seen_v)
 
 
-def _learnt(buckets: np.ndarray, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> FactorizationMachine:
+def _learnt(buckets: np.ndarray, texts: Rows, labels: np.ndarray) -> FactorizationMachine:
     model = FactorizationMachine.fresh(buckets, labels.mean())
-    model.learn(Rows.within(flat, sizes, buckets), labels, min(STEPS, EPOCHS * -(-len(labels) // BATCH)), BATCH)
+    model.learn(texts.within(buckets), labels, min(STEPS, EPOCHS * -(-len(labels) // BATCH)), BATCH)
     return model
 
 
-def _standing_out(buckets: np.ndarray, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def _standing_out(buckets: np.ndarray, texts: Rows, labels: np.ndarray) -> np.ndarray:
     """Buckets that a machine over all of them gives factors far larger than to most: those whose pairs it uses."""
-    trial, rows = FactorizationMachine.fresh(buckets, labels.mean()), Rows.within(flat, sizes, buckets)
+    trial = FactorizationMachine.fresh(buckets, labels.mean())
     if len(labels) > TRIAL_ROWS:
         some = np.random.default_rng(2).permutation(len(labels))[:TRIAL_ROWS]
-        rows, labels = rows.take(some), labels[some]
-    trial.learn(rows, labels, TRIAL_STEPS, -(-len(labels) // TRIAL_BATCHES), factor_rate=0.6 * RATE)
+        texts, labels = texts.take(some), labels[some]
+    trial.learn(texts.within(buckets), labels, TRIAL_STEPS, -(-len(labels) // TRIAL_BATCHES), factor_rate=0.6 * RATE)
     norms = np.linalg.norm(trial.factors[1:], axis=1)
     middle = np.median(norms)
     return buckets[norms > middle + STANDS_OUT * np.median(np.abs(norms - middle))]
 
 
 def _paired(
-    tried: np.ndarray, others: np.ndarray, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, expected: np.ndarray
+    tried: np.ndarray, others: np.ndarray, texts: Rows, labels: np.ndarray, expected: np.ndarray
 ) -> np.ndarray:
     """Buckets of `tried` that together with another, of either list, tell of the label what `expected` does not."""
     both, pairs = np.union1d(tried, others), len(tried) * (len(tried) + len(others))
-    rows, found = Rows.within(flat, sizes, both), []
+    rows, found = texts.within(both), []
     for block in np.array_split(np.searchsorted(both, tried), -(-len(tried) // 256)) if len(tried) else []:
         n, ones, share = np.zeros((3, len(block), len(both)), np.float32)
         for at in range(0, len(labels), 1024):
@@ -200,31 +198,30 @@ def _paired(
     return both[np.unique(np.concatenate([np.empty(0, np.int64), *found]))]
 
 
-def machine(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> FactorizationMachine:
-    """Learns from texts as their distinct buckets, one after the other (flat), and labels, both 0 and 1 among them.
+def machine(texts: Rows, labels: np.ndarray) -> FactorizationMachine:
+    """Learns from texts, as CONSTANT and their distinct buckets, and labels, both 0 and 1 among them.
 
     All terms of LEAST_ROWS rows take part. Weighed in the end are those that tell of the label by themselves, for
     or against it, and those that tell in a pair: a trial machine over all terms shows whose pairs it uses, and
     pairs of these and of the first kind are held against what the terms say one by one. Without this, weights of
     tens of thousands of rare terms learn the sample by heart.
     """
-    buckets, place = np.unique(flat, return_inverse=True)
-    row_label = np.repeat(labels, sizes)
-    n, ones = np.bincount(place), np.bincount(place, row_label)
-    often = n >= LEAST_ROWS
-    share, rows = labels.mean(), len(labels)
-    told = _evidence(ones, n, share) + _evidence(labels.sum() - ones, np.maximum(rows - n, 1), share)
-    alone = buckets[often & (told > EVIDENCE)]
-    model = _learnt(alone, flat, sizes, labels)
-    tried = np.setdiff1d(_standing_out(buckets[often], flat, sizes, labels), alone) if often.any() else alone[:0]
-    expected = np.clip(model.scores(Rows.within(flat, sizes, alone)), share / 2, 1 - (1 - share) / 2)
-    both = np.union1d(alone, _paired(tried, alone, flat, sizes, labels, expected))
-    return model if len(both) == len(alone) else _learnt(both, flat, sizes, labels)
+    n = np.bincount(texts.flat, minlength=BUCKETS + 1)[:BUCKETS]
+    ones = np.bincount(texts.flat[np.repeat(labels > 0, texts.sizes)], minlength=BUCKETS + 1)[:BUCKETS]
+    often = np.flatnonzero(n >= LEAST_ROWS)
+    n, ones, share = n[often], ones[often], labels.mean()
+    told = _evidence(ones, n, share) + _evidence(labels.sum() - ones, np.maximum(len(labels) - n, 1), share)
+    alone = often[told > EVIDENCE]
+    model = _learnt(alone, texts, labels)
+    tried = np.setdiff1d(_standing_out(often, texts, labels), alone) if len(often) else alone
+    expected = np.clip(model.scores(texts.within(alone)), share / 2, 1 - (1 - share) / 2)
+    both = np.union1d(alone, _paired(tried, alone, texts, labels, expected))
+    return model if len(both) == len(alone) else _learnt(both, texts, labels)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [sorted({b for w in _distinct_words(t) for b in _buckets(w)}) for t in batch["text"].to_pylist()]
+        rows = [[CONSTANT, *sorted({b for w in _distinct_words(t) for b in _buckets(w)})] for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_pydict({"label": batch["label"], "terms": pa.array(rows, pa.list_(pa.int32()))})
 
 
@@ -256,16 +253,21 @@ def fit(
         .mapInArrow(_hashed, "label int, terms array<int>")
         .toArrow()
     )
-    marks, terms = rows["label"].combine_chunks().to_numpy(zero_copy_only=False).astype(float), rows["terms"].combine_chunks()
+    marks = rows["label"].to_numpy().astype(float)
     if not marks.any() or marks.all():
         share = marks.mean() if len(marks) else 0.0
         return FactorizationMachine(np.empty(0, np.int64), np.array([60.0 * share - 30]), np.zeros((1, FACTORS)))
-    sizes, flat = terms.value_lengths().to_numpy(zero_copy_only=False), terms.flatten().to_numpy(zero_copy_only=False)
     # The rows come in any order: put them in one that depends on what they hold alone.
-    starts = np.cumsum(sizes) - sizes
-    order = sorted(range(len(sizes)), key=lambda i: (marks[i], flat[starts[i] : starts[i] + sizes[i]].tobytes()))
-    ordered = Rows(flat, starts).take(np.array(order))
-    return machine(ordered.flat, ordered.sizes, marks[order])
+    texts = [t for chunk in rows["terms"].chunks for t in _each(chunk)]
+    order = np.lexsort(([xxhash.xxh3_64_intdigest(t) for t in texts], marks))
+    texts, marks = [texts[i] for i in order.tolist()], marks[order]
+    starts = np.cumsum([0, *map(len, texts)])[:-1]
+    return machine(Rows(np.concatenate(texts), starts), marks)
+
+
+def _each(lists: pa.ListArray) -> list[np.ndarray]:
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -171,16 +171,28 @@ def test_contamination_matches_plain_version(spark, docs):
         source = rng.choice(items)[1] or ""
         w[at:at] = source.upper().split()[: rng.randint(0, 25)]
         pairs.append((i, rng.choice([" ", "; ", "\n"]).join(w)))
-    pairs += [(90, None), (91, ""), (92, "a0 a1 É1 é1 " * 3000)]
+    pairs += [(90, None), (91, ""), (92, "a0 a1 É1 é1 " * 3000), (93, f"{'x' * 70} {items[0][1]}"), (94, f"{items[1][1]};;;{'y' * 99}")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1)).withColumn("pos", F.lit(1))
     got = decontam.contamination(docs(*pairs), bench)
     assert out(got) == plain_contamination(pairs, items)
-    assert out(decontam.contamination(docs(*pairs), bench, broadcast_windows=0)) == out(got)
+    for way in ({"broadcast_windows": 0}, {"piece_chars": 40}, {"piece_chars": 7, "broadcast_windows": 0}):
+        assert out(decontam.contamination(docs(*pairs), bench, **way)) == out(got)
     dirty = {r[0] for r in plain_contamination(pairs, items) if r[5]}
     left = decontam.decontaminate(docs(*pairs), bench)
     assert {r[0] for r in out(left, "doc_id")} == {i for i, _ in pairs} - dirty and left.columns == docs().columns
 
 
+def test_contamination_of_one_very_long_text(spark, docs):
+    """2 million words: the text is read in pieces, and a passage across their border is found in full."""
+    item = " ".join(f"q{i}" for i in range(40))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    filler = "lorem ipsum, dolor " * 350_000
+    d = docs((1, f"{filler}{item} {filler}"), (2, f"{filler[: decontam.PIECE_CHARS]} {item}"))
+    assert out(decontam.contamination(d, bench), "doc_id", "n_words", "n_hit", "contaminated") == [
+        (1, 2_100_040, 40, False), (2, len(filler[: decontam.PIECE_CHARS].split()) + 40, 40, False),
+    ]
+
+
 def test_contamination_edges(spark, docs):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     d = docs((1, "Alpha, beta gamma! delta"), (1, "clean"), (None, "x alpha beta gamma"), (None, None), (1, "Alpha, beta gamma! delta"))
@@ -258,8 +270,7 @@ def test_gradients_are_those_of_the_loss():
 
 
 def hashed(texts):
-    rows = [np.array(sorted({b for w in toxicity._distinct_words(t) for b in toxicity._buckets(w)})) for t in texts]
-    return np.concatenate(rows), np.array(list(map(len, rows)))
+    return toxicity.Rows.of([np.array([toxicity.CONSTANT, *sorted({b for w in toxicity._distinct_words(t) for b in toxicity._buckets(w)})]) for t in texts])
 
 
 def test_learns_what_only_pairs_tell():
@@ -273,14 +284,14 @@ def test_learns_what_only_pairs_tell():
         texts.append(" ".join(w))
         labels.append(float(a == b))
     labels, held = np.array(labels), np.arange(2400) % 4 == 2
-    flat, sizes = hashed(np.array(texts)[~held])
-    model = toxicity.machine(flat, sizes, labels[~held])
+    seen = hashed(np.array(texts)[~held])
+    model = toxicity.machine(seen, labels[~held])
     rows = toxicity.Rows.of([model.reader()(t) for t in np.array(texts)[held]])
     assert ((model.scores(rows) >= 0.5) == labels[held]).mean() > 0.95
-    every = np.unique(flat)
+    every = np.setdiff1d(seen.flat, toxicity.CONSTANT)
     linear = toxicity.FactorizationMachine.fresh(every, 0.5)
     linear.factors[:] = 0
-    linear.learn(toxicity.Rows.within(flat, sizes, every), labels[~held], 400, 128)
+    linear.learn(seen.within(every), labels[~held], 400, 128)
     rows = toxicity.Rows.of([linear.reader()(t) for t in np.array(texts)[held]])
     assert abs(((linear.scores(rows) >= 0.5) == labels[held]).mean() - 0.5) < 0.1
 
@@ -288,7 +299,7 @@ def test_learns_what_only_pairs_tell():
 def test_weighs_what_speaks_against_the_label():
     rng = random.Random(4)
     texts = [" ".join(rng.choices(["zlarf", "kindly"] if i % 3 else ["zlarf", "vromp"], k=6) + rng.choices([f"w{j}" for j in range(50)], k=9)) for i in range(600)]
-    model = toxicity.machine(*hashed(texts), np.array([float(i % 3 == 0) for i in range(600)]))
+    model = toxicity.machine(hashed(texts), np.array([float(i % 3 == 0) for i in range(600)]))
     places = model.reader()("kindly")[1:]
     assert len(places) and (model.linear[places] < 0).all()
 
