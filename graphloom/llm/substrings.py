@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,76 +18,140 @@ from graphloom.llm.common import text_column, written
 
 WINDOW = 13
 #: Words whose joint hash a minimiser is the least of.
-MINIMISER = 3
-#: Bytes of text for one bucket, and rows of one minimiser from which its windows are dealt out one by one.
+MINIMISER = 5
+#: Bytes of text for one bucket, and the most partitions that buckets are dealt to.
 BUCKET_BYTES = 8 << 20
-HOT_ROWS = 5_000
-#: Bytes of text whose super-k-mers are combined and compressed together before they are sent.
-BLOCK_BYTES = 48 << 20
+PARTITIONS = 50_000
+#: Super-k-mers of one minimiser from which its windows are dealt out one by one: so many, and this share of all at least.
+#: At most 1 / HOT_SHARE numbers are as frequent, whatever the size of the input.
+HOT_ROWS, HOT_SHARE = 5_000, 1e-5
+#: Bytes of super-k-mers that are combined and compressed together before they are sent, and of text that is cut at once.
+BLOCK_BYTES = 24 << 20
+PORTION_BYTES = 1 << 20
 _MULT, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BASE = 0x5851F42D4C957F2D
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode(errors="surrogatepass").split()
 
 
-def minimisers(words: list[bytes], window: int, k: int = MINIMISER) -> np.ndarray:
-    """For each window of the words, a 32-bit number that depends on its least run of k words."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    runs = np.zeros(len(words) - k + 1, np.uint64)
-    for j in range(k):
-        runs = (runs ^ (runs >> np.uint64(31))) * _MULT + h[j : len(h) - k + 1 + j]
-    runs = (runs ^ (runs >> np.uint64(29))) * _ODD
-    runs ^= runs >> np.uint64(32)
-    return (sliding_window_view(runs, window - k + 1).min(axis=1) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _ODD
+    return x ^ (x >> np.uint64(32))
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2 ** 64, as many as have been asked for."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            steps = np.repeat(np.array([_BASE, pow(_BASE, -1, 2**64)], np.uint64)[:, None], 2 * n, axis=1)
+            steps[:, 0] = 1
+            self.up, self.down = np.cumprod(steps, axis=1)
+        return self.up[:n], self.down[:n]
+
 
+class Cut:
+    """Super-k-mers of several texts: the document and first word of each, its minimiser's number, a hash, and its string."""
 
-def super_kmers(words: list[bytes], window: int, k: int, hot: frozenset[int]) -> Iterator[tuple[int, int, bytes]]:
-    """(number, first word, packed string) for each run of windows that share a minimiser.
+    def __init__(self, texts: list[list[bytes]], window: int, k: int, hot: np.ndarray, powers: _Powers):
+        words = [w for text in texts for w in text]
+        counts = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(counts)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        places, numbers = _minimisers(hashes, np.repeat(ends, counts), window, k)
+        at = _run_starts(places, numbers)
+        first, number, windows = places[at], numbers[at], np.diff(at, append=len(places))
+        up, down = powers(len(words) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(words)], dtype=np.uint64)])
 
-    Windows of hot minimisers go alone, under a number of their own words.
+        def hashed(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+            return _mix((sums[end] - sums[begin]) * down[begin])
+
+        alone = np.isin(number, hot)
+        if alone.any():  # each window by itself, under a number of its own words
+            many = windows[alone]
+            each = np.repeat(first[alone], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            own = (hashed(each, each + window) & _LOW).astype(np.uint32)
+            first, number = np.concatenate([first[~alone], each]), np.concatenate([number[~alone], own])
+            windows = np.concatenate([windows[~alone], np.ones(len(each), np.int64)])
+        end = first + windows + window - 1
+        self.doc = np.searchsorted(ends, first, "right")
+        self.start = first - (ends - counts)[self.doc]
+        self.number, self.windows, self.hash = number, windows, hashed(first, end)
+        joined = b" ".join(words)
+        begins = np.cumsum(np.fromiter((0, *map(len, words)), np.int64, len(words) + 1)) + np.arange(len(words) + 1)
+        self.packed = [joined[a:b] for a, b in zip(begins[first].tolist(), (begins[end] - 1).tolist(), strict=True)]
+
+
+def _minimisers(hashes: np.ndarray, ends: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all windows, by first word, and for each a 32-bit number that depends on its least run of k words.
+
+    ends: for each word where its text ends.
     """
-    if len(words) < window:
-        return
-    least = minimisers(words, window, k)
-    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]])).tolist()
-    joined = b" ".join(words)
-    at = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)
-    at = at.tolist()  # where each word begins; the end of word i is at[i + 1] - 1
-    for a, b in zip(starts, [*starts[1:], len(least)], strict=True):
-        number = int(least[a])
-        if number in hot:
-            for i in range(a, b):
-                packed = joined[at[i] : at[i + window] - 1]
-                yield xxhash.xxh32_intdigest(packed), i, packed
-        else:
-            yield number, a, joined[at[a] : at[b + window - 1] - 1]
+    n = len(hashes)
+    if n < window:
+        return np.empty(0, np.int64), np.empty(0, np.uint32)
+    least = np.zeros(n - k + 1, np.uint64)
+    for j in range(k):
+        least = (least ^ (least >> np.uint64(31))) * _MULT + hashes[j : n - k + 1 + j]
+    least, size, wanted = _mix(least), 1, window - k + 1
+    while size < wanted:
+        step = min(size, wanted - size)
+        least, size = np.minimum(least[:-step], least[step:]), size + step
+    places = np.flatnonzero(ends[: len(least)] - np.arange(len(least)) >= window)
+    return places, (least[places] & _LOW).astype(np.uint32)
+
+
+def _run_starts(places: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Where runs of neighbouring windows with one number begin."""
+    if not len(places):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], (np.diff(places) != 1) | (numbers[1:] != numbers[:-1])]))
+
+
+def _portions(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[list, ...]]:
+    """The batch's rows in portions of about PORTION_BYTES of text: words of each text, and the named columns."""
+    columns, portion, held = [batch[n].to_pylist() for n in names], [], 0
+    for row in zip(batch["text"].to_pylist(), *columns, strict=True):
+        portion.append((_words(row[0]), *row[1:]))
+        held += len(row[0] or "")
+        if held >= PORTION_BYTES:
+            yield tuple(map(list, zip(*portion, strict=True)))
+            portion, held = [], 0
+    if portion:
+        yield tuple(map(list, zip(*portion, strict=True)))
 
 
 def _frequent(window: int, k: int):
-    """Batches of texts to (number, n): how many super-k-mers of a batch have each number that repeats in it."""
+    """Batches of texts to (number, n): how many super-k-mers of a batch have each number that repeats in it; null for all others."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = [np.empty(0, np.uint32)]
-            for text in batch["text"].to_pylist():
-                words = _words(text)
-                if len(words) >= window:
-                    least = minimisers(words, window, k)
-                    runs.append(least[np.concatenate([[True], least[1:] != least[:-1]])])
+            for (texts,) in _portions(batch):
+                counts = np.array([len(t) for t in texts], np.int64)
+                hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for t in texts for w in t), np.uint64, int(counts.sum()))
+                places, least = _minimisers(hashes, np.repeat(np.cumsum(counts), counts), window, k)
+                runs.append(least[_run_starts(places, least)])
             numbers, n = np.unique(np.concatenate(runs), return_counts=True)
             often = n > 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers[often].astype(np.int64)), pa.array(n[often].astype(np.int64))], ["number", "n"]
+                [pa.array([*numbers[often].tolist(), None], pa.int64()), pa.array([*n[often].tolist(), int((~often).sum())], pa.int64())], ["number", "n"]
             )
 
     return count
 
 
-def _pack_block(ids: list[int], rows: list[int], starts: list[int], numbers: list[int], packed: list[bytes]) -> bytes:
-    head = np.array([len(packed)], "<i8").tobytes()
-    columns = [np.array(x, t).tobytes() for x, t in ((ids, "<i8"), (rows, "<i8"), (starts, "<i4"), (numbers, "<u4"), ([len(p) for p in packed], "<i4"))]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([head, *columns, *packed]))
+def _pack_block(columns: list[np.ndarray], packed: list[bytes]) -> bytes:
+    parts = [np.ascontiguousarray(x, t).tobytes() for x, t in zip(columns, ("<i8", "<i8", "<i4", "<u4"), strict=True)]
+    lengths = np.array([len(p) for p in packed], "<i4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.array([len(packed)], "<i8").tobytes(), *parts, lengths, *packed]))
 
 
 def _unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -103,7 +166,20 @@ def _unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return ids, rows, starts, numbers, np.concatenate([[0], np.cumsum(lengths)]) + at, raw
 
 
-def _sent(window: int, k: int, buckets: int, hot: frozenset[int], block_bytes: int):
+def _repeated_in_block(hashes: np.ndarray, packed: list[bytes], ids: np.ndarray) -> np.ndarray:
+    """Marks super-k-mers whose string another of a smaller id has too. Strings are compared where hashes are equal."""
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    met = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]) if len(order) else order
+    least: dict[bytes, int] = {}
+    for i in met.tolist():
+        least[packed[i]] = min(least.get(packed[i], ids[i]), ids[i])
+    out = np.zeros(len(hashes), bool)
+    out[met] = [ids[i] > least[packed[i]] for i in met.tolist()]
+    return out
+
+
+def _sent(window: int, k: int, buckets: int, hot: np.ndarray, block_bytes: int):
     """Documents to rows (bucket, block): super-k-mers for the buckets, and windows already known to repeat.
 
     Of equal super-k-mers of a block only those of the least id are sent on; the others repeat them, and go as
@@ -111,53 +187,44 @@ def _sent(window: int, k: int, buckets: int, hot: frozenset[int], block_bytes: i
     not grow with the number of documents that have it.
     """
 
-    def flush(best: dict[bytes, tuple[int, int, list[tuple[int, int]]]], marks: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-        by_bucket: dict[int, tuple[list, list, list, list, list]] = defaultdict(lambda: ([], [], [], [], []))
-        for packed, (number, id_, starts) in best.items():
-            out = by_bucket[(number * 0x9E3779B1 & 0xFFFFFFFF) * buckets >> 32]
-            for row, start in starts:
-                for column, value in zip(out, (id_, row, start, number, packed), strict=True):
-                    column.append(value)
-        for id_, row, start, windows in marks:
-            out = by_bucket[xxhash.xxh32_intdigest(id_.to_bytes(8, "little", signed=True)) % buckets]
-            for column, value in zip(out, (id_, row, start, windows, b""), strict=True):
-                column.append(value)
-        blocks = [_pack_block(*columns) for columns in by_bucket.values()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(by_bucket), pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"]
-        )
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        ids, rows, starts, numbers, windows, hashes = (np.concatenate(c) for c in zip(*(h[:-1] for h in held), strict=True))
+        packed = [p for h in held for p in h[-1]]
+        known = _repeated_in_block(hashes, packed, ids)
+        to = np.where(known, _mix(ids.astype(np.uint64)) & _LOW, numbers.astype(np.uint64) * np.uint64(0x9E3779B1) & _LOW) * np.uint64(buckets) >> np.uint64(32)
+        told = np.where(known, windows, numbers)
+        order = np.argsort(to, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(to[order].astype(np.int64)) != 0, [True]]))
+        names, blocks = [], []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            at = order[lo:hi]
+            names.append(int(to[at[0]]))
+            strings = [b"" if r else packed[i] for i, r in zip(at.tolist(), known[at].tolist(), strict=True)]
+            blocks.append(_pack_block([ids[at], rows[at], starts[at], told[at]], strings))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[bytes, tuple[int, int, list[tuple[int, int]]]] = {}
-        marks: list[tuple[int, int, int, int]] = []
-        held = 0
+        powers, held, size = _Powers(), [], 0
         for batch in batches:
-            for id_, row, text in zip(batch["id"].to_pylist(), batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                words = _words(text)
-                for number, start, packed in super_kmers(words, window, k, hot):
-                    old = best.get(packed)
-                    if old is None:
-                        best[packed] = (number, id_, [(row, start)])
-                        held += len(packed)
-                    elif old[1] == id_:
-                        old[2].append((row, start))
-                    else:
-                        windows = packed.count(b" ") + 2 - window
-                        if old[1] < id_:
-                            marks.append((id_, row, start, windows))
-                        else:
-                            marks += [(old[1], *at, windows) for at in old[2]]
-                            best[packed] = (number, id_, [(row, start)])
-                if held >= block_bytes:
-                    yield flush(best, marks)
-                    best, marks, held = {}, [], 0
-        yield flush(best, marks)
+            for texts, ids, rows in _portions(batch, "id", "row"):
+                cut = Cut(texts, window, k, hot, powers)
+                if cut.packed:
+                    held.append((np.array(ids, np.int64)[cut.doc], np.array(rows, np.int64)[cut.doc], cut.start, cut.number, cut.windows, cut.hash, cut.packed))
+                    size += sum(map(len, cut.packed))
+                if size >= block_bytes:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
 
     return send
 
 
 def _repeats(window: int):
-    """All blocks of a partition to (id, row, first, last): runs of windows that also start in a smaller id."""
+    """Blocks, sorted by bucket, to (id, row, first, last): runs of windows that also start in a smaller id.
+
+    One bucket is held at a time.
+    """
 
     def of_number(entries: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
         """entries: id, row, start, string of one number. Sorts their windows; yields (id, row, place of the window)."""
@@ -185,32 +252,43 @@ def _repeats(window: int):
             found = np.empty((0, 4), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.T], ["id", "row", "first", "last"])
 
-    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_bucket(blocks: list[bytes]) -> pa.RecordBatch:
         ids, rows, starts, numbers, block_of, begins, ends, raws = [], [], [], [], [], [], [], []
-        found: list[np.ndarray] = []
+        found: list[np.ndarray] = [np.empty((0, 3), np.int64)]
+        for block in blocks:
+            i, r, s, n, at, raw = _unpack_block(block)
+            real = at[1:] > at[:-1]
+            if not real.all():  # marks: the number says how many windows
+                many = n[~real].astype(np.int64)
+                within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                found.append(np.column_stack([np.repeat(i[~real], many), np.repeat(r[~real], many), np.repeat(s[~real].astype(np.int64), many) + within]))
+            ids.append(i[real]), rows.append(r[real]), starts.append(s[real]), numbers.append(n[real])
+            begins.append(at[:-1][real]), ends.append(at[1:][real])
+            block_of.append(np.full(real.sum(), len(raws)))
+            raws.append(raw)
+        i, r, s, n, o, b, e = map(np.concatenate, (ids, rows, starts, numbers, block_of, begins, ends))
+        order = np.argsort(n, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(n[order].astype(np.int64)) != 0, [True]])) if len(n) else np.array([0])
+        groups = np.flatnonzero(np.diff(edges) > 1)  # numbers that one super-k-mer has repeat nothing elsewhere
+        for lo, hi in zip(edges[groups].tolist(), edges[groups + 1].tolist(), strict=True):
+            group = order[lo:hi]
+            if (i[group] != i[group[0]]).any():
+                entries = [(int(i[x]), int(r[x]), int(s[x]), raws[o[x]][b[x] : e[x]]) for x in group.tolist()]
+                if places := list(of_number(entries)):
+                    found.append(np.array(places, np.int64))
+        return runs(np.concatenate(found))
+
+    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks = None, []
         for batch in batches:
-            for block in batch["block"].to_pylist():
-                i, r, s, n, at, raw = _unpack_block(block)
-                real = at[1:] > at[:-1]
-                if not real.all():  # marks: the number says how many windows
-                    many = n[~real].astype(np.int64)
-                    within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    found.append(np.column_stack([np.repeat(i[~real], many), np.repeat(r[~real], many), np.repeat(s[~real].astype(np.int64), many) + within]))
-                ids.append(i[real]), rows.append(r[real]), starts.append(s[real]), numbers.append(n[real])
-                begins.append(at[:-1][real]), ends.append(at[1:][real])
-                block_of.append(np.full(real.sum(), len(raws)))
-                raws.append(raw)
-        if ids:
-            i, r, s, n, o, b, e = map(np.concatenate, (ids, rows, starts, numbers, block_of, begins, ends))
-            order = np.argsort(n, kind="stable")
-            edges = np.flatnonzero(np.concatenate([[True], np.diff(n[order]) != 0, [True]])) if len(n) else np.array([0])
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                group = order[lo:hi]
-                if hi - lo > 1 and (i[group] != i[group[0]]).any():
-                    entries = [(int(i[x]), int(r[x]), int(s[x]), raws[o[x]][b[x] : e[x]]) for x in group.tolist()]
-                    if places := list(of_number(entries)):
-                        found.append(np.array(places, np.int64))
-        yield runs(np.concatenate(found) if found else np.empty((0, 3), np.int64))
+            for bucket, block in zip(batch["bucket"].to_pylist(), batch["block"].to_pylist(), strict=True):
+                if bucket != now and blocks:
+                    yield of_bucket(blocks)
+                    blocks = []
+                now = bucket
+                blocks.append(block)
+        if blocks:
+            yield of_bucket(blocks)
 
     return repeats
 
@@ -231,9 +309,10 @@ def repeated_windows(
 
     The number of buckets follows the bytes of text. Minimisers with very many super-k-mers are counted first,
     over all documents; their windows travel alone, to buckets by their own words, so that no bucket gets a
-    common line's whole neighbourhood. Each of them stands for hot_rows super-k-mers or more, so the driver and
-    the tasks get at most (super-k-mers / hot_rows) numbers. The count leaves out numbers that a batch has
-    once; it only decides how windows travel, never what is found.
+    common line's whole neighbourhood. Each of them has hot_rows super-k-mers and HOT_SHARE of all at least, so the
+    driver and the tasks get 1 / HOT_SHARE numbers at most. The count leaves out numbers that a batch has
+    once; it only decides how windows travel, never what is found. Partitions are sorted by bucket, and a task holds
+    one bucket.
     """
     if window < minimiser:
         raise ValueError("window must have as many words as a minimiser at least")
@@ -242,11 +321,13 @@ def repeated_windows(
     ).withColumn("row", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / bucket_bytes))
-    counted = rows.select("text").mapInArrow(_frequent(window, minimiser), "number long, n long")
-    hot = counted.groupBy("number").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_rows).select("number").collect()
-    numbers = frozenset(r["number"] for r in hot)
+    counted = written(rows.select("text").mapInArrow(_frequent(window, minimiser), "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).where(F.col("number").isNull() | (F.col("n") >= hot_rows)))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = counted.where("number IS NOT NULL").where(F.col("n") >= HOT_SHARE * total).select("number").collect()
+    numbers = np.array(sorted(r["number"] for r in hot), np.uint32)
     sent = rows.mapInArrow(_sent(window, minimiser, buckets, numbers, block_bytes), "bucket int, block binary")
-    return sent.repartition(buckets, "bucket").mapInArrow(_repeats(window), "id long, row long, first long, last long")
+    dealt = sent.repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_repeats(window), "id long, row long, first long, last long")
 
 
 def _kept(window: int, keep_text: bool):

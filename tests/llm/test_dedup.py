@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -146,9 +147,9 @@ def test_substrings_match_plain_version(docs):
         pairs.append((i * 3 % 83, " ".join(w)))
     pairs += [(200, None), (201, ""), (202, "x " * 400), (203, "x " * 399), (204, pairs[0][1]), (205, "É  é\tñ " * 8), (206, "É é ñ\n" * 8)]
     d, want = docs(*pairs), plain_substrings(pairs, 13)
-    for options in ({}, {"hot_rows": 2, "bucket_bytes": 300, "block_bytes": 500}, {"hot_rows": 1}):
+    for options in ({}, {"hot_rows": 2, "bucket_bytes": 300, "block_bytes": 500}, {"hot_rows": 1}, {"minimiser": 3}, {"minimiser": 13}):
         assert out(substrings.substring_duplicates(d, **options), "doc_id", "n_words", "n_removed", "kept_sha256") == want
-    assert out(substrings.substring_duplicates(d, window=4), "doc_id", "n_words", "n_removed", "kept_sha256") == plain_substrings(pairs, 4)
+    assert out(substrings.substring_duplicates(d, window=4, minimiser=2), "doc_id", "n_words", "n_removed", "kept_sha256") == plain_substrings(pairs, 4)
 
 
 def test_substrings_of_rows_that_share_an_id(docs):
@@ -167,12 +168,25 @@ def test_substrings_edges(docs):
     assert substrings.substring_duplicates(docs()).count() == 0
 
 
-@given(st.lists(st.sampled_from([b"a", b"b", b"cc", b"d"]), max_size=40), st.sets(st.integers(0, 3), max_size=2))
-def test_super_kmers_hold_every_window_once(words, odd):
-    n, k = 5, 2
-    hot = frozenset(int(x) for x in substrings.minimisers(words, n, k)[list(odd)[:1]]) if len(words) >= n + 4 else frozenset()
-    got = []
-    for _, start, packed in substrings.super_kmers(words, n, k, hot):
+@given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"cc", b"d"]), max_size=30), max_size=4), st.booleans())
+def test_super_kmers_hold_every_window_once(texts, some_hot):
+    n, k, powers = 5, 2, substrings._Powers()
+    none = np.empty(0, np.uint32)
+    cut = substrings.Cut(texts, n, k, none, powers)
+    if some_hot:
+        cut = substrings.Cut(texts, n, k, np.sort(cut.number[:2]), powers)
+    got, hashes = [], {}
+    for doc, start, windows, h, packed in zip(cut.doc.tolist(), cut.start.tolist(), cut.windows.tolist(), cut.hash.tolist(), cut.packed, strict=True):
         w = packed.split(b" ")
-        got += [(start + i, tuple(w[i : i + n])) for i in range(len(w) - n + 1)]
-    assert got == [(i, tuple(words[i : i + n])) for i in range(len(words) - n + 1)]
+        assert len(w) - n + 1 == windows and hashes.setdefault(packed, h) == h
+        got += [(doc, start + i, tuple(w[i : i + n])) for i in range(windows)]
+    assert sorted(got) == [(d, i, tuple(t[i : i + n])) for d, t in enumerate(texts) for i in range(len(t) - n + 1)]
+    numbers = {}
+    for number, packed in zip(cut.number.tolist(), cut.packed, strict=True):
+        w = packed.split(b" ")
+        assert all(numbers.setdefault(tuple(w[i : i + n]), number) == number for i in range(len(w) - n + 1))
+
+
+def test_equal_hashes_of_different_strings_are_no_repeats():
+    hashes, packed, ids = np.array([5, 5, 5, 7, 5], np.uint64), [b"a", b"b", b"a", b"a", b"a"], np.array([4, 1, 3, 9, 3])
+    assert substrings._repeated_in_block(hashes, packed, ids).tolist() == [True, False, False, False, False]
