@@ -23,8 +23,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, on five-word shingles at similarity 0.8."""
-    return minhash.drop_near_duplicates(docs)
+    """One document of each component of near copies, as op1 has them: two-word shingles at similarity 0.8."""
+    return minhash.drop_near_duplicates(docs, shingle_words=2)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The characters that separate words, `[\x20\x09-\x0D]`.
@@ -15,10 +16,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, local mode gets a temporary one.
+
+    On a cluster a machine's own folder would lose what other machines write, so there an unset folder is an error.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
     return folder
@@ -49,3 +55,25 @@ def without_spaces(text: Column) -> Column:
 def text_column(df: DataFrame, name: str) -> Column:
     """The named column as a string, null as empty."""
     return F.coalesce(df[name].cast("string"), F.lit(""))
+
+
+def row_hash(df: DataFrame, text_col: str) -> Column:
+    """Tells rows of one id apart by their texts."""
+    return F.xxhash64(text_column(df, text_col))
+
+
+def only_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs, in its own columns, with one row for each of chosen(id, hash, copies): those of that id and row_hash.
+
+    copies: how many rows docs has of it. Of more than one, that whose columns come first as JSON stays.
+    """
+    chosen = written(chosen.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), "copies"))
+    same = docs[id_col].cast("long").eqNullSafe(chosen["__id"]) & (row_hash(docs, text_col) == chosen["__hash"])
+    if chosen.where("copies > 1").isEmpty():
+        return docs.join(chosen, same, "left_semi")
+    once = docs.join(chosen.where("copies = 1"), same, "left_semi")
+    repeated = docs.join(chosen.where("copies > 1"), same)
+    first = Window.partitionBy("__id", "__hash").orderBy("__json")
+    repeated = repeated.withColumn("__json", F.to_json(F.struct(*(docs[c] for c in docs.columns))))
+    kept = repeated.withColumn("__first", F.row_number().over(first)).where("__first = 1")
+    return once.unionByName(kept.select(*(docs[c] for c in docs.columns)))

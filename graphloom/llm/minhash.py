@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.common import text_column, written
+from graphloom.llm.common import only_rows, row_hash, text_column, written
 
 SHINGLE_WORDS = 5
 #: Similarity from which documents are linked, in hundredths.
@@ -72,6 +72,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_pydict(
             {
                 "id": batch["id"],
+                "hash": batch["hash"],
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 "a": _lists([s[0] for s in sides]),
@@ -105,7 +106,7 @@ def _tables(classes: DataFrame) -> DataFrame:
 
 def _full_sets(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, items): the shingle sets of the given ids; rows that share an id put theirs together."""
-    found = texts.join(ids, "id", "left_semi").mapInArrow(lambda it: _sets(it, k), "id long, items array<long>")
+    found = texts.select("id", "text").join(ids, "id", "left_semi").mapInArrow(lambda it: _sets(it, k), "id long, items array<long>")
     return written(found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")))
 
 
@@ -173,10 +174,20 @@ def near_duplicates(
     are one node: they share a component. Empty table: no rows. Other columns are ignored. The id must be an
     integer.
     """
-    texts = docs.select(docs[id_col].cast("long").alias("id"), text_column(docs, text_col).alias("text"))
+    return _judged(docs, id_col, text_col, shingle_words, similar).select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similar: int) -> DataFrame:
+    """(id, hash, n, component) of each row."""
+    texts = docs.select(docs[id_col].cast("long").alias("id"), row_hash(docs, text_col).alias("hash"), text_column(docs, text_col).alias("text"))
     signed = written(
         texts.mapInArrow(
-            lambda it: _signed(it, shingle_words), "id long, n long, digest binary, a array<long>, b array<long>"
+            lambda it: _signed(it, shingle_words), "id long, hash long, n long, digest binary, a array<long>, b array<long>"
         )
     )
     groups = written(signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")))
@@ -207,21 +218,24 @@ def near_duplicates(
     if not more.isEmpty():
         parts = components(links.unionByName(more))
 
-    component = F.coalesce("component", "rep", "id")
     return (
-        signed.select("id", "n", "digest")
+        signed.select("id", "hash", "n", "digest")
         .join(groups, "digest", "left")
         .join(parts, F.col("rep") == F.col("node"), "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.col("n").alias("n_shingles"),
-            component.alias("component_id"),
-            F.col("id").eqNullSafe(component).alias("kept"),
-        )
+        .select("id", "hash", "n", F.coalesce("component", "rep", "id").alias("component"))
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs, in its own columns, with one document of each component of near_duplicates."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, similar: int = SIMILAR
+) -> DataFrame:
+    """docs, in its own columns, with one row of each component of near_duplicates: one of its smallest id.
+
+    Where several rows have that id, the text with the least hash stays, and of rows repeated whole one. Of rows with
+    a null id that are kept, one of each text stays. Null and empty texts are alike, and are copies of nothing with
+    another id. Empty table: no rows. Columns of any name are kept as they are. The id must be an integer.
+    """
+    kept = _judged(docs, id_col, text_col, shingle_words, similar).where(F.col("id").eqNullSafe(F.col("component")))
+    counted = kept.groupBy("id", "hash").agg(F.count("*").alias("copies"))
+    one = counted.groupBy("id", F.when(F.col("id").isNull(), F.col("hash")).alias("of")).agg(F.min(F.struct("hash", "copies")).alias("c"))
+    return only_rows(docs, one.select("id", "c.*"), id_col, text_col)
