@@ -25,7 +25,9 @@ LEAST_ROWS = 3
 EVIDENCE = 10.8
 #: How far the norm of a term's factors must stand out when all terms are tried, in median deviations.
 STANDS_OUT = 6.0
-FACTORS, EPOCHS, STEPS, BATCH, RATE, DECAY = 8, 25, 1_500, 128, 0.08, 1e-4
+FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 25, 128, 0.08, 1e-4
+#: Steps of learning, at least and at most.
+FEWEST_STEPS, MOST_STEPS = 250, 1_500
 #: Trial over all terms: rows at most, steps, and steps for one pass over the rows.
 TRIAL_ROWS, TRIAL_STEPS, TRIAL_BATCHES = 6_000, 80, 8
 #: Lengths of word beginnings that are terms of their own, so that unseen compounds of a known stem count.
@@ -158,7 +160,7 @@ class FactorizationMachine:
 
 def _learnt(buckets: np.ndarray, texts: Rows, labels: np.ndarray) -> FactorizationMachine:
     model = FactorizationMachine.fresh(buckets, labels.mean())
-    model.learn(texts.within(buckets), labels, min(STEPS, EPOCHS * -(-len(labels) // BATCH)), BATCH)
+    model.learn(texts.within(buckets), labels, min(MOST_STEPS, max(FEWEST_STEPS, EPOCHS * -(-len(labels) // BATCH))), BATCH)
     return model
 
 

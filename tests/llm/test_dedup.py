@@ -48,6 +48,15 @@ def test_exact_ties_go_to_the_smallest_id(docs):
     assert out(exact.exact_duplicates(docs((-(2**63), "x"), (2**63 - 1, "x"))), "keep_id") == [(-(2**63),)] * 2
 
 
+def test_one_row_of_each_group_stays(docs):
+    d = docs((1, "a b"), (1, "a b"), (1, "a\tb"), (1, "c"), (0, "c"), (None, "d"), (None, "d"), (2, None), (3, ""))
+    assert out(exact.drop_exact_duplicates(d), "doc_id", "text")[:1] == [(0, "c")]
+    assert [r[0] for r in out(exact.drop_exact_duplicates(d), "doc_id")] == [0, 1, 2, None]
+    d = docs((1, "a b c"), (1, "a b c"), (1, "other words here"), (2, "a b c"), (None, "p q"), (None, "p q"), (None, "r s"), (5, None), (6, ""), (6, ""))
+    left = minhash.drop_near_duplicates(d, shingle_words=2)
+    assert [r[0] for r in out(left, "doc_id")] == [1, 5, 6, None, None] and left.columns == d.columns
+
+
 def test_exact_both_ways_agree(docs):
     d = docs(*[(i, f"t{i % 7}" if i % 3 else "hot text") for i in range(90)])
     assert out(exact.exact_duplicates(d)) == out(exact.exact_duplicates(d, tracked=32, frequent=1))

@@ -13,8 +13,11 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from test_dedup import plain_components
+from test_scans import plain_contamination
+
 import corpus_pipeline
-from graphloom.llm import decontam, exact, minhash, packing, queries, rollup, sharding, toxicity
+from graphloom.llm import packing, queries, rollup, sharding, toxicity
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -207,34 +210,91 @@ def test_query_matches_sql(spark, name):
     assert out(got, *names) == sorted(db.sql(f"SELECT {', '.join(names)} FROM ({queries.ORACLES[name]})").fetchall(), key=key)
 
 
-@pytest.mark.skipif(not DATA.exists(), reason="no tables")
-def test_pipeline_stages(spark):
-    d = str(DATA)
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+def plain_toxic(model, text):
+    """Whether the sum of weights and of products over pairs of the text's weighed terms reaches the threshold."""
+    at = {b: i + 1 for i, b in enumerate(model.buckets.tolist())}
+    words = set(re.findall(r"[^\W_]+", (text or "").lower()))
+    places = sorted({0} | {at[b] for w in words for b in toxicity._buckets(w) if b in at})
+    v = model.factors[places].astype(float)
+    total = model.linear[places].sum(dtype=float) + sum(v[i] @ v[:i].sum(axis=0) for i in range(1, len(v)))
+    return 1 / (1 + np.exp(-total)) >= toxicity.THRESHOLD
+
+
+def plain_exact(rows):
+    """Of rows (id, text, ...) those that stay."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r[1] or ""), []).append(r)
+    return [min(g, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0)) for g in groups.values()]
+
+
+def plain_near(rows, k=2):
+    """Of rows with ids of their own, those with the smallest id of their component."""
+    kept = {i for i, _, component, is_kept in plain_components([r[:2] for r in rows if r[0] is not None], k, 80) if is_kept}
+    return [r for r in rows if r[0] is None or r[0] in kept]
+
+
+def plain_clean(rows, items):
+    dirty = {r[0] for r in plain_contamination([r[:2] for r in rows if r[0] is not None], items) if r[5]}
+    return [r for r in rows if r[0] not in dirty]
+
+
+def run_stages(spark, sf_dir):
+    """Rows before and after each stage but the last, and the last one's pieces."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = corpus_pipeline.written(stage(spark, docs, d))
+        after = corpus_pipeline.written(stage(spark, docs, sf_dir))
         assert after.schema.names == docs.schema.names
-        kept[name] = (docs, after)
+        kept[name] = (out(docs), out(after))
         docs = after
+    return kept, [tuple(r) for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()]
 
-    def ids(df):
-        return {r.doc_id for r in df.select("doc_id").collect()}
 
-    before, after = kept["toxicity"]
-    verdict = toxicity.toxicity(before, spark.read.parquet(f"{d}/labels.parquet"))
-    assert ids(after) == ids(verdict.where("predicted = 0"))
-    before, after = kept["exact_dedup"]
-    assert ids(after) == ids(exact.exact_duplicates(before).where("kept"))
-    groups = {}
-    for r in before.collect():
-        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r.text or ""), []).append((-len(r.text or ""), r.doc_id))
-    assert ids(after) == {min(g)[1] for g in groups.values()}
-    before, after = kept["near_dedup"]
-    assert ids(after) == ids(minhash.near_duplicates(before).where("kept"))
-    before, after = kept["decontamination"]
-    assert ids(after) == ids(decontam.contamination(before, spark.read.parquet(f"{d}/benchmark.parquet")).where("NOT contaminated"))
-    name, pack = corpus_pipeline.STAGES[-1]
-    whole = packing.public_tokenizer()().whole
-    tokens = {r.doc_id: [*whole.encode(r.text or "", add_special_tokens=False).ids, 1] for r in docs.collect()}
-    assert check_packing([tuple(r) for r in pack(spark, docs, d).collect()], tokens, packing.CAPACITY) < 0.02
+def hold_against_plain_versions(spark, sf_dir, kept, pieces):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id IS NOT NULL").collect()]
+    model = toxicity.fit(docs, labels.where(~toxicity.is_held_out(labels["doc_id"])))
+
+    def same(name, plain):
+        before, after = kept[name]
+        assert Counter(after) == Counter(plain(before)), name
+
+    same("toxicity", lambda rows: [r for r in rows if not plain_toxic(model, r[1])])
+    same("exact_dedup", plain_exact)
+    same("near_dedup", plain_near)
+    same("decontamination", lambda rows: plain_clean(rows, items))
+    whole, left = packing.public_tokenizer()().whole, kept["decontamination"][1]
+    tokens = {r[0]: [*whole.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in left}
+    return check_packing(pieces, tokens, packing.CAPACITY)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+def test_pipeline_stages_match_plain_versions(spark):
+    kept, pieces = run_stages(spark, str(DATA))
+    assert hold_against_plain_versions(spark, str(DATA), kept, pieces) < 0.02
+    assert len(kept["near_dedup"][1]) < len(kept["near_dedup"][0]) < len(kept["exact_dedup"][0]) < len(kept["toxicity"][0])
+
+
+def test_pipeline_of_nulls_repeats_and_extra_columns(spark, tmp_path):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    item = " ".join(f"q{i}" for i in range(25))
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(1, 50)) + ["zlarf"] * (i % 6 == 0))) for i in range(150)]
+    near = rows[1][1].split()
+    rows += [(200 + i, " ".join(near[:-1] + [f"t{i}"])) for i in range(4)] + [(220, f"{item} tail"), (221, " ".join([item, *(f"z{i}" for i in range(900))]))]
+    rows += [(300, None), (301, ""), (302, " \t"), (1, rows[1][1]), (1, rows[1][1]), (2, f" {rows[2][1]}"), (None, rows[3][1]), (None, "alone"), (400, "x " * 20_000)]
+    schema = "doc_id long, text string, id long, hash string, copies int, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, 1, "h", 2, None, "s", 0) for i, t in rows], schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int("zlarf" in (t or "")), None) for i, t in rows[:150]] + [(None, 1, 1)], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (2, None), (None, "w1")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept, pieces = run_stages(spark, str(tmp_path))
+    hold_against_plain_versions(spark, str(tmp_path), kept, pieces)
+    left = [r[0] for r in kept["decontamination"][1]]
+    assert len(left) == len(set(left)) and None in left and 220 not in left and 221 in left and not any(i and i < 150 and i % 6 == 0 for i in left)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string"), ("labels", "doc_id long, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
