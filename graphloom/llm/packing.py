@@ -14,8 +14,10 @@ from graphloom.llm.common import text_column, written
 
 CAPACITY = 2048
 END_ID = 1
-#: Rows of one remaining length that are numbered in one group; more are split by a hash.
-GROUP_ROWS = 20_000
+#: Rows of one remaining length that are numbered in one group, on average; more are split by a hash.
+GROUP_ROWS = 500
+#: Most slots that are broadcast (40 bytes each); more are joined by a shuffle.
+BROADCAST_SLOTS = 500_000
 _MEMO = 600_000
 #: Makes a function from text to its ids as little-endian four-byte numbers.
 Tokenizer = Callable[[], Callable[[str], bytes]]
@@ -177,8 +179,8 @@ def pack(
     tokenizer: makes, in the worker, a function from text to ids as little-endian four-byte numbers. Every document's ids, with `end_id` behind,
     are cut into pieces of `capacity`, which are sequences of their own, and a remainder. The driver gets the
     number of remainders of each length (at most `capacity` numbers, however many rows) and plans the bins; a
-    remainder finds its place by its rank among those of its length. Lengths of many rows are ranked in groups
-    by a hash, whose sizes are added up, so that no task gets all rows of one length.
+    remainder finds its place by its rank among those of its length. Lengths of more than group_rows rows are ranked
+    in groups by a hash, whose sizes are added up, so that no task gets all rows of one length.
 
     Null and empty texts are the end id alone (without one: no row). Rows with null or repeated ids are packed
     like any others. Empty table: no rows. Other columns are ignored. sequence_id counts from 0, without gaps.
@@ -208,16 +210,17 @@ def pack(
         slots, "length bigint, low bigint, high bigint, each bigint, first_sequence bigint, first_offset bigint"
     )
 
-    groups = max(1, -(-max(counts.values(), default=0) // group_rows))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(groups)))
+    # capacity rows at most
+    groups = spark.createDataFrame([(n, -(-c // group_rows)) for n, c in counts.items()], "length bigint, groups bigint")
+    dealt = pieces.join(F.broadcast(groups), "length").withColumn("group", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.col("groups")))
     sizes = dealt.groupBy("length", "group").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     in_group = Window.partitionBy("length", "group").orderBy("id", "start", "ids_crc32")
     ranked = dealt.withColumn("at", F.row_number().over(in_group) - 1).join(sizes, ["length", "group"])
     ranked = ranked.withColumn("rank", F.col("at") + F.col("before"))
-    # capacity ** 2 / 2 slots at most, and as a rule a few thousand: the plan has one kind of bin for each length or so.
-    placed = ranked.join(F.broadcast(slot), "length").where("low <= rank AND rank < high")
+    # As a rule a few thousand: the plan has one kind of bin for each length or so.
+    placed = ranked.join(F.broadcast(slot) if len(slots) <= BROADCAST_SLOTS else slot, "length").where("low <= rank AND rank < high")
     here = F.col("rank") - F.col("low")
     return placed.select(
         F.col("id").alias(id_col),
@@ -239,3 +242,31 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> Callable[[], WordTokeni
         return WordTokenizer(public_tokenizers.path(name))
 
     return make
+
+
+def token_counter(name: str = "word_bpe_49k.json") -> Callable[[], Callable[[str], int]]:
+    """Makes, in the worker, a function from a text to the number of its ids by public_tokenizer."""
+    make = public_tokenizer(name)
+
+    def counter() -> Callable[[str], int]:
+        tokenize = make()
+        return lambda text: len(tokenize(text)) // 4
+
+    return counter
+
+
+def byte_token_counter(name: str = "byte_bpe_50k.tiktoken") -> Callable[[], Callable[[str], int]]:
+    """The same for a public file of byte-level ranks."""
+
+    def counter() -> Callable[[str], int]:
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(public_tokenizers.path(name)) as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(str.split, lines)}
+        encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda text: len(encode(text))
+
+    return counter

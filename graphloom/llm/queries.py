@@ -75,10 +75,10 @@ MARKS = "[#$%&*|]+"
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals after four batches over all documents, one of them sent twice.
+    """Token totals of all documents after five batches, one of them sent twice.
 
     First every document is counted by words; then by letters and digits too. Then documents with marks are
-    counted anew without them, and documents of fewer than 200 characters are deleted.
+    counted anew without them, and documents of fewer than 200 characters are deleted, and come back.
     """
 
     def words(text):
@@ -95,12 +95,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     book.commit("3-marks", rollup.count_changes(marked, {"words-1": words(F.regexp_replace(text, MARKS, " "))}))
     short = docs.where(F.char_length(text) < 200)
     book.commit("4-short", rollup.delete_changes(short, ["words-1", "alnum-1"]))
+    counts = {"words-1": words(F.regexp_replace(text, MARKS, " ")), "alnum-1": F.regexp_count(text, F.lit("[A-Za-z0-9]+"))}
+    book.commit("5-back", rollup.count_changes(short, counts))
     return book.totals()
 
 
 OP5_SQL = r"""
 WITH d AS (
-  SELECT source, lang, coalesce(text, '') AS t FROM documents WHERE length(coalesce(text, '')) >= 200)
+  SELECT source, lang, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL)
 SELECT source, lang, 'words-1' AS tokenizer, count(*) AS docs, CAST(sum(len(list_filter(string_split_regex(
     regexp_replace(t, '[#$%&*|]+', ' ', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS BIGINT) AS tokens
 FROM d GROUP BY 1, 2
@@ -110,6 +112,18 @@ FROM d GROUP BY 1, 2
 """
 
 
+def token_rollup_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by two public tokenizers: all documents by one, then by the other too, then those with marks anew without them."""
+    docs = _table(spark, sf_dir, "documents")
+    first, second = {"word_bpe_49k": packing.token_counter("word_bpe_49k.json")}, {"byte_bpe_50k": packing.byte_token_counter("byte_bpe_50k.tiktoken")}
+    book = rollup.TokenRollup(spark, f"{shared_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}")
+    book.commit("1-word", rollup.tokenizer_changes(docs, first))
+    book.commit("2-byte", rollup.tokenizer_changes(docs, second))
+    marked = docs.where(F.col("text").rlike(MARKS)).withColumn("text", F.regexp_replace("text", MARKS, " "))
+    book.commit("3-marks", rollup.tokenizer_changes(marked, first | second))
+    return book.totals()
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), packing.public_tokenizer())
@@ -140,6 +154,11 @@ FROM d JOIN leaf ON leaf.p = d.h >> (60 - leaf.depth)
 """
 
 
+def shards_64k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard of at most 64 KiB of text: deep directories at any size of input."""
+    return sharding.shards(_table(spark, sf_dir, "documents"), 64 << 10)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the secrets found in it."""
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
@@ -221,6 +240,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "token_rollup_bpe": token_rollup_bpe,
+    "shards_64k": shards_64k,
 }
 
 ORACLES: dict[str, str] = {
@@ -230,4 +251,5 @@ ORACLES: dict[str, str] = {
     "op7_sharding": op7_sql(),
     "op9_substring_dedup": OP9_SQL,
     "op10_decontamination": OP10_SQL,
+    "shards_64k": op7_sql(64 << 10),
 }

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import text_column
+
 KEYS = ("source", "lang", "tokenizer")
+#: Buckets of documents by a hash of the id: a batch reads those that its documents are in.
+BUCKETS = 64
+#: Batches after which the ledger is folded into one state.
+COMPACT_EVERY = 16
 CHANGES = "batch_seq long, op string, doc_id long, source string, lang string, tokenizer string, tokens long"
 _TOTALS = "source string, lang string, tokenizer string, docs long, tokens long"
 
@@ -32,6 +39,33 @@ def count_changes(
     )
 
 
+def tokenizer_changes(
+    docs: DataFrame, tokenizers: Mapping[str, Callable[[], Callable[[str], int]]], op: str = "upsert", seq: int = 0,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """As count_changes, with counts that Python functions make of the whole text, null as empty.
+
+    tokenizers: by version, what makes, in the worker, the function from a text to its number of tokens.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = {name: make() for name, make in tokenizers.items()}
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            for name, of in count.items():
+                n = len(texts)
+                yield pa.RecordBatch.from_pydict({
+                    "batch_seq": pa.array([seq] * n, pa.int64()), "op": pa.array([op] * n, pa.string()), "doc_id": batch["doc_id"],
+                    "source": batch["source"], "lang": batch["lang"], "tokenizer": pa.array([name] * n, pa.string()),
+                    "tokens": pa.array(map(of, texts), pa.int64()),
+                })
+
+    rows = docs.select(
+        docs[id_col].cast("long").alias("doc_id"), docs["source"].cast("string"), docs["lang"].cast("string"), text_column(docs, text_col).alias("text")
+    )
+    return rows.mapInArrow(counted, CHANGES)
+
+
 def delete_changes(docs: DataFrame, tokenizers: list[str], seq: int = 0, id_col: str = "doc_id") -> DataFrame:
     """Changes that take the documents out of the totals."""
     return count_changes(docs.withColumns({"source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")}), {t: F.lit(0) for t in tokenizers}, "delete", seq, id_col)
@@ -71,38 +105,73 @@ def additive_totals(deltas: DataFrame) -> DataFrame:
     )
 
 
+def _bucket(id_: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(BUCKETS)).cast("int")
+
+
+_LEDGER = "doc_id long, source string, lang string, tokenizer string, tokens long, sign int, bucket int"
+
+
 class TokenRollup:
     """Totals under a folder in a store that driver and executors share.
 
-    Each batch writes its signed rows to ledger/batch=<id> and then its sums to deltas/batch=<id>, whose
-    _SUCCESS file is the commit. A batch that is committed already is not applied again; one that broke off is
-    not read, and is written anew when it is sent again. One writer at a time.
+    Each batch writes its signed rows to ledger/batch=<id>/bucket=<hash of the document>, and then its sums to
+    deltas/batch=<id>, whose _SUCCESS file is the commit. A batch that is committed already is not applied again;
+    one that broke off is not read, and is written anew when it is sent again. One writer at a time.
+
+    To find what its documents counted before, a batch reads the buckets that they are in, of the last state and of
+    later ledgers. After `compact_every` batches these are folded into a new state, state/<k>; the batches that it
+    has are named in folded/<k>, whose _SUCCESS file makes it count.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = COMPACT_EVERY):
+        self.spark, self.path, self.compact_every = spark, path.rstrip("/"), compact_every
 
     def _fs(self, path: str):
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
-    def committed(self) -> list[str]:
-        """Names of the batches that count."""
-        fs, folder = self._fs(f"{self.path}/deltas")
+    def _complete(self, part: str) -> list[str]:
+        """Names of the folders under a part that have been written in full."""
+        fs, folder = self._fs(f"{self.path}/{part}")
         if not fs.exists(folder):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(n.removeprefix("batch=") for n in names if fs.exists(self._fs(f"{self.path}/deltas/{n}/_SUCCESS")[1]))
+        return sorted(n for n in names if fs.exists(self._fs(f"{self.path}/{part}/{n}/_SUCCESS")[1]))
 
-    def _read(self, part: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{part}/batch={b}" for b in self.committed()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def state(self) -> DataFrame:
+    def committed(self) -> list[str]:
+        """Names of the batches that count."""
+        return [n.removeprefix("batch=") for n in self._complete("deltas")]
+
+    def _folded(self) -> tuple[int | None, set[str]]:
+        """The newest state's number, and the batches in it: a name for each, as listed in its folder."""
+        states = max(map(int, self._complete("folded")), default=None)
+        if states is None:
+            return None, set()
+        return states, {r.value for r in self.spark.read.text(f"{self.path}/folded/{states}").collect()}
+
+    def ledger(self, buckets: list[int] | None = None) -> DataFrame:
+        """Signed rows of all batches, of the state folded last and the batches after it. buckets: none but these."""
+        state, folded = self._folded()
+        parts = [f"{self.path}/ledger/batch={b}" for b in self.committed() if b not in folded]
+        if state is not None:
+            parts.insert(0, f"{self.path}/state/{state}")
+        out = self.spark.createDataFrame([], _LEDGER)
+        for part in parts:
+            fs, folder = self._fs(part)
+            names = {f.getPath().getName() for f in fs.listStatus(folder)}
+            there = sorted(n for n in names if n.startswith("bucket=")) if buckets is None else [f"bucket={b}" for b in buckets if f"bucket={b}" in names]
+            if there:
+                out = out.unionByName(self.spark.read.schema(_LEDGER).option("basePath", part).parquet(*(f"{part}/{n}" for n in there)))
+        return out
+
+    def state(self, buckets: list[int] | None = None) -> DataFrame:
         """(doc_id, tokenizer, source, lang, tokens) of every document now: signed rows that do not cancel."""
-        ledger = self._read("ledger", "doc_id long, source string, lang string, tokenizer string, tokens long, sign int")
         keys = ["doc_id", "tokenizer", "source", "lang", "tokens"]
-        return ledger.groupBy(*keys).agg(F.sum("sign").alias("n")).where("n > 0").select(*keys)
+        return self.ledger(buckets).groupBy(*keys).agg(F.sum("sign").alias("n")).where("n > 0").select(*keys)
+
+    def _write(self, rows: DataFrame, path: str) -> None:
+        rows.withColumn("bucket", _bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Applies a batch once; False if it is committed already. batch_id: letters, digits, - and _."""
@@ -110,15 +179,29 @@ class TokenRollup:
             raise ValueError(f"not a batch id: {batch_id!r}")
         if batch_id in self.committed():
             return False
-        ledger = f"{self.path}/ledger/batch={batch_id}"
-        signed_deltas(changes, self.state()).write.mode("overwrite").parquet(ledger)
-        schema = "doc_id long, source string, lang string, tokenizer string, tokens long, sign int"
-        additive_totals(self.spark.read.schema(schema).parquet(ledger)).write.mode("overwrite").parquet(
-            f"{self.path}/deltas/batch={batch_id}"
-        )
+        # Written once: its buckets are looked at before its rows are used.
+        sent, ledger = f"{self.path}/sent/batch={batch_id}", f"{self.path}/ledger/batch={batch_id}"
+        changes.write.mode("overwrite").parquet(sent)
+        changes = self.spark.read.schema(CHANGES).parquet(sent)
+        buckets = sorted(r.b for r in changes.where("doc_id IS NOT NULL").select(_bucket().alias("b")).distinct().collect())  # BUCKETS at most
+        self._write(signed_deltas(changes, self.state(buckets)), ledger)
+        signed = self.spark.read.schema(_LEDGER).parquet(ledger)
+        additive_totals(signed).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
+        if len(self.committed()) - len(self._folded()[1]) >= self.compact_every:
+            self.compact()
         return True
 
+    def compact(self) -> None:
+        """Folds all batches into one state. What broke off is not read, and is written over later."""
+        state, batches = self._folded()[0], self.committed()
+        number = 0 if state is None else state + 1
+        self._write(self.state().withColumn("sign", F.lit(1)), f"{self.path}/state/{number}")
+        names = self.spark.createDataFrame([(b,) for b in batches], "value string")
+        names.coalesce(1).write.mode("overwrite").text(f"{self.path}/folded/{number}")
+
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) now, from the batches' sums alone. Empty groups are left out."""
-        sums = self._read("deltas", _TOTALS).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        paths = [f"{self.path}/deltas/batch={b}" for b in self.committed()]
+        deltas = self.spark.read.schema(_TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], _TOTALS)
+        sums = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.where("docs != 0 OR tokens != 0")

@@ -96,26 +96,12 @@ def shards(
     """
     if limit < 1:
         raise ValueError("limit must be positive")
-    sizes = written(
-        docs.select(
-            docs[id_col].alias("id"),
-            hash_bits(docs[id_col]).alias("hash"),
-            F.octet_length(text_column(docs, text_col)).cast("long").alias("bytes"),
-        )
-    )
-    leaves = written(directory(sizes.select("hash", "bytes"), limit)).withColumnsRenamed(
-        {"bytes": "shard_bytes", "docs": "shard_docs"}
-    )
-    depths = sorted(r.depth for r in leaves.select("depth").distinct().collect())  # 61 values at most
-    if leaves.count() <= broadcast_leaves:
-        leaves = F.broadcast(leaves)
-    probes = sizes.select("id", "hash", "bytes", F.explode(F.array(*map(F.lit, depths or [0]))).alias("depth"))
-    probes = probes.withColumn("prefix", _prefix("hash", F.col("depth")))
-    bits = F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), F.lit("0"))
-    return probes.join(leaves, ["depth", "prefix"]).select(
+    sizes = written(_sizes(docs, id_col, text_col))
+    leaves = written(directory(sizes.select("hash", "bytes"), limit))
+    return _placed(sizes, leaves, broadcast_leaves).select(
         F.col("id").alias(id_col),
-        bits.alias("shard_id"),
-        F.col("depth"),
+        "shard_id",
+        "depth",
         F.col("bytes").alias("text_bytes"),
         "shard_bytes",
         "shard_docs",
@@ -123,15 +109,40 @@ def shards(
     )
 
 
+def _sizes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(
+        docs[id_col].alias("id"),
+        hash_bits(docs[id_col]).alias("hash"),
+        F.octet_length(text_column(docs, text_col)).cast("long").alias("bytes"),
+    )
+
+
+def _placed(rows: DataFrame, leaves: DataFrame, broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
+    """rows, which have a column hash, with shard_id, depth, shard_bytes and shard_docs of their bucket in the directory."""
+    depths = sorted(r.depth for r in leaves.select("depth").distinct().collect())  # 61 values at most
+    leaves = leaves.withColumnsRenamed({"bytes": "shard_bytes", "docs": "shard_docs"})
+    if leaves.count() <= broadcast_leaves:
+        leaves = F.broadcast(leaves)
+    probes = rows.withColumn("depth", F.explode(F.array(*map(F.lit, depths or [0])))).withColumn("prefix", _prefix("hash", F.col("depth")))
+    bits = F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), F.lit("0"))
+    return probes.join(leaves, ["depth", "prefix"]).withColumn("shard_id", bits)
+
+
 def write_shards(
     docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
     """Writes the rows of docs as Parquet, one folder shard_id=b<bits> for each of shards().
 
-    The b keeps readers from taking the bits for a number. Rows with a null id are kept. Each shard is one task's.
+    The b keeps readers from taking the bits for a number. A row's shard follows from its id and the directory, so
+    texts cross the network once; each shard is one task's. Null texts have no bytes, null ids count as the empty key,
+    repeated rows are all written, and an empty table gives no shard. A column of docs named shard_id is written as
+    shard_id_ (with more underscores if that is taken, too), others as they are.
     """
-    bits = F.concat(F.lit("b"), "shard_id").alias("shard_id")
-    places = shards(docs, limit, id_col, text_col).select(F.col(id_col).alias("__id"), bits).distinct()
-    docs.join(places, docs[id_col].eqNullSafe(places["__id"])).drop("__id").repartition("shard_id").write.partitionBy(
-        "shard_id"
-    ).parquet(path)
+    leaves = written(directory(_sizes(docs, id_col, text_col).select("hash", "bytes"), limit))
+    names = [c.lower() for c in docs.columns]
+    renamed = "shard_id_"
+    while renamed in names:
+        renamed += "_"
+    row = F.struct(*(docs[c].alias(renamed if c.lower() == "shard_id" else c) for c in docs.columns))
+    placed = _placed(docs.select(hash_bits(docs[id_col]).alias("hash"), row.alias("row")), leaves)
+    placed.select("row.*", F.concat(F.lit("b"), "shard_id").alias("shard_id")).repartition("shard_id").write.partitionBy("shard_id").parquet(path)

@@ -141,6 +141,16 @@ def test_written_shards(spark, docs, tmp_path):
     assert back.count() == 40 and back.groupBy("shard_id").agg(F.sum(F.length("text")).alias("n")).where("n > 400").count() == 0
 
 
+def test_written_shards_keep_clashing_columns_and_repeats(spark, tmp_path):
+    rows = [(i, "x" * 50, "mine", i, "e") for i in range(30)] + [(3, "x" * 50, "mine", 3, "e")] * 2 + [(None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, shard_id string, hash long, depth string")
+    sharding.write_shards(d, str(tmp_path / "s"), 400)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter(tuple(r) for r in back.select("doc_id", "text", "shard_id_", "hash", "depth").collect()) == Counter(rows)
+    assert all(len(re.findall(r"part-", " ".join(f.name for f in folder.iterdir() if f.suffix == ".parquet"))) == 1 for folder in (tmp_path / "s").glob("shard_id=*"))
+    sharding.write_shards(d.where("false"), str(tmp_path / "none"), 400)
+
+
 # Rollups
 
 
@@ -175,9 +185,68 @@ def test_broken_batch_is_written_anew(spark, tmp_path):
     assert out(book.totals(), "tokens") == [(11,)]
 
 
+def test_a_batch_reads_the_buckets_of_its_documents(spark, tmp_path):
+    book = rollup.TokenRollup(spark, str(tmp_path / "book"))
+    book.commit("a", changes(spark, *[(0, "upsert", i, "s", "en", "v1", i) for i in range(300)]))
+    one = spark.createDataFrame([(7,)], "doc_id long").select(rollup._bucket()).first()[0]
+    files = book.ledger([one]).inputFiles()
+    assert files and all(f"bucket={one}/" in f for f in files) and len(book.ledger().inputFiles()) > 20 * len(files)
+    read = []
+
+    class Watched(rollup.TokenRollup):
+        def ledger(self, buckets=None):
+            read.append(buckets)
+            return super().ledger(buckets)
+
+    Watched(spark, str(tmp_path / "book")).commit("b", changes(spark, (0, "upsert", 7, "s", "en", "v1", 1000)))
+    assert read == [[one]] and out(book.totals(), "docs", "tokens") == [(300, sum(range(300)) - 7 + 1000)]
+
+
+def test_folded_ledgers_say_the_same(spark, tmp_path):
+    books = [rollup.TokenRollup(spark, str(tmp_path / name), every) for name, every in (("often", 1), ("never", 99))]
+    rng = random.Random(2)
+    for batch in range(3):
+        rows = [(i, rng.choice(["upsert", "delete"]), rng.randrange(30), "s", "en", "v1", rng.randrange(9)) for i in range(25)]
+        for book in books:
+            book.commit(f"b{batch}", changes(spark, *rows))
+    assert out(books[0].state()) == out(books[1].state()) and out(books[0].totals()) == out(books[1].totals())
+    assert books[0]._folded() == (2, {"b0", "b1", "b2"}) and len(out(books[0].ledger())) == len(out(books[0].state()))
+    (tmp_path / "often/folded/2/_SUCCESS").unlink()  # a fold that broke off: the one before it counts
+    assert books[0]._folded() == (1, {"b0", "b1"}) and out(books[0].state()) == out(books[1].state())
+
+
+def test_counts_by_public_tokenizers(spark, docs):
+    pytest.importorskip("public_tokenizers")
+    texts = ["Hello, world. It's 12 o'clock", "É é\n漢字 <|endoftext|>", "", None, "x" * 3000]
+    makers = {"word": packing.token_counter(), "byte": packing.byte_token_counter()}
+    got = rollup.tokenizer_changes(docs(*enumerate(texts)), makers)
+    import public_tokenizers
+    import tokenizers
+
+    for name, file in (("word", "word_bpe_49k.json"), ("byte", "byte_bpe_50k.json")):
+        plain = tokenizers.Tokenizer.from_file(public_tokenizers.path(file))
+        plain.encode_special_tokens = name == "byte"
+        want = [(i, len(plain.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)]
+        assert out(got.where(F.col("tokenizer") == name), "doc_id", "tokens") == want
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+def test_rollup_by_public_tokenizers(spark):
+    pytest.importorskip("public_tokenizers")
+    word, byte = packing.token_counter()(), packing.byte_token_counter()()
+    want = {}
+    for r in spark.read.parquet(str(DATA / "documents.parquet")).collect():
+        text = re.sub(queries.MARKS, " ", r.text or "")
+        for name, count in (("word_bpe_49k", word), ("byte_bpe_50k", byte)):
+            docs, tokens = want.get((r.source, r.lang, name), (0, 0))
+            want[r.source, r.lang, name] = docs + 1, tokens + count(text)
+    got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in queries.token_rollup_bpe(spark, str(DATA)).collect()}
+    assert got == want
+
+
 def test_any_order_of_histories_gives_the_same_state(spark, tmp_path):
     rng = random.Random(8)
-    book, now = rollup.TokenRollup(spark, str(tmp_path / "book")), {}
+    book, now = rollup.TokenRollup(spark, str(tmp_path / "book"), compact_every=2), {}
     for batch in range(4):
         rows = []
         for seq in range(25):
