@@ -19,14 +19,15 @@ from graphloom.llm.common import text_column, written
 WINDOW = 13
 #: Words whose joint hash a minimiser is the least of.
 MINIMISER = 5
-#: Bytes of text for one bucket, and the most partitions that buckets are dealt to.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text for one bucket, buckets for one partition, and the most partitions that buckets are dealt to.
+BUCKET_BYTES = 2 << 20
+BUCKETS_EACH = 4
 PARTITIONS = 50_000
 #: Super-k-mers of one minimiser from which its windows are dealt out one by one: so many, and this share of all at least.
 #: At most 1 / HOT_SHARE numbers are as frequent, whatever the size of the input.
 HOT_ROWS, HOT_SHARE = 5_000, 1e-5
 #: Bytes of super-k-mers that are combined and compressed together before they are sent, and of text that is cut at once.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 PORTION_BYTES = 1 << 20
 _MULT, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0x5851F42D4C957F2D
@@ -117,10 +118,11 @@ def _run_starts(places: np.ndarray, numbers: np.ndarray) -> np.ndarray:
 
 def _portions(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[list, ...]]:
     """The batch's rows in portions of about PORTION_BYTES of text: words of each text, and the named columns."""
-    columns, portion, held = [batch[n].to_pylist() for n in names], [], 0
-    for row in zip(batch["text"].to_pylist(), *columns, strict=True):
-        portion.append((_words(row[0]), *row[1:]))
-        held += len(row[0] or "")
+    portion, held = [], 0
+    for row in zip(*(batch[n] for n in ("text", *names)), strict=True):  # one by one: a batch may have many long texts
+        text, *others = (x.as_py() for x in row)
+        portion.append((_words(text), *others))
+        held += len(text or "")
         if held >= PORTION_BYTES:
             yield tuple(map(list, zip(*portion, strict=True)))
             portion, held = [], 0
@@ -281,12 +283,12 @@ def _repeats(window: int):
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blocks = None, []
         for batch in batches:
-            for bucket, block in zip(batch["bucket"].to_pylist(), batch["block"].to_pylist(), strict=True):
+            for bucket, block in zip(batch["bucket"].to_pylist(), batch["block"], strict=True):
                 if bucket != now and blocks:
                     yield of_bucket(blocks)
                     blocks = []
                 now = bucket
-                blocks.append(block)
+                blocks.append(block.as_py())
         if blocks:
             yield of_bucket(blocks)
 
@@ -326,7 +328,7 @@ def repeated_windows(
     hot = counted.where("number IS NOT NULL").where(F.col("n") >= HOT_SHARE * total).select("number").collect()
     numbers = np.array(sorted(r["number"] for r in hot), np.uint32)
     sent = rows.mapInArrow(_sent(window, minimiser, buckets, numbers, block_bytes), "bucket int, block binary")
-    dealt = sent.repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket")
+    dealt = sent.repartition(min(math.ceil(buckets / BUCKETS_EACH), PARTITIONS), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_repeats(window), "id long, row long, first long, last long")
 
 
