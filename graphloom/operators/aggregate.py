@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms
-from graphloom.operators.pattern import TYPE
+from graphloom.operators.pattern import TYPE, of_predicates
 
 #: The aggregators that queries may name.
 AGGREGATORS = ("COUNT", "SUM", "AVG", "MIN", "MAX", "SAMPLE")
@@ -75,7 +75,7 @@ def count_equals_key(solutions: DataFrame, keys: Sequence[str], counted: str, ex
 
 def joined_types(triples: DataFrame) -> DataFrame:
     """(s, types): each entity's types, sorted and joined by " & "."""
-    typed = triples.where((F.col("p") == TYPE) & F.col("o").isNotNull())
+    typed = of_predicates(triples, TYPE).where("o IS NOT NULL")
     return typed.groupBy("s").agg(F.array_join(F.sort_array(F.collect_set("o")), " & ").alias("types"))
 
 
@@ -98,7 +98,7 @@ def predicate_counts(triples: DataFrame) -> DataFrame:
 
 def class_counts(triples: DataFrame) -> DataFrame:
     """(node_type, count), most frequent first."""
-    typed = triples.where(F.col("p") == TYPE)
+    typed = of_predicates(triples, TYPE)
     return typed.groupBy(F.col("o").alias("node_type")).count().orderBy(F.desc("count"), "node_type")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import terms
 from graphloom.operators.aggregate import best_label, first_per_group
-from graphloom.operators.pattern import TYPE, closure
+from graphloom.operators.pattern import TYPE, components, of_predicates
 
 #: Label predicate by type of entity.
 LABEL_PREDICATES = {"artist": "foaf:name", "vocabulary": "skos:prefLabel", "place": "geonames:name", "others": "rdfs:label"}
@@ -36,10 +36,10 @@ def candidates(triples: DataFrame, name: str, entity_type: str = "others", limit
         raise ValueError(f"entity_type must be one of {', '.join(LABEL_PREDICATES)}, not {entity_type!r}")
     wanted = _tokens(F.lit(name))
     words = _tokens(F.col("label"))
-    labels = triples.where(F.col("p") == predicate).select(F.col("s").alias("entity"), F.col("o").alias("label"), "o_lang")
+    labels = of_predicates(triples, predicate).select(F.col("s").alias("entity"), F.col("o").alias("label"), "o_lang")
     hits = labels.where(F.size(F.array_except(wanted, words)) == 0).where(F.size(wanted) > 0)
     hits = hits.withColumn("share", F.size(wanted) / F.size(words))
-    types = triples.where(F.col("p") == TYPE).select(F.col("s").alias("entity"), F.col("o").alias("type"))
+    types = of_predicates(triples, TYPE).select(F.col("s").alias("entity"), F.col("o").alias("type"))
     key = terms.prefixed_key(terms.language_priority(F.col("o_lang")), F.col("label"))
     best = hits.join(types, "entity").groupBy("entity", "type").agg(
         terms.without_key(F.min(key)).alias("label"), F.max("share").alias("share")
@@ -60,7 +60,7 @@ def labels_of(triples: DataFrame, entities: DataFrame | None = None) -> DataFram
 
     entities: a table with a column s to look up; None for all.
     """
-    labels = triples.where(F.col("p").isin(*LABELS)).select("s", F.col("o").alias("label"), "o_lang")
+    labels = of_predicates(triples, *LABELS).select("s", F.col("o").alias("label"), "o_lang")
     if entities is not None:
         labels = labels.join(entities.select("s"), "s", "left_semi")
     return best_label(labels, ["s"], "label", "o_lang")
@@ -73,7 +73,7 @@ def resolve(triples: DataFrame, names: DataFrame, entity_type: str = "others") -
     bring together most of both tables.
     """
     names = names.select("name").where("trim(name) != ''").distinct()
-    labels = triples.where(F.col("p") == LABEL_PREDICATES[entity_type]).select(F.col("s").alias("entity"), F.col("o").alias("label"))
+    labels = of_predicates(triples, LABEL_PREDICATES[entity_type]).select(F.col("s").alias("entity"), F.col("o").alias("label"))
     by_word = labels.select("entity", "label", F.explode(_tokens(F.col("label"))).alias("word"))
     frequency = by_word.groupBy("word").agg(F.count("*").alias("n"))
     asked = names.select("name", F.explode(_tokens(F.col("name"))).alias("word")).join(frequency, "word", "left")
@@ -112,13 +112,20 @@ def profile(
 
 
 def equivalents(triples: DataFrame, entities: DataFrame, predicates: Sequence[str] = EQUIVALENT, most: int | None = 10) -> DataFrame:
-    """(start, node): what equivalence in either direction reaches; the entity itself first, `most` at most."""
-    links = triples.where(F.col("p").isin(*predicates) & (F.col("s") != F.col("o"))).select("s", "o")
-    both = links.unionAll(links.select(F.col("o").alias("s"), F.col("s").alias("o")))
-    found = closure(both, entities.select(entities.columns[0]))
-    if most is None:
-        return found
-    return first_per_group(found, ["start"], [F.col("start") != F.col("node"), "node"], most)
+    """(start, node): what equivalence in either direction reaches; the entity itself first, `most` at most.
+
+    Equivalents are components, so each start meets the first `most` nodes of its own: a large component costs its
+    nodes, not their pairs. With most=None all pairs of a start and a node are given.
+    """
+    links = of_predicates(triples, *predicates).where(F.col("s") != F.col("o")).select("s", "o")
+    parts = components(links)
+    start = F.col(entities.columns[0])
+    starts = entities.where(start.isNotNull()).select(start.alias("start")).distinct()
+    nodes = parts if most is None else first_per_group(parts, ["component"], ["node"], most)
+    own = starts.join(parts, F.col("start") == F.col("node")).select("start", "component")
+    others = own.join(nodes, "component").where("start != node").select("start", "node")
+    found = starts.select("start", F.col("start").alias("node")).unionByName(others)
+    return found if most is None else first_per_group(found, ["start"], [F.col("start") != F.col("node"), "node"], most)
 
 
 def preferred_equivalents(found: DataFrame, namespace: str, most: int = 4) -> DataFrame:

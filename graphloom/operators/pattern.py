@@ -6,7 +6,6 @@ are constants. Patterns bind variables to the text of terms, and never to null.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms
+from graphloom.sources.shared import shared_folder
 
 TYPE = "rdf:type"
 #: Values that go into the plan as a list; more are joined as a table.
@@ -26,12 +26,20 @@ def _is_var(term: str) -> bool:
 
 def _checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage in the folder that the cluster shares (spark.checkpoint.dir)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def of_predicates(triples: DataFrame, *names: str) -> DataFrame:
+    """The triples of the named predicates. Of a view that has its predicates apart, in a mapping by_predicate, only
+    those tables go into the plan; what is derived from such a view by Spark's own functions is filtered as any table."""
+    apart = vars(triples).get("by_predicate")
+    if apart is None:
+        return triples.where(F.col("p") == names[0] if len(names) == 1 else F.col("p").isin(*names))
+    found = [apart[n] for n in dict.fromkeys(names) if n in apart]
+    return reduce(DataFrame.unionAll, found) if found else triples.where(F.lit(False))
+
+
 def match(triples: DataFrame, s: str, p: str | Sequence[str], o: str) -> DataFrame:
     """One triple pattern.
 
@@ -41,10 +49,10 @@ def match(triples: DataFrame, s: str, p: str | Sequence[str], o: str) -> DataFra
     if isinstance(p, str) and p.startswith("^"):
         return match(triples, o, p[1:], s)
     ends = [("s", s), ("o", o)]
-    if isinstance(p, str):
+    if isinstance(p, str) and _is_var(p):
         ends.insert(1, ("p", p))
     else:
-        triples = triples.where(F.col("p").isin(*p))
+        triples = of_predicates(triples, *([p] if isinstance(p, str) else p))
     columns: dict[str, Column] = {}
     for column, term in ends:
         if not _is_var(term):
@@ -94,25 +102,46 @@ def path(triples: DataFrame, s: str, steps: Sequence[str | Sequence[str]], o: st
 def closure(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """P10: (start, node) for every node that a start reaches over zero or more edges.
 
-    edges: (s, o); starts: one column. Each round joins the newest pairs with the edges and keeps those not seen
+    edges: (s, o); starts: one column. Each round joins the newest pairs with the edges, and writes those not seen
     yet, so cycles end it; as many rounds as the longest shortest path. Nulls are ignored.
     """
     edges = edges.select("s", "o").where("s IS NOT NULL AND o IS NOT NULL").distinct()
     start = starts.columns[0]
-    seen = _checkpointed(
+    newest = _checkpointed(
         starts.where(F.col(start).isNotNull()).select(F.col(start).alias("start"), F.col(start).alias("node")).distinct()
     )
-    newest, rounds = seen, 0
+    seen, rounds = newest, 0
     while max_rounds is None or rounds < max_rounds:
         reached = newest.join(edges, F.col("node") == F.col("s")).select("start", F.col("o").alias("node")).distinct()
         newest = _checkpointed(reached.join(seen, ["start", "node"], "left_anti"))
         if newest.isEmpty():
             break
-        seen = _checkpointed(seen.unionByName(newest))
+        seen = seen.unionByName(newest)
         rounds += 1
     return seen
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) for every node of links (s, o), read in either direction: the least node that it reaches.
+
+    Rounds of the neighbours' least label, each followed by the label's own label, so that they grow with the logarithm
+    of the longest chain as a rule. Minima are combined before the shuffle. Nulls are ignored.
+    """
+    links = links.select("s", "o").where("s IS NOT NULL AND o IS NOT NULL")
+    both = _checkpointed(links.unionAll(links.select("o", "s")).distinct())
+    labels = both.groupBy(F.col("s").alias("node")).agg(F.min("o").alias("least")).select("node", F.least("node", "least").alias("component"))
+    labels, before = _checkpointed(labels), None
+    while True:
+        now = labels.agg(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            return labels
+        before = now
+        near = both.join(labels.withColumnRenamed("node", "o"), "o").groupBy(F.col("s").alias("node")).agg(F.min("component").alias("near"))
+        next_ = _checkpointed(labels.join(near, "node").select("node", F.least("component", "near").alias("component")))
+        of_label = next_.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        labels = _checkpointed(next_.join(of_label, "component").select("node", F.col("further").alias("component")))
+
+
 def values(solutions: DataFrame, var: str, wanted: Iterable) -> DataFrame:
     """Solutions whose variable is one of the wanted values. No values leave no solutions."""
     wanted = list(dict.fromkeys(wanted))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.aggregate import class_counts, first_per_group, predicate_counts
-from graphloom.operators.pattern import TYPE, _checkpointed
+from graphloom.operators.pattern import TYPE, _checkpointed, of_predicates
 
 LITERAL = "Literal"
 MAX_NODES = 6
@@ -29,7 +29,7 @@ def schema_edges(
     """
     if literal_mode not in (0, 1, 2):
         raise ValueError("literal_mode must be 0, 1 or 2")
-    typed = triples.where((F.col("p") == TYPE) & F.col("o").isNotNull()).select("s", F.col("o").alias("type")).distinct()
+    typed = of_predicates(triples, TYPE).where("o IS NOT NULL").select("s", F.col("o").alias("type")).distinct()
     edges = triples.where(F.col("p") != TYPE)
     if min_edges:
         often = predicate_counts(triples).where(F.col("count") >= min_edges).select(F.col("edge").alias("p"))
@@ -69,7 +69,8 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_nodes: int = MA
     Only edges on some walk of that length are followed: those whose ends are near enough to both, found by
     one distance search each way. Paths grow level by level. Source and target alike: no path.
     """
-    edges = edges.select("source_type", "edge", "target_type").where("source_type != target_type").distinct()
+    # Once: edges may be an extraction over all triples, and every round below reads them.
+    edges = _checkpointed(edges.select("source_type", "edge", "target_type").where("source_type != target_type").distinct())
     if source == target or max_nodes < 2:
         return edges.where("false").select(F.array().cast(_STEP).alias("path"), F.lit(0).alias("size"))
     steps = max_nodes - 1
@@ -197,7 +198,7 @@ def variable_classes(triples: DataFrame, edges: DataFrame) -> DataFrame:
     """(edge, domain, range): declared classes of each predicate's ends, else the least found in data."""
 
     def declared(predicate: str, name: str) -> DataFrame:
-        return triples.where(F.col("p") == predicate).groupBy(F.col("s").alias("edge")).agg(F.min("o").alias(name))
+        return of_predicates(triples, predicate).groupBy(F.col("s").alias("edge")).agg(F.min("o").alias(name))
 
     found = edges.groupBy("edge").agg(
         F.min("source_type").alias("s_domain"), F.min(F.when(F.col("target_type") != LITERAL, F.col("target_type"))).alias("s_range")

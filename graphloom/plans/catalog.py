@@ -753,8 +753,8 @@ def _(t: DataFrame) -> DataFrame:
        r AS (SELECT n_nationkey AS start, n_nationkey AS node FROM nation UNION SELECT r.start, b.o FROM r JOIN b ON b.s = r.node),
        q AS (SELECT 'nation/' || start AS start, 'nation/' || node AS node FROM r),
        k AS (SELECT start, node FROM q QUALIFY row_number() OVER (PARTITION BY start ORDER BY start <> node, node) <= 10),
-       i AS (SELECT *, bool_or(node LIKE 'nation/1%') OVER (PARTITION BY start) AS some FROM k)
-       SELECT start, node FROM i WHERE CASE WHEN some THEN node LIKE 'nation/1%' ELSE node = start END
+       i AS (SELECT *, bool_or(node LIKE 'nation/1%') OVER (PARTITION BY start) AS any_inside FROM k)
+       SELECT start, node FROM i WHERE CASE WHEN any_inside THEN node LIKE 'nation/1%' ELSE node = start END
        QUALIFY row_number() OVER (PARTITION BY start ORDER BY start <> node, node) <= 4""",
 )
 def _(t: DataFrame) -> DataFrame:

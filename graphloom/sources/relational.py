@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,9 @@ def _uri(kind: str, key: Column) -> Column:
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders, customers, suppliers, nations, regions, parts, lines and documents as triples.
 
-    Nothing is read but what a pattern asks for: a filter on p leaves only the branches of that predicate, and
-    each branch reads its own two columns. Null objects give no triple. Lines get a surrogate id, which depends
+    Nothing is read but what a pattern asks for: the view's attribute by_predicate has each predicate's triples, which
+    patterns take from there, so that plans stay small; a filter on p has the same effect. Each branch reads its own
+    two columns. Null objects give no triple. Lines get a surrogate id, which depends
     on the files' layout.
     """
 
@@ -35,13 +37,14 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
             (lang if lang is not None else F.lit(None if kind == "uri" else "").cast("string")).alias("o_lang"),
         )
 
-    parts: list[DataFrame] = []
+    parts: dict[str, list[DataFrame]] = defaultdict(list)
 
     def entity(name: str, cls: str, key: str, *properties: tuple, rows: DataFrame | None = None) -> None:
         rows = table(name) if rows is None else rows
         s = _uri(cls.lower(), F.col(key))
-        parts.append(branch(rows, s, "rdf:type", F.lit(cls), "uri"))
-        parts.extend(branch(rows, s, *p) for p in properties)
+        parts["rdf:type"].append(branch(rows, s, "rdf:type", F.lit(cls), "uri"))
+        for p in properties:
+            parts[p[0]].append(branch(rows, s, *p))
 
     c = F.col
     entity(
@@ -95,4 +98,7 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("source", c("source"), STRING),
         ("text", c("text"), STRING, F.coalesce(c("lang"), F.lit(""))),
     )
-    return reduce(DataFrame.unionByName, parts)
+    by_predicate = {p: reduce(DataFrame.unionAll, branches) for p, branches in parts.items()}
+    view = reduce(DataFrame.unionAll, by_predicate.values())
+    view.by_predicate = by_predicate
+    return view
