@@ -136,9 +136,9 @@ def preferred_equivalents(found: DataFrame, namespace: str, most: int = 4) -> Da
     return first_per_group(kept, ["start"], [F.col("start") != F.col("node"), "node"], most)
 
 
-def expand_restriction(triples: DataFrame, entities: DataFrame, namespace: str) -> DataFrame:
-    """One column, node: the entities or their preferred equivalents, to restrict a pattern with."""
-    return preferred_equivalents(equivalents(triples, entities), namespace).select("node").distinct()
+def expand_restriction(triples: DataFrame, entities: DataFrame, namespace: str, most: int | None = 10) -> DataFrame:
+    """One column, node: the entities or their preferred equivalents, to restrict a pattern with. most: as for equivalents."""
+    return preferred_equivalents(equivalents(triples, entities, most=most), namespace).select("node").distinct()
 
 
 def unknown_uris(triples: DataFrame, uris: Iterable[str], namespace: str) -> DataFrame:

@@ -188,7 +188,8 @@ def compare_configurations(runs: DataFrame, config: str = "config") -> DataFrame
 
 def latency_seconds(start: str = "start_time", end: str = "end_time") -> Column:
     """Seconds between two timestamps, with their fractions."""
-    return (F.unix_micros(F.col(end)) - F.unix_micros(F.col(start))) / 1e6
+    micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in (end, start)]
+    return (micros[0] - micros[1]) / 1e6
 
 
 def _outside_pairs(body: Column) -> Column:

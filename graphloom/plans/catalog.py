@@ -5,7 +5,9 @@ Every entry is (query, SQL): the query takes (spark, sf_dir); SQL is None where
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from graphloom.operators import schema as sc
 from graphloom.plans import entities as plans
 from graphloom.sources import readers
 from graphloom.sources.relational import triples
+from graphloom.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, tuple[Query, str | None]] = {}
@@ -912,7 +915,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.schema_errors(_calls(spark, sf_dir))
 
 
-@_register_tables("v05_workflow_drift", None)
+# A call of a trace is a step of the recursion; the steps still open are a list of their places.
+@_register_tables(
+    "v05_workflow_drift",
+    """WITH RECURSIVE c AS (SELECT user_id AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type <> 'error' AS ok,
+         list_position(['signup', 'click', 'purchase'], event_type) AS place FROM events),
+       r AS (SELECT DISTINCT user_id AS t, 0::BIGINT AS seq, false AS started, [1, 2, 3] AS open, 0 AS errors FROM events
+         UNION ALL
+         SELECT r.t, c.seq, started OR (c.ok AND coalesce(place = 1, false)),
+           CASE WHEN c.ok AND coalesce(place = 1, false) THEN [2, 3] WHEN started AND c.ok THEN list_filter(open, lambda x: x IS DISTINCT FROM place) ELSE open END,
+           errors + CASE WHEN c.ok AND coalesce(place = 1, false) THEN 0
+             WHEN NOT started OR NOT coalesce(list_contains(open, place), false) OR (NOT c.ok AND open[1] IS DISTINCT FROM place) THEN 1 ELSE 0 END
+         FROM r JOIN c ON c.t = r.t AND c.seq = r.seq + 1),
+       e AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY t ORDER BY seq DESC) = 1)
+       SELECT t AS trace_id, CASE WHEN started THEN errors + len(open) ELSE 3 END AS errors FROM e""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = _calls(spark, sf_dir)
     steps = F.array(F.lit("signup()"), F.lit("click(id=1)"), F.lit("purchase(id=1)"))
@@ -1085,6 +1102,191 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Sources and sinks: the driver's rows written by a sink, read back by the source, and asked.
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@_register_tables(
+    "s01_triples_by_predicate",
+    """SELECT 'total' AS p, count(o_totalprice) AS n, round(sum(o_totalprice::DOUBLE), 2) AS number, NULL::DATE AS first_day, NULL::DATE AS last_day FROM orders
+       UNION ALL SELECT 'date', count(o_orderdate), NULL, min(o_orderdate)::DATE, max(o_orderdate)::DATE FROM orders
+       UNION ALL SELECT 'placedBy', count(o_custkey), NULL, NULL, NULL FROM orders""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark, "triples")
+    readers.write_triples(pt.of_predicates(triples(spark, sf_dir), "total", "date", "placedBy"), path)
+    back = readers.read_triples(spark, path, typed=True)
+    dated = F.col("p") == "date"
+    return back.groupBy("p").agg(
+        F.count("o").alias("n"), F.round(F.sum(F.when(F.col("p") == "total", F.col("o_num"))), 2).alias("number"),
+        F.min(F.when(dated, F.col("o_first_day"))).alias("first_day"), F.max(F.when(dated, F.col("o_last_day"))).alias("last_day"),
+    )
+
+
+@_register_tables("s02_edge_list", "SELECT 'order/' || o_orderkey AS subj, 'placedBy' AS pred, 'customer/' || o_custkey AS obj FROM orders")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark, "edges")
+    pt.of_predicates(triples(spark, sf_dir), "placedBy").select("s", "p", "o").write.csv(path)
+    return readers.read_edge_list(spark, path)
+
+
+@_register_tables(
+    "s03_s04_statistics",
+    """SELECT 'placedBy' AS name, count(o_custkey) AS count FROM orders UNION ALL SELECT 'status', count(o_orderstatus) FROM orders
+       UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Order placedBy Customer', 1""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triples(spark, sf_dir)
+    some, typed = pt.of_predicates(t, "placedBy", "status"), pt.of_predicates(t, pt.TYPE).where("o IN ('Order', 'Customer')")
+    paths = [_scratch(spark, n) for n in ("schema", "predicates", "classes")]
+    for df, path in zip((sc.schema_edges(some.unionAll(typed), literal_mode=0), agg.predicate_counts(some), agg.class_counts(typed.where("o = 'Order'"))), paths, strict=True):
+        readers.write_csv(df, path)
+    edges, predicates, classes = readers.read_statistics(spark, *paths)
+    told = edges.select(F.concat_ws(" ", "source_type", "edge", "target_type").alias("name"), F.lit(1).cast("long").alias("count"))
+    return predicates.toDF("name", "count").unionByName(classes.toDF("name", "count")).unionByName(told)
+
+
+@_register_tables(
+    "s05_query_corpus",
+    """SELECT 'names' AS category, 'easy' AS split, 'nation ' || s_nationkey AS origin, 'Who is ' || s_name || ' ?' AS question,
+       'SELECT * WHERE { ?s rdfs:label "' || s_name || '" }' AS query, 'find(' || s_suppkey || ') / run()' AS workflow FROM supplier""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark, "corpus")
+    lines = F.concat(
+        F.lit('# category: "names"\n# split: easy\n# origin: nation '), F.col("s_nationkey"), F.lit("\n# question: Who is "), F.col("s_name"),
+        F.lit(' ?\n# query:\nSELECT * WHERE { ?s rdfs:label "'), F.col("s_name"), F.lit('" }\n# workflow\nfind('), F.col("s_suppkey"), F.lit(")\n\nrun()"),
+    )
+    # A file for each supplier.
+    _table(spark, sf_dir, "supplier").select("s_suppkey", lines.alias("value")).repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    found = readers.read_query_corpus(spark, f"{path}/*")
+    return found.select("category", "split", "origin", "question", "query", F.array_join("workflow", " / ").alias("workflow"))
+
+
+@_register_tables(
+    "s06_s08_runs",
+    """SELECT o_orderkey::VARCHAR AS run_id, 'question: Order ' || o_orderkey || chr(10) || '- find(' || o_custkey || ')' || CASE WHEN o_orderstatus = 'F' THEN ' ERROR' ELSE '' END
+       || chr(10) || 'query:' || chr(10) || 'SELECT ' || o_orderkey || chr(10) || 'accuracy: ' || CASE o_orderstatus WHEN 'O' THEN '1.0' ELSE '0.0' END || '   llm: 0.0'
+       || chr(10) || repeat('-', 40) AS report FROM orders""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    tool = F.struct(F.lit("find").alias("name"), F.col("o_custkey").cast("string").alias("input"), (F.col("o_orderstatus") != "F").alias("success"))
+    runs = _table(spark, sf_dir, "orders").select(
+        key.alias("run_id"), F.concat(F.lit("Order "), key).alias("question"), F.struct(F.concat(F.lit("SELECT "), key).alias("generated_query")).alias("output"),
+        F.struct(F.when(F.col("o_orderstatus") == "O", 1.0).alias("accuracy")).alias("metrics"), F.array(tool).alias("tools"),
+    )
+    path = _scratch(spark, "runs")
+    readers.write_runs(runs, path)
+    return readers.run_report(readers.read_runs(spark, path, multi_line=False), "run_id").withColumnRenamed("value", "report")
+
+
+# Branches that no query above reaches.
+
+
+@_register(
+    "e09_expand_restriction",
+    """WITH l AS (SELECT o_orderkey, 'customer/' || o_custkey AS c, 'order/' || o_orderkey AS o FROM orders),
+       k AS (SELECT c, o FROM l QUALIFY row_number() OVER (PARTITION BY c ORDER BY o) <= 4)
+       SELECT k.o AS "order", 'priority/' || o_orderpriority AS priority FROM k JOIN orders ON o = 'order/' || o_orderkey
+       WHERE c IN (SELECT 'customer/' || c_custkey FROM customer WHERE c_nationkey = 3)""",
+)
+def _(t: DataFrame) -> DataFrame:
+    """Customers of a nation, for whom the orders linked to them stand in: at most four of each."""
+    placed = pt.of_predicates(t, "placedBy").select("s", F.lit("owl:sameAs").alias("p"), "o", "o_kind", "o_dt", "o_lang")
+    wanted = pt.match(t, "?customer", "inNation", "nation/3")
+    customers = pt.exists(wanted, pt.instances(t, "?customer", "Customer"))
+    nodes = en.expand_restriction(placed, customers, "order/", most=None)
+    return pt.exists(pt.match(t, "?order", "priority", "?priority"), nodes.withColumnRenamed("node", "order"))
+
+
+@_register(
+    "f08_default",
+    """SELECT 'part/' || p_partkey AS part, coalesce(max(l_quantity)::DOUBLE, 1.0) AS quantity FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 49 GROUP BY p_partkey""",
+)
+def _(t: DataFrame) -> DataFrame:
+    """Parts with their largest quantity over 49; 1 stands for none."""
+    line = pt.conjunction(pt.match(t, "?line", "quantity", "?q").where(pt.number_filter("q", "more", 50)), pt.match(t, "?line", "ofPart", "?part"))
+    most = line.groupBy("part").agg(F.max(terms.number(F.col("q"))).alias("most"))
+    return pt.bind(pt.optional(pt.instances(t, "?part", "Part"), most), quantity=terms.or_default(F.col("most"), 1.0)).select("part", "quantity")
+
+
+@_register_tables("v14_latency", "SELECT user_id AS trace_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds FROM events GROUP BY 1")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("trace_id")).agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"))
+    return spans.select("trace_id", ev.latency_seconds().alias("seconds"))
+
+
+def _order_spans(t: DataFrame) -> DataFrame:
+    """Orders with a span from their date to the last shipping date of their lines, and a duration in minutes."""
+    lines = pt.conjunction(pt.match(t, "?line", "ofOrder", "?order"), pt.match(t, "?line", "shipDate", "?ship")).groupBy("order").agg(F.max("ship").alias("o"))
+    begun = pt.match(t, "?order", "date", "?o")
+    span = F.concat(F.col("order"), F.lit("/span"))
+
+    def of(rows: DataFrame, s, p: str, o) -> DataFrame:
+        return rows.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+
+    key, minutes = F.regexp_extract("order", r"(\d+)$", 1).cast("long"), F.col("order")
+    took = F.concat(F.lit("PT"), (key % 90).cast("string"), F.lit("M"))
+    return reduce(DataFrame.unionAll, (
+        of(begun, F.col("order"), "hasTimeSpan", span), of(begun, span, "begins", F.col("o")), of(lines, span, "ends", F.col("o")), of(begun, minutes, "took", took),
+    ))
+
+
+_ORDER_SPAN_SQL = """(SELECT 'order/' || o_orderkey AS "order", o_orderkey, CAST(o_orderdate AS DATE) AS b, (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem WHERE l_orderkey = o_orderkey) AS e FROM orders)"""
+
+
+@_register(
+    "u07_spans_and_durations",
+    f"""SELECT 'range' AS kind, "order" FROM {_ORDER_SPAN_SQL} WHERE b >= '1997-01-01' AND e <= '1997-12-31'
+        UNION ALL SELECT 'equal', "order" FROM {_ORDER_SPAN_SQL} WHERE b <= '1997-06-01' AND e >= '1997-06-01'
+        UNION ALL SELECT 'less', "order" FROM {_ORDER_SPAN_SQL} WHERE b < '1995-01-01'
+        UNION ALL SELECT 'duration', "order" FROM {_ORDER_SPAN_SQL} WHERE o_orderkey % 90 >= 60""",
+)
+def _(t: DataFrame) -> DataFrame:
+    spans, orders = _order_spans(t), pt.instances(t, "?order", "Order")
+
+    def asked(kind: str, operator: str, start: str, end: str | None = None) -> DataFrame:
+        return plans.filter_by_quantity(orders, spans, "order", "hasTimeSpan", operator, start, end, ["begins"], ["ends"], kind)
+
+    found = {"range": asked("span", "range", "1997", "1997"), "equal": asked("span", "equal", "1997-06-01"), "less": asked("span", "less", "1995")}
+    found["duration"] = plans.filter_by_quantity(orders, spans, "order", "took", "more", "PT1H")
+    return reduce(DataFrame.unionByName, (df.select(F.lit(kind).alias("kind"), "order") for kind, df in found.items()))
+
+
+@_register_tables(
+    "v03_value_fallback",
+    """WITH e AS (SELECT DISTINCT l_orderkey AS q, l_linestatus AS v FROM lineitem), p AS (SELECT DISTINCT l_orderkey AS q, l_returnflag AS v FROM lineitem)
+       SELECT q AS question_id, round(count(e.v) / count(p.v), 3) AS accuracy FROM p LEFT JOIN e USING (q, v) GROUP BY q""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers without URIs: all values count."""
+    lines = _table(spark, sf_dir, "lineitem")
+
+    def cells(column: str) -> DataFrame:
+        return lines.select(F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("row_id"), F.lit("flag").alias("col"), F.col(column).alias("value"))
+
+    return ev.answer_accuracy(cells("l_linestatus"), cells("l_returnflag"))
+
+
+@_register("g09_three_shortest", f"{_PATHS_SQL} SELECT path, size FROM r WHERE last = 'Region' ORDER BY size, path LIMIT 3")
+def _(t: DataFrame) -> DataFrame:
+    return sc.k_shortest_paths(sc.schema_edges(t), "Line", "Region", 3).select(sc._path_key().alias("path"), "size")
+
+
+@_register(
+    "p32_select_all",
+    """SELECT DISTINCT 'supplier/' || s_suppkey AS supplier, s_name AS name, 'nation/' || s_nationkey AS nation FROM supplier""",
+)
+def _(t: DataFrame) -> DataFrame:
+    named = pt.exists(pt.match(t, "?supplier", "rdfs:label", "?name"), pt.instances(t, "?supplier", "Supplier"))
+    return pt.project(pt.conjunction(named, pt.match(t, "?supplier", "inNation", "?nation")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of a nation that placed orders, each with one label and the number of its orders, most first."""
     t = triples(spark, sf_dir)

@@ -94,8 +94,11 @@ def write_runs(runs: DataFrame, path: str) -> None:
     runs.write.json(path)
 
 
-def run_report(runs: DataFrame) -> DataFrame:
-    """One column, value: a text report of each run. Missing scores count as 0."""
+def run_report(runs: DataFrame, *keys: str) -> DataFrame:
+    """Value, after the key columns asked for: a text report of each run. Missing scores count as 0.
+
+    Fixed values: the report's names and signs.
+    """
     tool = F.transform(
         "tools",
         lambda t: F.concat(
@@ -112,7 +115,7 @@ def run_report(runs: DataFrame) -> DataFrame:
         F.coalesce(tool, F.array().cast("array<string>")),
         F.array(F.concat(F.lit("query:\n"), F.coalesce("output.generated_query", F.lit(""))), scores, F.lit("-" * 40)),
     )
-    return runs.select(F.array_join(parts, "\n").alias("value"))
+    return runs.select(*keys, F.array_join(parts, "\n").alias("value"))
 
 
 def write_report(runs: DataFrame, path: str) -> None:
