@@ -122,6 +122,22 @@ def test_short_notices_with_a_word_changed_and_repeats():
     assert named(f"{licenses.TEMPLATES['MIT']}. " * 4) == ["MIT"] * 4
 
 
+SHORT = ("MIT", "Apache-2.0", "CC-BY-NC-4.0", "All-rights-reserved", "GPL-2.0", "CC-BY-SA-4.0", "MPL-2.0")
+
+
+@given(st.lists(st.sampled_from(SHORT), max_size=8), st.lists(st.sampled_from(["", "one", "two words", "é, three more words"]), min_size=9, max_size=9))
+def test_notices_one_after_another_are_all_found(names, between):
+    """With or without words between them, and the same one several times over."""
+    text = between[0]
+    for name, gap in zip(names, between[1:], strict=False):
+        text += f" {licenses.TEMPLATES[name]}. {gap}"
+    found = licenses.find_licenses(text, SHORT_INDEX, {})
+    assert [m.license for m in found] == names and all(m.matched == m.words for m in found)
+
+
+SHORT_INDEX = licenses.build_index(licenses.TEMPLATES)
+
+
 def test_found_wherever_a_plain_alignment_finds():
     rng = random.Random(7)
     for _ in range(150):
