@@ -18,7 +18,7 @@ from graphloom.llm.common import text_column
 BUCKETS = 1 << 20
 CONSTANT = BUCKETS
 #: Documented bound: labelled rows that the model is fitted on (in expectation, chosen by a hash of the id).
-TRAINING_ROWS = 15_000
+TRAINING_ROWS = 12_000
 #: Rows of a term, or of two together, from which they can be weighed.
 LEAST_ROWS = 3
 #: Evidence, as twice a log-likelihood ratio: one in a thousand of chance for one term. Pairs are asked for more, by their number.
@@ -29,7 +29,7 @@ FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 25, 128, 0.08, 1e-4
 #: Steps of learning, at least and at most.
 FEWEST_STEPS, MOST_STEPS = 250, 1_500
 #: Trial over all terms: rows at most, steps, and steps for one pass over the rows.
-TRIAL_ROWS, TRIAL_STEPS, TRIAL_BATCHES = 6_000, 80, 8
+TRIAL_ROWS, TRIAL_STEPS, TRIAL_BATCHES = 5_000, 80, 10
 #: Lengths of word beginnings that are terms of their own, so that unseen compounds of a known stem count.
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
