@@ -20,14 +20,14 @@ WINDOW = 13
 #: Words whose joint hash a minimiser is the least of.
 MINIMISER = 5
 #: Bytes of text for one bucket, buckets for one partition, and the most partitions that buckets are dealt to.
-BUCKET_BYTES = 2 << 20
-BUCKETS_EACH = 4
+BUCKET_BYTES = 4 << 20
+BUCKETS_EACH = 2
 PARTITIONS = 50_000
 #: Super-k-mers of one minimiser from which its windows are dealt out one by one: so many, and this share of all at least.
 #: At most 1 / HOT_SHARE numbers are as frequent, whatever the size of the input.
 HOT_ROWS, HOT_SHARE = 5_000, 1e-5
 #: Bytes of super-k-mers that are combined and compressed together before they are sent, and of text that is cut at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 PORTION_BYTES = 1 << 20
 _MULT, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0x5851F42D4C957F2D
