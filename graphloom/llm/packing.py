@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -14,8 +15,8 @@ from graphloom.llm.common import text_column, written
 
 CAPACITY = 2048
 END_ID = 1
-#: Rows of one remaining length that are numbered in one group, on average; more are split by a hash.
-GROUP_ROWS = 500
+#: Rows of one remaining length that are numbered in one group, on average; of more than its square, the root of their number.
+GROUP_ROWS = 100
 #: Most slots that are broadcast (40 bytes each); more are joined by a shuffle.
 BROADCAST_SLOTS = 500_000
 _MEMO = 600_000
@@ -180,7 +181,8 @@ def pack(
     are cut into pieces of `capacity`, which are sequences of their own, and a remainder. The driver gets the
     number of remainders of each length (at most `capacity` numbers, however many rows) and plans the bins; a
     remainder finds its place by its rank among those of its length. Lengths of more than group_rows rows are ranked
-    in groups by a hash, whose sizes are added up, so that no task gets all rows of one length.
+    in groups by a hash, whose sizes are added up: of n rows of one length no task gets more than about the root of n,
+    once as rows of a group and once as sizes of groups.
 
     Null and empty texts are the end id alone (without one: no row). Rows with null or repeated ids are packed
     like any others. Empty table: no rows. Other columns are ignored. sequence_id counts from 0, without gaps.
@@ -211,7 +213,9 @@ def pack(
     )
 
     # capacity rows at most
-    groups = spark.createDataFrame([(n, -(-c // group_rows)) for n, c in counts.items()], "length bigint, groups bigint")
+    groups = spark.createDataFrame(
+        [(n, -(-c // max(group_rows, math.isqrt(c)))) for n, c in counts.items()], "length bigint, groups bigint"
+    )
     dealt = pieces.join(F.broadcast(groups), "length").withColumn("group", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.col("groups")))
     sizes = dealt.groupBy("length", "group").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
