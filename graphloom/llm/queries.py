@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, exact, licenses, minhash, packing, rollup, secrets, sharding, substrings, toxicity
+from graphloom.llm import decontam, exact, licenses, minhash, packing, rollup, secrets, sharding, substrings, tokenalign, toxicity
 from graphloom.llm.common import SPACE_CLASS, shared_dir
 
 SHARD_BYTES = 32 << 20
@@ -229,6 +229,12 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its tokens by two tokenizers, their links, and how frequent those are in all documents."""
+    return tokenalign.alignment(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_toxicity": op2_toxicity,
@@ -240,6 +246,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op13_token_alignment": op13_token_alignment,
     "token_rollup_bpe": token_rollup_bpe,
     "shards_64k": shards_64k,
 }
