@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, exact, licenses, minhash, neighbours, packing, rollup, secrets, sharding, substrings, tokenalign, toxicity
+from graphloom.llm import conversations, decontam, exact, licenses, minhash, neighbours, packing, rollup, secrets, sharding, substrings, tokenalign, toxicity
 from graphloom.llm.common import SPACE_CLASS, shared_dir
 
 SHARD_BYTES = 32 << 20
@@ -230,6 +230,11 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by its ids, with its faults and the cheapest edits that repair it."""
+    return conversations.repair_report(_table(spark, sf_dir, "conversations"))
+
+
 def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each vector whose id is divisible by 20 the 20 nearest of all others, by inner product."""
     vectors = _table(spark, sf_dir, "embeddings")
@@ -252,6 +257,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_token_alignment": op13_token_alignment,
     "token_rollup_bpe": token_rollup_bpe,
