@@ -240,8 +240,12 @@ def group_by_having(
     query: DataFrame, group_by: str, aggregated: str, function: str, logic: str | None = None, start: float | None = None,
     end: float | None = None, also_group_by: Sequence[str] = (), distinct: bool = False,
 ) -> DataFrame:
-    """Groups with one aggregate, named value; the other variables are sampled, or join the key if named."""
-    out = agg.group_by(query.drop(*(set(query.columns) - {group_by, aggregated, *also_group_by})), [group_by], {"value": agg.aggregate(function, aggregated, distinct)}, also_group_by)
+    """Groups with one aggregate, named value; the other variables are sampled, as <name>_sample, or join the key if named."""
+    others = query.drop(aggregated) if aggregated != group_by else query
+    out = agg.group_by(
+        query, [group_by], {"value": agg.aggregate(function, aggregated, distinct)} | {f"{c}_sample": agg.aggregate("SAMPLE", c) for c in others.columns if c not in (group_by, *also_group_by)},
+        also_group_by,
+    )
     return out if logic is None else agg.having(out, "value", logic, start, end)
 
 

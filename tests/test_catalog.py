@@ -6,7 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from graphloom.plans import catalog
+from graphloom.plans import catalog, indexed
+
+QUERIES, ORACLES = catalog.QUERIES | indexed.QUERIES, catalog.ORACLES | indexed.ORACLES
 
 DATA = Path("/root/testdata/sf0.001")
 NAMES = ("flagship", "p03_conjunction", "p10_closure", "p17_span_inside", "p27_minus", "a01_a07_aggregates", "o07_top5_per_group", "u05_component", "e07_equivalents", "g06_simple_paths", "v01_answer_accuracy", "v12_v17_compare",
@@ -27,12 +29,21 @@ def test_query_matches_sql(spark, name):
     db = duckdb.connect()
     for p in DATA.glob("*.parquet"):
         db.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
-    got = catalog.QUERIES[name](spark, str(DATA))
+    got = QUERIES[name](spark, str(DATA))
     names = sorted(got.columns)
-    want = db.sql(f"SELECT {', '.join(f'{chr(34)}{n}{chr(34)}' for n in names)} FROM ({catalog.ORACLES[name]})").fetchall()
+    want = db.sql(f"SELECT {', '.join(f'{chr(34)}{n}{chr(34)}' for n in names)} FROM ({ORACLES[name]})").fetchall()
     assert _plain(got.select(*names).collect()) == _plain(want)
 
 
+INDEXED = tuple(indexed.ORACLES)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+@pytest.mark.parametrize("name", INDEXED)
+def test_stored_and_indexed_queries_match_sql(spark, name):
+    test_query_matches_sql(spark, name)
+
+
 WHOLE = ("p06_all_properties", "a16_all_types", "a18_all_predicates", "e04_all_labels")
 
 
@@ -41,7 +52,7 @@ WHOLE = ("p06_all_properties", "a16_all_types", "a18_all_predicates", "e04_all_l
 def test_query_over_the_whole_view_matches_sql(spark, name):
     test_query_matches_sql(spark, name)
     if name == "a18_all_predicates":
-        rows = {r.edge: r["count"] for r in catalog.QUERIES[name](spark, str(DATA)).collect()}
+        rows = {r.edge: r["count"] for r in QUERIES[name](spark, str(DATA)).collect()}
         assert len(rows) == 24 and rows["ofOrder"] == spark.read.parquet(str(DATA / "lineitem.parquet")).count()
 
 
@@ -50,5 +61,5 @@ def test_every_sql_runs():
     db = duckdb.connect()
     for p in DATA.glob("*.parquet"):
         db.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
-    for name, sql in catalog.ORACLES.items():
+    for name, sql in ORACLES.items():
         assert len(db.sql(f"SELECT count(*) FROM ({sql})").fetchall()) == 1, name
