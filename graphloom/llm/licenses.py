@@ -1,11 +1,12 @@
-"""License scanning: fingerprints pick candidates, local alignment measures them."""
+"""License scanning: winnowed fingerprints pick candidates, alignment in a band around their chains measures them."""
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 from typing import NamedTuple
 
@@ -64,10 +65,22 @@ TEMPLATES |= {
 }
 #: Whole texts, named by their files with "-text" added.
 TEMPLATES |= {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
-#: Most words of a fingerprint.
-GRAM = 3
+#: Words that name a license or a variant of one; so do numbers, which stand for versions.
+NAMING = frozenset(
+    "academic affero agpl apache apsl artistic attribution boost bsd bsl by cc cc0 cddl cecill commons commercial cpl creative "
+    "derivatives eclipse epl eupl gfdl gnu gpl isc lesser lgpl library mit modified mozilla mpl mspl ms nc ncsa nd noassertion "
+    "nocommercial noderivatives noderivs noncommercial ofl openssl php postgresql proprietary psf public python ruby sa sharealike "
+    "simplified unlicense vim wtfpl w3c x11 zlib zpl".split()
+)
+#: Most words of a notice, whose naming words must be met, and no others come between.
+NOTICE_WORDS = 60
+#: Most words of a fingerprint, and fingerprints of which one is kept.
+GRAM, WINDOW = 3, 4
+#: Places to either side of a chain's diagonals that are aligned, at most.
 BAND = 6
 MIN_COVERAGE = 0.8
+#: Stretches of hits before a stretch that a chain may go on from.
+LOOK_BACK = 24
 #: Most words of all templates together; the index goes to every task.
 INDEX_WORDS = 1_000_000
 _MEMO = 200_000
@@ -82,11 +95,25 @@ class Match(NamedTuple):
     words: int
 
 
+class Template(NamedTuple):
+    """A template's words, by number and as text; naming: places of words that tell it from other licenses, if it is a notice."""
+
+    name: str
+    words: list[str]
+    naming: frozenset[int]
+    least: int
+
+    @property
+    def band(self) -> int:
+        """Narrow for short notices, so that one does not reach into the next."""
+        return min(BAND, max(1, len(self.words) // 3))
+
+
 class Index(NamedTuple):
-    """Templates, and by length of a fingerprint all of them, sorted, each with its template and place."""
+    """Templates, and for each (words of a fingerprint, window) an inverted index: fingerprints, sorted, each with template and place."""
 
-    templates: list[tuple[str, list[str]]]
-    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    templates: list[Template]
+    grams: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
@@ -109,131 +136,281 @@ def _grams(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def winnow(grams: np.ndarray, window: int) -> np.ndarray:
+    """Places of the fingerprints that are kept: the least of each window, the last of equal ones.
+
+    Equal stretches of `window` fingerprints in two texts keep the same one, so a text and a template share a kept
+    fingerprint wherever that many in a row are equal. Fewer than `window` are one window.
+    """
+    if not len(grams) or window == 1:
+        return np.arange(len(grams))
+    windows = np.lib.stride_tricks.sliding_window_view(grams, min(window, len(grams)))
+    last = windows.shape[1] - 1 - windows[:, ::-1].argmin(axis=1)
+    return np.unique(np.arange(len(windows)) + last)
+
+
 def _spare(n: int, min_coverage: float) -> int:
     """Words of n that a match may lack."""
     return n - min(n, max(1, math.ceil(min_coverage * n)))
 
 
-def _gram_size(n: int, min_coverage: float) -> int:
-    """Words that stay together somewhere, whichever words of n a match lacks; GRAM at most."""
+def _shape(n: int, min_coverage: float) -> tuple[int, int]:
+    """Words of a fingerprint, and of a window: together no more than words that stay in a row, whichever a match lacks."""
     spare = _spare(n, min_coverage)
-    return max(1, min(GRAM, -(-(n - spare) // (spare + 1))))
-
-
-def _least_hits(n: int, min_coverage: float) -> int:
-    """Fingerprints that a match has at least: a word that is lacking breaks gram-size many."""
-    size = _gram_size(n, min_coverage)
-    return max(1, min(n // 10, n - size + 1 - size * _spare(n, min_coverage)))
+    row = -(-(n - spare) // (spare + 1))
+    size = max(1, min(GRAM, row))
+    return size, max(1, min(WINDOW, row - size + 1))
 
 
 def build_index(templates: dict[str, str], min_coverage: float = MIN_COVERAGE) -> Index:
-    """Every fingerprint of every template."""
-    words = {name: _WORD.findall(text.lower()) for name, text in templates.items()}
-    kept = [(name, w) for name, w in words.items() if len(w) >= GRAM]
-    if sum(len(w) for w in words.values()) > INDEX_WORDS:
+    """The winnowed fingerprints of all templates. Templates of fewer than three words are left out."""
+    kept, entries = [], defaultdict(list)
+    total = 0
+    for name, text in templates.items():
+        words = _WORD.findall(text.lower())
+        total += len(words)
+        if len(words) < GRAM:
+            continue
+        size, window = _shape(len(words), min_coverage)
+        grams = _grams(_hashes(words, {}), size)
+        places = winnow(grams, window)
+        naming = frozenset(i for i, w in enumerate(words) if _names(w)) if len(words) <= NOTICE_WORDS else frozenset()
+        entries[size, window].append((grams[places], np.full(len(places), len(kept)), places))
+        kept.append(Template(name, words, naming, max(1, len(places) // 10) if len(places) >= 40 else 1))
+    if total > INDEX_WORDS:
         raise ValueError(f"the templates have over {INDEX_WORDS} words")
-    entries: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
-    for k, (_, w) in enumerate(kept):
-        size = _gram_size(len(w), min_coverage)
-        grams = _grams(_hashes(w, {}), size)
-        entries[size].append((grams, np.full(len(grams), k), np.arange(len(grams))))
     index = {}
-    for size, parts in entries.items():
+    for shape, parts in entries.items():
         grams, owners, places = (np.concatenate(x) for x in zip(*parts, strict=True))
         by = np.argsort(grams, kind="stable")
-        index[size] = (grams[by], owners[by], places[by])
+        index[shape] = (grams[by], owners[by], places[by])
     return Index(kept, index)
 
 
+def _names(word: str) -> bool:
+    return word in NAMING or word.isdigit()
+
+
+class _Stretch(NamedTuple):
+    """Hits of a template on one diagonal (place in the text less place in the template), close to each other."""
+
+    first: int
+    last: int
+    diagonal: int
+    hits: int
+
+
+def _stretches(owner: np.ndarray, at: np.ndarray, diagonal: np.ndarray) -> dict[int, list[_Stretch]]:
+    """By template its stretches, in order of the text."""
+    if not len(owner):
+        return {}
+    order = np.lexsort((at, diagonal, owner))
+    owner, at, diagonal = owner[order], at[order], diagonal[order]
+    new = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (np.diff(diagonal) != 0) | (np.diff(at) > 4 * WINDOW)])
+    last = np.append(new[1:], len(at)) - 1
+    out = defaultdict(list)
+    for k, f, e, d, n in zip(*(x.tolist() for x in (owner[new], at[new], at[last], diagonal[new], last - new + 1)), strict=True):
+        out[k].append(_Stretch(f, e, d, n))
+    for found in out.values():
+        found.sort()
+    return out
+
+
+def chains(found: Sequence[_Stretch], template: Template) -> Iterator[list[_Stretch]]:
+    """Stretches that go on from each other in text and template, most hits first; each stretch in one chain.
+
+    A stretch goes on from one of the LOOK_BACK before it, whose place in the template is earlier too, and whose diagonal
+    differs by no more than the band and half of what lies between.
+    """
+    n, band = len(template.words), template.band
+    score, back = [s.hits for s in found], [-1] * len(found)
+    for i, s in enumerate(found):
+        for j in range(i - 1, max(-1, i - 1 - LOOK_BACK), -1):
+            b = found[j]
+            gap = s.first - b.last
+            if gap <= 0 or gap > n or s.first - s.diagonal <= b.last - b.diagonal:
+                continue
+            drift = abs(s.diagonal - b.diagonal)
+            if drift <= band + gap // 2 and score[j] + s.hits - drift / 8 > score[i]:
+                score[i], back[i] = score[j] + s.hits - drift / 8, j
+    used = [False] * len(found)
+    for i in sorted(range(len(found)), key=lambda i: (-score[i], i)):
+        chain, k = [], i
+        while k >= 0 and not used[k]:
+            used[k] = True
+            chain.append(found[k])
+            k = back[k]
+        if sum(s.hits for s in chain) >= template.least:
+            yield chain[::-1]
+
+
+def _band(chain: Sequence[_Stretch], n: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest diagonal for each place of the template: those of the chain there, and the band beside them."""
+    low, high = np.empty(n, np.int64), np.empty(n, np.int64)
+    before, at = chain[0], 0
+    for s in (*chain, None):
+        to = n if s is None else max(at, s.first - s.diagonal)
+        after = before if s is None else s
+        low[at:to], high[at:to] = min(before.diagonal, after.diagonal) - band, max(before.diagonal, after.diagonal) + band
+        before, at = after, to
+    return low, high
+
+
 def align(template: list[str], words: list[str], diagonal: int = 0, band: int | None = BAND) -> tuple[int, int, int]:
+    """align_banded around one diagonal; band None tries all places."""
+    low, high = (-len(template), len(words)) if band is None else (diagonal - band, diagonal + band)
+    return align_banded(template, words, np.full(len(template), low), np.full(len(template), high))
+
+
+def align_banded(template: list[str], words: list[str], low: np.ndarray, high: np.ndarray) -> tuple[int, int, int]:
     """(matched, first, last): words that the best local alignment matches, and the document's words it spans.
 
-    Only places within `band` of the diagonal (place in the document less place in the template) are tried; None
-    tries all. Matches score 2, other words and gaps -1.
+    Only places whose diagonal (place in the document less place in the template) lies in the band of the template's
+    place are tried. Matches score 2, other words and gaps -1.
     """
     n, m = len(template), len(words)
     codes = {w: i for i, w in enumerate(dict.fromkeys(template))}
     have = np.array([codes.get(w, -1) for w in words], np.int64)
     # A cell is score, matched and first in one number; 0 is no alignment.
-    low = m.bit_length()
-    one = 1 << low
+    bits = m.bit_length()
+    one = 1 << bits
     point = one << (n.bit_length() + 1)
     best, found = 0, (0, 0, 0)
-    row = np.zeros(m + 1, np.int64)  # place in the document + 1
+    row, now = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)  # place in the document + 1
     at = np.arange(m, dtype=np.int64)
-    for i, want in enumerate(template):
-        lo, hi = (0, m) if band is None else (max(0, i + diagonal - band), min(m, i + diagonal + band + 1))
-        now = np.zeros(m + 1, np.int64)
+    steps = at * point
+    row_used, now_used = slice(0, 0), slice(0, 0)
+    for i, (want, lo, hi) in enumerate(zip(template, low.tolist(), high.tolist(), strict=True)):
+        lo, hi = max(0, i + lo), min(m, i + hi + 1)
+        now[now_used] = 0
         if lo < hi:
             hit = have[lo:hi] == codes[want]
             before = row[lo:hi]
             cell = np.where(before > 0, before, at[lo:hi]) + np.where(hit, 2 * point + one, -point)
             cell = np.maximum(cell, row[lo + 1 : hi + 1] - point)
-            steps = at[: hi - lo] * point
-            cell = np.maximum.accumulate(cell + steps) - steps
+            cell = np.maximum.accumulate(cell + steps[: hi - lo]) - steps[: hi - lo]
             cell[cell < point] = 0
             now[lo + 1 : hi + 1] = cell
+            now_used = slice(lo + 1, hi + 1)
             if hit.any():
-                key = np.where(hit, cell >> low, 0)
+                key = np.where(hit, cell >> bits, 0)
                 j = int(key.argmax())
                 if key[j] > best:
                     best, whole = int(key[j]), int(cell[j])
-                    found = ((whole % point) >> low, whole % one, lo + j)
-        row = now
+                    found = ((whole % point) >> bits, whole % one, lo + j)
+        row, now, row_used, now_used = now, row, now_used, row_used
     return found
 
 
-def _aligned(template: list[str], words: list[str], places: np.ndarray, lo: int, hi: int, needed: int, least: int) -> Iterator[tuple[int, int, int]]:
-    """Best alignments in words lo to hi, then those before and after each, where enough fingerprints are left."""
-    todo = [(lo, hi)]
-    while todo:
-        lo, hi = todo.pop()
-        inside = places[(places >= lo) & (places < hi)]
-        if len(inside) < least or hi - lo < needed:
-            continue
-        matched, first, last = align(template, words[lo:hi], band=None)
-        if not matched:
-            continue
-        if matched >= needed:
-            yield matched, lo + first, lo + last
-        todo += [(lo, lo + first), (lo + last + 1, hi)]
-
-
-def find_licenses(text: str, index: Index, memo: dict[str, int], min_coverage: float = MIN_COVERAGE) -> list[Match]:
-    """Matches by start; of those that overlap, the one with most matched words, then the best covered, then by name."""
+def align_notice(template: Template, words: Sequence[str], low: Sequence[int], high: Sequence[int]) -> tuple[int, int, int]:
+    """As align_banded, with the words looked at: no match (0, 0, 0) lacks a naming word, or has another one in between."""
+    rows: list[dict[int, tuple[int, int, int, str]]] = []
+    top, before = (0, 0, 0, 0), {}
+    for i, want in enumerate(template.words):
+        row = {}
+        for j in range(max(0, i + low[i]), min(len(words), i + high[i] + 1)):
+            hit = words[j] == want
+            old = before.get(j - 1)
+            options = [(old[0], old[1], old[2], "m") if old else (0, 0, -j, "m")]
+            score, matched, first, _ = options[0]
+            cell = (score + 2, matched + 1, first, "m") if hit else (score - 1, matched, first, "m")
+            for old, move in ((before.get(j), "t"), (row.get(j - 1), "d")):
+                if old and (old[0] - 1, old[1], old[2]) > cell[:3]:
+                    cell = (old[0] - 1, old[1], old[2], move)
+            if cell[0] > 0:
+                row[j] = cell
+                if hit and cell[:2] > top[:2]:
+                    top = (cell[0], cell[1], i, j)
+        rows.append(row)
+        before = row
+    score, matched, i, last = top
+    if not score:
+        return 0, 0, 0
+    j, met, others = last, set(), []
+    while i >= 0 and j >= 0 and j in rows[i]:
+        move = rows[i][j][3]
+        if move == "m" and words[j] == template.words[i]:
+            met.add(i)
+        elif move != "t":
+            others.append(words[j])
+        first = j
+        i, j = i - (move != "d"), j - (move != "t")
+    if template.naming - met or any(map(_names, others)):
+        return 0, 0, 0
+    return matched, first, last
+
+
+def _measured(template: Template, words: list[str], chain: Sequence[_Stretch], needed: int, memo: dict) -> tuple[int, int, int]:
+    """The best alignment in the band around a chain: matched, first and last word."""
+    n, band = len(template.words), template.band
+    start = chain[0].diagonal
+    if all(s.diagonal == start for s in chain) and start >= 0 and words[start : start + n] == template.words:
+        return n, start, start + n - 1
+    low, high = _band(chain, n, band)
+    lo, hi = max(0, int(low.min())), min(len(words), n + int(high.max()) + 1)
+    region = words[lo:hi]
+    # In any order: words of the template that the region has, each as often as it has it.
+    if (Counter(template.words) & Counter(region)).total() < needed:
+        return 0, 0, 0
+    if not template.naming <= {i for i, w in enumerate(template.words) if w in set(region)}:
+        return 0, 0, 0
+    if n > NOTICE_WORDS:
+        matched, first, last = align_banded(template.words, region, low - lo, high - lo)
+    else:
+        # Repeated lines are common, and so are notices with the same words around them.
+        key = (template.name, tuple(region), low[0] - lo, tuple(s.diagonal - lo for s in chain), tuple(s.first - lo for s in chain))
+        if key not in memo:
+            if len(memo) >= _MEMO:
+                memo.clear()
+            memo[key] = align_notice(template, region, (low - lo).tolist(), (high - lo).tolist())
+        matched, first, last = memo[key]
+    return matched, lo + first, lo + last
+
+
+def find_licenses(text: str, index: Index, memo: dict[str, int], min_coverage: float = MIN_COVERAGE, seen: dict | None = None) -> list[Match]:
+    """Matches by start; of those that overlap, the one with most matched words, then the best covered, then by name.
+
+    memo, seen: what was worked out before, of words and of short stretches.
+    """
     if not text or not index.grams:
         return []
+    seen = {} if seen is None else seen
     found = list(_WORD.finditer(text))
     words = [m[0].lower() for m in found]
     h = _hashes(words, memo)
     matches = []
-    for size, (grams, owners, _) in index.grams.items():
+    for (size, window), (grams, owners, places) in index.grams.items():
         own = _grams(h, size)
+        kept = winnow(own, window)
+        own = own[kept]
         start, stop = np.searchsorted(grams, own), np.searchsorted(grams, own, "right")
         hits = np.flatnonzero(stop > start)
         if not len(hits):
             continue
         counts = (stop - start)[hits]
-        at = np.repeat(hits, counts)
+        at = np.repeat(kept[hits], counts)
         entry = np.repeat(start[hits], counts) + np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
         owner = owners[entry]
-        for k in np.unique(owner).tolist():
-            name, template = index.templates[k]
-            n = len(template)
-            least = _least_hits(n, min_coverage)
-            places = np.unique(at[owner == k])
-            # An alignment with a score over 0 spans less than 3 n words.
-            for near in np.split(places, np.flatnonzero(np.diff(places) > 3 * n) + 1):
-                if len(near) >= least:
-                    lo, hi = max(0, int(near[0]) - 3 * n), min(len(words), int(near[-1]) + 3 * n)
-                    for matched, first, last in _aligned(template, words, near, lo, hi, math.ceil(min_coverage * n), least):
-                        matches.append(Match(name, found[first].start(), found[last].end(), matched, n))
-    matches.sort(key=lambda m: (-m.matched, -m.matched / m.words, m.license, m.start))
-    kept: list[Match] = []
+        enough = np.bincount(owner, minlength=len(index.templates)) >= [t.least for t in index.templates]
+        some = enough[owner]
+        for k, stretches in _stretches(owner[some], at[some], (at - places[entry])[some]).items():
+            template = index.templates[k]
+            n = len(template.words)
+            needed = math.ceil(min_coverage * n)
+            for chain in chains(stretches, template):
+                matched, first, last = _measured(template, words, chain, needed, seen)
+                if matched >= needed:
+                    matches.append(Match(template.name, found[first].start(), found[last].end(), matched, n))
+    matches = sorted(set(matches), key=lambda m: (-m.matched, -m.matched / m.words, m.license, m.start))
+    taken: list[Match] = []
+    starts: list[int] = []
     for m in matches:
-        if all(m.end <= k.start or k.end <= m.start for k in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: m.start)
+        i = bisect.bisect_left(starts, m.end)
+        if not i or taken[i - 1].end <= m.start:
+            at = bisect.bisect_left(starts, m.start)
+            starts.insert(at, m.start)
+            taken.insert(at, m)
+    return taken
 
 
 _SPAN = "struct<license: string, start: bigint, end: bigint, matched: bigint, words: bigint>"
@@ -248,11 +425,11 @@ def license_spans(
 ) -> DataFrame:
     """(id, spans array<struct<license, start, end, matched, words>>) for each row of docs.
 
-    Words are letters and digits in lower case. Runs of up to three words are looked up among all of the templates;
-    near those found the best local alignments are taken, one after the other, and are reported when at least
-    min_coverage of the template's words match. No copy that lacks or replaces as many words as min_coverage allows
-    goes unseen; one with words put in at very many places may. Spans are code points, ends exclusive. Templates
-    of fewer than three words are never found.
+    Words are letters and digits in lower case. Winnowed fingerprints of up to three words are looked up in an inverted
+    index of all templates; hits that go on from each other are chained, and the best local alignment in a band around
+    a chain is reported when at least min_coverage of the template's words match. A notice's naming words (NAMING, and
+    numbers) must all match, and none may stand between, so that no license is named by another's notice. Spans are
+    code points, ends exclusive. Templates of fewer than three words are never found. Ties: see find_licenses.
 
     Null and empty texts have no spans; null and repeated ids are rows like any other; an empty table or no
     templates give no spans. Other columns are ignored. No shuffle; the index goes with the tasks, and is
@@ -263,8 +440,9 @@ def license_spans(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
+        seen: dict = {}
         for batch in batches:
-            spans = [[m._asdict() for m in find_licenses(t or "", index, memo, min_coverage)] for t in batch["text"].to_pylist()]
+            spans = [[m._asdict() for m in find_licenses(t or "", index, memo, min_coverage, seen)] for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": batch["id"], "spans": pa.array(spans, kind)})
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
@@ -273,7 +451,11 @@ def license_spans(
 
 
 def license_report(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_licenses, licenses, coverage, spans): names and spans comma-joined by start, the best coverage or null."""
+    """(id, n_licenses, licenses, coverage, spans): names and spans comma-joined by start, the best coverage or null.
+
+    One row for each row of docs: null and empty texts have no licenses, repeated rows are rows of their own, ties go as
+    in find_licenses, an empty table gives no rows, further columns are ignored.
+    """
     found = license_spans(docs, templates, id_col, text_col)
     told = F.transform("spans", lambda s: F.concat_ws(":", s["license"], s["start"], s["end"], s["matched"], s["words"]))
     return found.select(
