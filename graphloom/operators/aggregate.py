@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms
+from graphloom.operators.numbering import numbered
 from graphloom.operators.pattern import TYPE, of_predicates
 
 #: The aggregators that queries may name.
@@ -121,9 +122,9 @@ def page(solutions: DataFrame, key: str, limit: int = 10, count_to: int = 100) -
 def mask_uris(page_rows: DataFrame, by: Sequence[str], look: int = 5, keep: int = 2) -> DataFrame:
     """Columns with a URI in the first `look` rows are blank from row keep + 1 on.
 
-    For pages (a few rows: they are numbered in one place). `by` gives a definite order.
+    `by` gives a definite order; rows of any number are numbered by ranges of it (see numbering.numbered).
     """
-    ranked = page_rows.withColumn("_n", F.row_number().over(Window.orderBy(*by)))
+    ranked = numbered(page_rows, by, "_n").withColumn("_n", F.col("_n").cast("int"))
     names = page_rows.columns
     is_uri = {c: F.coalesce(F.col(c).cast("string").startswith(URI), F.lit(False)) for c in names}
     seen = ranked.where(F.col("_n") <= look).agg(*(F.coalesce(F.max(is_uri[c]), F.lit(False)).alias(f"_u_{c}") for c in names))
@@ -137,6 +138,15 @@ def mask_uris(page_rows: DataFrame, by: Sequence[str], look: int = 5, keep: int
     )
 
 
+def rows_between(solutions: DataFrame, by: Sequence[Column | str], offset: int, limit: int) -> DataFrame:
+    """O04 at any offset: `limit` rows after the first `offset` in the order of `by`, which gives a definite order.
+
+    Rows are numbered by ranges, so that neither the driver nor one task reads what is left out; they come sorted.
+    """
+    found = numbered(solutions, by, "_n").where(F.col("_n").between(offset + 1, offset + limit))
+    return found.orderBy("_n").select(*solutions.columns)
+
+
 def keep_first(solutions: DataFrame, keys: Sequence[str], by: Sequence[Column | str]) -> DataFrame:
     """The first row of each key; `by` gives a definite order."""
     return first_per_group(solutions, keys, by, 1)

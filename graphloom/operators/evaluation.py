@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.numbering import written
+
 #: Tools that only explore, and the text of errors that are no schema errors.
 EXPLORATORY = ("find_candidate_entities", "get_entity_properties", "get_usage_guide")
 DRY_RUN = "Dry Run"
+#: Calls of a trace that are followed in one go.
+CHUNK_CALLS = 1_000
 #: Most hops of easy and of medium queries.
 EASY_HOPS, MEDIUM_HOPS = 5, 13
 
@@ -56,46 +60,79 @@ def schema_errors(calls: DataFrame) -> DataFrame:
     return calls.groupBy("trace_id").agg(F.count_if(failed).alias("errors"))
 
 
-def workflow_drift(calls: DataFrame, workflows: DataFrame) -> DataFrame:
+def workflow_drift(calls: DataFrame, workflows: DataFrame, chunk: int = CHUNK_CALLS) -> DataFrame:
     """(trace_id, errors) for each of workflows(trace_id, steps array<string>): how far calls stray from the steps.
 
     Exploratory calls are left out. A successful call of the first step starts the comparison anew. After it, a
     call of a step still open closes it if it succeeds, and counts if it fails out of order; a call of no open
     step counts, as does any call before the start, and each step open in the end. Without a start the number
-    of steps counts, and without steps nothing does. A trace's calls are folded in order, one trace at a time.
+    of steps counts, and without steps nothing does.
+
+    Calls are sorted by trace and seq (ties: name, failed ones first) over ranges and cut into chunks of at most `chunk`
+    calls. What a chunk does to the steps is known without what came before: whether it starts anew, and how many
+    successful calls of each step's name follow its last start (or its beginning). Summed in order of chunks these tell which
+    steps are open where a chunk begins; then each chunk is followed by itself. So a trace of any length is spread over
+    tasks, and only sums by chunk and step are put in order trace by trace.
     """
-    ordered = calls.where(~F.col("name").isin(*EXPLORATORY)).groupBy("trace_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("seq", "name", (F.col("status") == "success").alias("ok")))),
-            lambda c: F.struct(c["name"].alias("name"), F.coalesce(c["ok"], F.lit(False)).alias("ok")),
-        ).alias("calls")
-    )
     names = F.transform("steps", lambda s: F.split_part(s, F.lit("("), F.lit(1)))
-    both = workflows.select("trace_id", names.alias("names")).join(ordered, "trace_id", "left")
+    flows = workflows.select("trace_id", names.alias("names"))
+    ok = F.coalesce(F.col("status") == "success", F.lit(False)).alias("ok")
+    own = calls.where(~F.col("name").isin(*EXPLORATORY)).select("trace_id", "seq", "name", ok)
+    order = ["trace_id", "seq", "name", "ok"]
+    at = F.floor(F.monotonically_increasing_id() / chunk).alias("chunk")
+    cut = written(own.repartitionByRange(*order).sortWithinPartitions(*order).select("*", at))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("seq", "name", "ok"))), lambda c: F.struct(c["name"].alias("name"), c["ok"].alias("ok")))
+    chunks = written(cut.groupBy("trace_id", "chunk").agg(told.alias("calls")).join(flows.where(F.size("names") > 0), "trace_id"))
+
+    def is_start(call: Column) -> Column:
+        return call["ok"] & F.coalesce(call["name"] == F.element_at("names", 1), F.lit(False))
+
+    last = F.array_max(F.transform("calls", lambda c, i: F.when(is_start(c), i)))
+    tail = F.slice("calls", F.coalesce(F.col("last") + 2, F.lit(1)), F.size("calls"))
+    done = F.transform("names", lambda n: F.size(F.filter(tail, lambda c: c["ok"] & F.coalesce(c["name"] == n, F.lit(False)))))
+    effects = chunks.select("trace_id", "chunk", last.alias("last"), "names", "calls").select("trace_id", "chunk", F.col("last").isNotNull().alias("starts"), done.alias("done"))
+    in_order = Window.partitionBy("trace_id").orderBy("chunk")
+    effects = effects.withColumn("start", F.sum(F.col("starts").cast("long")).over(in_order))
+    each = effects.select("trace_id", "chunk", "start", F.posexplode("done").alias("step", "n"))
+    since = F.sum("n").over(Window.partitionBy("trace_id", "start", "step").orderBy("chunk"))
+    before = Window.partitionBy("trace_id", "step").orderBy("chunk")
+    each = each.withColumn("since", since).select(
+        "trace_id", "chunk", "step", F.coalesce(F.lag("start").over(before), F.lit(0)).alias("start"), F.coalesce(F.lag("since").over(before), F.lit(0)).alias("since")
+    )
+    entered = each.groupBy("trace_id", "chunk").agg(
+        (F.max("start") > 0).alias("started"), F.transform(F.array_sort(F.collect_list(F.struct("step", "since"))), lambda x: x["since"]).alias("closed")
+    )
 
-    # open: places of the steps still to come, in order.
-    all_open = F.sequence(F.lit(1), F.size("names"))
-    state = F.struct(F.lit(False).alias("started"), all_open.alias("open"), F.lit(0).alias("errors"))
+    # Steps of one name are closed from the first on. The start closes the first step, and any further success of its name is a start.
+    every = F.sequence(F.lit(1), F.size("names"))
+
+    def is_open(i: Column) -> Column:
+        name = F.element_at("names", i)
+        earlier = F.size(F.filter(F.slice("names", F.lit(1), i - 1), lambda n: n == name))
+        return earlier >= F.when(name == F.element_at("names", 1), 1).otherwise(F.element_at("closed", i))
+
+    left = F.when(F.col("started"), F.filter(every, is_open)).otherwise(every)
+    state = F.struct(F.col("started").alias("started"), left.alias("open"), F.lit(0).alias("errors"))
 
     def step(acc: Column, call: Column) -> Column:
-        restart = call["ok"] & (call["name"] == F.element_at("names", 1))
+        restart = is_start(call)
         fitting = F.filter(acc["open"], lambda i: F.element_at("names", i) == call["name"])
-        in_order = F.coalesce(F.try_element_at(fitting, F.lit(1)) == F.try_element_at(acc["open"], F.lit(1)), F.lit(False))
-        wrong = ~acc["started"] | (F.size(fitting) == 0) | (~call["ok"] & ~in_order)
+        in_turn = F.coalesce(F.try_element_at(fitting, F.lit(1)) == F.try_element_at(acc["open"], F.lit(1)), F.lit(False))
+        wrong = ~acc["started"] | (F.size(fitting) == 0) | (~call["ok"] & ~in_turn)
         closes = acc["started"] & call["ok"] & (F.size(fitting) > 0)
-        left = F.when(closes, F.array_remove(acc["open"], F.try_element_at(fitting, F.lit(1)))).otherwise(acc["open"])
+        still = F.when(closes, F.array_remove(acc["open"], F.try_element_at(fitting, F.lit(1)))).otherwise(acc["open"])
         return F.struct(
             (acc["started"] | restart).alias("started"),
-            F.when(restart, F.slice(all_open, 2, F.size("names"))).otherwise(left).alias("open"),
+            F.when(restart, F.slice(every, 2, F.size("names"))).otherwise(still).alias("open"),
             (acc["errors"] + F.when(restart | ~wrong, 0).otherwise(1)).alias("errors"),
         )
 
-    def end(acc: Column) -> Column:
-        return F.when(acc["started"], acc["errors"] + F.size(acc["open"])).otherwise(F.size("names"))
-
-    empty = F.array().cast("array<struct<name: string, ok: boolean>>")
-    drift = F.aggregate(F.coalesce("calls", empty), state, step, end)
-    return both.select("trace_id", F.when(F.coalesce(F.size("names"), F.lit(0)) <= 0, 0).otherwise(drift).alias("errors"))
+    followed = chunks.join(entered, ["trace_id", "chunk"]).select("trace_id", "chunk", F.aggregate("calls", state, step).alias("k"))
+    whole = followed.groupBy("trace_id").agg(
+        F.sum("k.errors").cast("int").alias("errors"), F.max_by(F.struct(F.col("k.started").alias("started"), F.size("k.open").alias("open")), "chunk").alias("end")
+    )
+    drift = F.when(F.col("end.started"), F.col("errors") + F.col("end.open")).otherwise(F.size("names"))
+    return flows.join(whole, "trace_id", "left").select("trace_id", F.when(F.coalesce(F.size("names"), F.lit(0)) <= 0, 0).otherwise(drift).alias("errors"))
 
 
 def trace_roots(steps: DataFrame, limit: int | None = None) -> DataFrame:

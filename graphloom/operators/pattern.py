@@ -16,6 +16,8 @@ from graphloom.functions import terms
 from graphloom.sources.shared import shared_folder
 
 TYPE = "rdf:type"
+#: Members of a block of a large group.
+BLOCK_MEMBERS = 2_000
 #: Values that go into the plan as a list; more are joined as a table.
 INLINE_VALUES = 1_000
 
@@ -279,14 +281,23 @@ def project(solutions: DataFrame, *names: str, distinct: bool = True) -> DataFra
     return out.distinct() if distinct else out
 
 
-def pairs_in_group(members: DataFrame, group: str, member: str, shared: str) -> DataFrame:
+def pairs_in_group(members: DataFrame, group: str, member: str, shared: str, block: int = BLOCK_MEMBERS) -> DataFrame:
     """(group, shared, a, b), a < b, of members of one group that share a value.
 
-    A group's members of one value are meant to be few (a cast, an ensemble): its pairs are its square.
+    A group's pairs are its square. Groups of more than `block` members are cut into blocks, each pair of which, and each
+    block with itself, is a cell of a triangle and joined by itself: a cell has at most about block^2 pairs, so the
+    cells of one large group spread over tasks evenly. Nulls pair with nothing.
     """
-    rows = members.select(group, member, shared).distinct()
-    other = rows.withColumnRenamed(member, "b")
-    return rows.withColumnRenamed(member, "a").join(other, [group, shared]).where("a < b")
+    rows = members.select(group, member, shared).where(F.col(member).isNotNull()).distinct()
+    large = rows.groupBy(group, shared).agg(F.count(member).alias("_n")).where(F.col("_n") > block)
+    large = large.select(group, shared, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    dealt = rows.join(large, [group, shared], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
+    own = F.col("_own")
+    left = dealt.select(group, shared, F.col(member).alias("_x"), own.alias("_i"), F.explode(F.sequence(own, F.col("_blocks") - 1)).alias("_j"))
+    right = dealt.select(group, shared, F.col(member).alias("_y"), own.alias("_j"), F.explode(F.sequence(F.lit(0), own)).alias("_i"))
+    met = left.join(right, [group, shared, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("_x") < F.col("_y")))
+    return met.select(group, shared, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
 
 
 def exactly_members(members: DataFrame, group: str, member: str, wanted: Sequence) -> DataFrame:

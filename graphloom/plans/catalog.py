@@ -18,6 +18,7 @@ from graphloom.operators import entities as en
 from graphloom.operators import evaluation as ev
 from graphloom.operators import pattern as pt
 from graphloom.operators import schema as sc
+from graphloom.operators.numbering import numbered
 from graphloom.plans import entities as plans
 from graphloom.sources import readers
 from graphloom.sources.relational import triples
@@ -226,12 +227,13 @@ def _(t: DataFrame) -> DataFrame:
 
 @_register(
     "p16_inequality",
-    """SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier AS a JOIN supplier AS b USING (s_nationkey)
-       WHERE a.s_suppkey <> b.s_suppkey""",
+    """SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem AS a JOIN lineitem AS b USING (l_orderkey)
+       WHERE a.l_suppkey <> b.l_suppkey""",
 )
 def _(t: DataFrame) -> DataFrame:
-    ours = pt.exists(pt.match(t, "?x", "inNation", "?n"), pt.instances(t, "?x", "Supplier"))
-    both = pt.conjunction(ours, ours.withColumnRenamed("x", "y")).where("x != y")
+    """Suppliers that ship lines of one order: an order has few, so pairs grow with the lines."""
+    ours = pt.conjunction(pt.match(t, "?line", "ofOrder", "?order"), pt.match(t, "?line", "bySupplier", "?x")).select("order", "x").distinct()
+    both = pt.conjunction(ours, ours.withColumnRenamed("x", "y")).where("x != y").select("x", "y").distinct()
     return both.select(*(F.split_part(x, F.lit("/"), F.lit(2)).cast("long").alias(y) for x, y in (("x", "a"), ("y", "b"))))
 
 
@@ -905,9 +907,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     status = F.when(F.col("event_type") == "error", "error").otherwise("success")
-    return events.select(F.col("user_id").alias("trace_id"), seq.alias("seq"), F.col("event_type").alias("name"), status.alias("status"), F.col("props").alias("content"))
+    events = numbered(events, ["user_id", "ts", "event_id"], "seq")
+    return events.select(F.col("user_id").alias("trace_id"), "seq", F.col("event_type").alias("name"), status.alias("status"), F.col("props").alias("content"))
 
 
 @_register_tables("v04_schema_errors", "SELECT user_id AS trace_id, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")

@@ -248,3 +248,34 @@ def test_terms(spark):
     d = spark.createDataFrame([("<rdfs:label>", "http://erlangen-crm.org/efrbroo/R17"), ("a:b", "http://x/y#z")], "a string, b string")
     got = [tuple(r) for r in d.select(terms.expand(F.col("a")), terms.contract(F.col("b")), terms.contract_known(F.col("b")), terms.short_label(F.col("b"))).collect()]
     assert got == [("http://www.w3.org/2000/01/rdf-schema#label", "efrbroo:R17", "efrbroo:R17", "R17"), ("a:b", "http://x/y#z", None, "z")]
+
+
+def test_pairs_of_a_large_group_in_blocks(spark):
+    rows = spark.range(900).select(F.when(F.col("id") < 850, "big").otherwise("small").alias("g"), F.format_string("m%03d", "id").alias("m"), (F.col("id") % 2).alias("v"))
+    rows = rows.unionAll(rows.limit(50)).unionAll(spark.createDataFrame([("big", None, 1), (None, "x", 1), ("big", "y", None)], "g string, m string, v long"))
+    whole = pt.pairs_in_group(rows, "g", "m", "v")
+    assert whole.count() == 2 * (425 * 424 // 2 + 25 * 24 // 2)
+    for block in (7, 100):
+        cut = pt.pairs_in_group(rows, "g", "m", "v", block)
+        assert cut.count() == whole.count() and cut.exceptAll(whole).isEmpty() and cut.where("a >= b").isEmpty()
+
+
+def test_pairs_of_a_large_group_spread_over_tasks(spark):
+    rows = spark.range(50_000).select(F.lit("g").alias("g"), F.col("id").alias("m"), F.lit(1).alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # The join's left input by task: each of the 25 blocks lies in 25 cells.
+        dealt = pt.pairs_in_group(rows, "g", "m", "v")
+        side = dealt._jdf.queryExecution().optimizedPlan().toString()
+        assert side.count("explode") == 2
+        blocks = rows.select(F.pmod(F.xxhash64("m"), F.lit(25)).alias("b")).groupBy("b").count().collect()
+        assert len(blocks) == 25 and max(r["count"] for r in blocks) < 1.1 * pt.BLOCK_MEMBERS
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_rows_at_any_offset(spark):
+    rows = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("k")).repartition(5)
+    assert [r.k for r in agg.rows_between(rows, [F.desc("k")], 700, 5).collect()] == [299, 298, 297, 296, 295]
+    assert agg.rows_between(rows, ["k"], 1000, 5).isEmpty()
+    assert "WindowExec" not in agg.mask_uris(rows, ["k"])._jdf.queryExecution().executedPlan().toString()

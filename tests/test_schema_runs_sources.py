@@ -88,6 +88,45 @@ def test_workflow_drift(spark):
     assert got == {k: v[2] for k, v in cases.items()}
 
 
+def plain_drift(steps, calls):
+    started, open_, errors = False, list(range(len(steps))), 0
+    for name, ok in calls:
+        if ok and name == steps[0]:
+            started, open_ = True, list(range(1, len(steps)))
+            continue
+        fitting = [i for i in open_ if steps[i] == name]
+        if not started or not fitting or (not ok and fitting[0] != open_[0]):
+            errors += 1
+        if started and ok and fitting:
+            open_.remove(fitting[0])
+    return errors + len(open_) if started else len(steps)
+
+
+def test_workflow_drift_in_chunks_equals_a_fold(spark):
+    rng = random.Random(8)
+    cases = {}
+    for k in range(120):
+        steps = [rng.choice("abcd") for _ in range(rng.randrange(1, 6))]
+        cases[f"t{k}"] = (steps, [(rng.choice("abcdx"), rng.random() < 0.7) for _ in range(rng.randrange(0, 40))])
+    calls = [(k, i, n, "success" if ok else "error", "") for k, (_, cs) in cases.items() for i, (n, ok) in enumerate(cs)]
+    flows = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "trace_id string, steps array<string>")
+    table = spark.createDataFrame(calls, "trace_id string, seq int, name string, status string, content string").repartition(5)
+    expected = {k: plain_drift(*v) for k, v in cases.items()}
+    for chunk in (1, 3, 1000):
+        assert dict(map(tuple, ev.workflow_drift(table, flows, chunk).collect())) == expected
+
+
+def test_workflow_drift_of_one_long_trace(spark):
+    name = F.element_at(F.array(*map(F.lit, "abcx")), (F.pmod(F.hash("id"), F.lit(4)) + 1).cast("int"))
+    ok = F.pmod(F.hash("id", F.lit(1)), F.lit(10)) > 2
+    calls = spark.range(200_000).select(F.lit("long").alias("trace_id"), F.col("id").alias("seq"), name.alias("name"), F.when(ok, "success").otherwise("error").alias("status"), F.lit("").alias("content"))
+    flows = spark.createDataFrame([("long", ["a", "b", "c", "b"])], "trace_id string, steps array<string>")
+    rows = [(r.name, r.status == "success") for r in calls.orderBy("seq").collect()]
+    assert [tuple(r) for r in ev.workflow_drift(calls, flows).collect()] == [("long", plain_drift(["a", "b", "c", "b"], rows))]
+    cut = calls.repartitionByRange(4, "trace_id", "seq").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(cut) == 4 and max(r["count"] for r in cut) < 100_000
+
+
 def test_consistency_within_bounds(spark):
     runs = [("m", q, a, 10, 1.0, 2, 0, 1, None) for q, a in ((1, 0.0), (1, 1.0), (2, 1.0), (2, 1.0))]
     schema = "config string, question int, accuracy double, tokens long, latency double, n_tools int, type_1 int, type_2 int, type_3 int"
