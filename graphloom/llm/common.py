@@ -62,18 +62,30 @@ def row_hash(df: DataFrame, text_col: str) -> Column:
     return F.xxhash64(text_column(df, text_col))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names with as many underscores in front as keep them apart from df's columns, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def only_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs, in its own columns, with one row for each of chosen(id, hash, copies): those of that id and row_hash.
 
-    copies: how many rows docs has of it. Of more than one, that whose columns come first as JSON stays.
+    copies: how many rows docs has of it. Of more than one, that whose columns come first as JSON stays. Columns of docs
+    may have any names.
     """
-    chosen = written(chosen.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), "copies"))
-    same = docs[id_col].cast("long").eqNullSafe(chosen["__id"]) & (row_hash(docs, text_col) == chosen["__hash"])
-    if chosen.where("copies > 1").isEmpty():
+    id_, hash_, copies, json, first = free_names(docs, "id", "hash", "copies", "json", "first")
+    chosen = written(chosen.select(F.col("id").alias(id_), F.col("hash").alias(hash_), F.col("copies").alias(copies)))
+    same = docs[id_col].cast("long").eqNullSafe(chosen[id_]) & (row_hash(docs, text_col) == chosen[hash_])
+    if chosen.where(F.col(copies) > 1).isEmpty():
         return docs.join(chosen, same, "left_semi")
-    once = docs.join(chosen.where("copies = 1"), same, "left_semi")
-    repeated = docs.join(chosen.where("copies > 1"), same)
-    first = Window.partitionBy("__id", "__hash").orderBy("__json")
-    repeated = repeated.withColumn("__json", F.to_json(F.struct(*(docs[c] for c in docs.columns))))
-    kept = repeated.withColumn("__first", F.row_number().over(first)).where("__first = 1")
-    return once.unionByName(kept.select(*(docs[c] for c in docs.columns)))
+    once = docs.join(chosen.where(F.col(copies) == 1), same, "left_semi")
+    repeated = docs.join(chosen.where(F.col(copies) > 1), same)
+    repeated = repeated.withColumn(json, F.to_json(F.struct(*(docs[c] for c in docs.columns))))
+    kept = repeated.withColumn(first, F.row_number().over(Window.partitionBy(id_, hash_).orderBy(json))).where(F.col(first) == 1)
+    return once.unionByName(kept.select(*docs.columns))

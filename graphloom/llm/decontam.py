@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower, text_column, written
+from graphloom.llm.common import ascii_lower, free_names, text_column, written
 
 WINDOW = 13
 #: Most benchmark windows that are broadcast whole (about 200 bytes each). A larger benchmark is probed by its bits.
@@ -209,21 +209,19 @@ def decontaminate(
     """
     id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
     hash_ = F.xxhash64(text_column(docs, text_col))
+    id_, text_hash, n_hit, spans = free_names(docs, "id", "text_hash", "n_hit", "spans")
+    found = _by_document(find_hits(docs, benchmark, n, **columns)).select(
+        F.col("id").alias(id_), F.col("text_hash").alias(text_hash), F.col("n_hit").alias(n_hit), F.col("spans").alias(spans)
+    )
+    same = docs[id_col].eqNullSafe(found[id_]) & (hash_ == found[text_hash])
     if remove == "documents":
-        found = _by_document(find_hits(docs, benchmark, n, **columns)).withColumnsRenamed(
-            {"id": "__id", "text_hash": "__hash", "n_hit": "__n_hit"}
-        )
-        same = docs[id_col].eqNullSafe(found["__id"]) & (hash_ == found["__hash"])
-        too_much = 100 * found["__n_hit"] >= min_percent * _n_words(text_column(docs, text_col))
-        return docs.join(found.select("__id", "__hash", "__n_hit"), same & too_much, "left_anti")
+        too_much = 100 * found[n_hit] >= min_percent * _n_words(text_column(docs, text_col))
+        return docs.join(found.drop(spans), same & too_much, "left_anti")
     if remove != "spans":
         raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
-    found = _by_document(find_hits(docs, benchmark, n, **columns)).select(
-        F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")
-    )
-    joined = docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (hash_ == found["__hash"]), "left")
+    joined = docs.join(found, same, "left")
     pieces = F.regexp_extract_all(docs[text_col], F.lit(f"[{NOT_WORD_ANY_CASE}]*[^{NOT_WORD_ANY_CASE}]+"), F.lit(0))
     tail = F.regexp_extract(docs[text_col], f"[{NOT_WORD_ANY_CASE}]*$", 0)
-    left = F.filter(pieces, lambda piece, i: ~F.exists("__spans", lambda s: (s["pos"] <= i) & (i < s["end"])))
-    cleaned = F.when(F.col("__spans").isNull(), docs[text_col]).otherwise(F.concat(F.array_join(left, ""), tail))
+    left = F.filter(pieces, lambda piece, i: ~F.exists(spans, lambda s: (s["pos"] <= i) & (i < s["end"])))
+    cleaned = F.when(F.col(spans).isNull(), docs[text_col]).otherwise(F.concat(F.array_join(left, ""), tail))
     return joined.select(*(cleaned.alias(c) if c == text_col else docs[c] for c in docs.columns))
