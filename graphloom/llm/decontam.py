@@ -95,6 +95,12 @@ def _bits(windows: DataFrame, n: int) -> tuple[DataFrame, int]:
     return by_block.select("block", row.alias("row")), many
 
 
+def _item_sets(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """windows with a number in place of each list of items, and (item_set, items): equal lists have one number."""
+    sets = written(windows.select("items").distinct().withColumn("item_set", F.monotonically_increasing_id()))
+    return windows.join(sets, "items").drop("items"), sets
+
+
 def find_hits(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -106,14 +112,33 @@ def find_hits(
     broadcast_windows: int = BROADCAST_WINDOWS,
     piece_chars: int = PIECE_CHARS,
 ) -> DataFrame:
-    """(id, text_hash, pos, len, items): each place where a document has a window of the benchmark.
+    """(id, text_hash, pos, len, items): each place where a document has a window of the benchmark. See _hits."""
+    hits, sets = _hits(docs, benchmark, n, id_col, text_col, benchmark_id_col, benchmark_text_col, broadcast_windows, piece_chars)
+    return hits.join(sets, "item_set").drop("item_set")
+
+
+def _hits(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    n: int = WINDOW,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    benchmark_id_col: str = "item_id",
+    benchmark_text_col: str = "text",
+    broadcast_windows: int = BROADCAST_WINDOWS,
+    piece_chars: int = PIECE_CHARS,
+) -> tuple[DataFrame, DataFrame]:
+    """(id, text_hash, pos, len, item_set) of each place where a document has a window, and (item_set, items).
+
+    A window carries the number of its set of items, not the items: what a prompt that all items share costs is a number.
 
     Documents' windows are hashed and probed where they are read; where a hash is met, the words themselves are
     compared. Benchmark windows are counted first: up to `broadcast_windows` are broadcast whole. Of more, a table of
     bits is broadcast (MOST_BITS at most), and only places whose bit is set go to the windows through a shuffle. A
     place may come more than once. Memory for a text is that of its normal form and of one piece's words.
     """
-    windows = written(benchmark_windows(benchmark, n, benchmark_id_col, benchmark_text_col))
+    windows, sets = _item_sets(written(benchmark_windows(benchmark, n, benchmark_id_col, benchmark_text_col)))
+    windows = written(windows)
     seen = windows.groupBy("len").agg(F.count("*").alias("n"), F.max(F.char_length("gram")).alias("longest")).collect()  # n rows at most
     lengths, count = sorted(r.len for r in seen), sum(r.n for r in seen)
     pieces = _pieces(docs, id_col, text_col, max((r.longest for r in seen), default=0), piece_chars)
@@ -126,7 +151,7 @@ def find_hits(
         pieces.select("id", "text_hash", "before", "words", F.explode(lists).alias("of"))
         .select("id", "text_hash", "before", "words", "of.len", F.posexplode("of.keys").alias("at", "key"))
     )
-    known = windows.select("key", F.col("len").alias("known_len"), "gram", "items")
+    known = windows.select("key", F.col("len").alias("known_len"), "gram", "item_set")
     pos = (F.col("before") + F.col("at")).alias("pos")
     said = F.array_join(F.slice("words", F.col("at") + 1, F.col("len")), " ")
 
@@ -136,32 +161,43 @@ def find_hits(
         return (F.col("len") - F.col("known_len") == 0) & F.startswith(words, F.col("gram")) & F.startswith(F.col("gram"), words)
 
     if count <= broadcast_windows:
-        return probes.join(F.broadcast(known), "key").where(same(said)).select("id", "text_hash", pos, "len", "items")
+        return probes.join(F.broadcast(known), "key").where(same(said)).select("id", "text_hash", pos, "len", "item_set"), sets
     table, many = _bits(windows, count)
     slot = F.col("key").bitwiseAND(F.lit(many - 1))
     bit = F.getbit(F.get("row", F.expr(f"CAST(shiftright(key, 6) & {BLOCK // 64 - 1} AS INT)")), F.expr("CAST(key & 63 AS INT)"))
     maybe = probes.withColumn("block", F.shiftright(slot, BLOCK.bit_length() - 1)).join(F.broadcast(table), "block").where(bit == 1)
     met = maybe.select("id", "text_hash", pos, "len", "key", said.alias("said")).join(known, "key")
-    return met.where(same("said")).select("id", "text_hash", "pos", "len", "items")
+    return met.where(same("said")).select("id", "text_hash", "pos", "len", "item_set"), sets
+
 
+def _by_document(hits: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """(id, text_hash, n_hit, spans, and items if sets are given): words covered, places covered, items that occur.
 
-def _by_document(hits: DataFrame) -> DataFrame:
-    """(id, text_hash, n_hit, items, spans): words covered, items that occur, places covered. One document a group."""
+    One document a group. Sets of items are looked up once for each that a document has.
+    """
     before = (
         Window.partitionBy("id", "text_hash").orderBy("pos", "len").rowsBetween(Window.unboundedPreceding, -1)
     )
     end = F.col("pos") + F.col("len")
     covered = F.coalesce(F.max(end).over(before), F.lit(0))
-    return (
+    covered_by = (
         hits.withColumn("covered", covered)
         .withColumn("gain", F.greatest(F.lit(0), end - F.greatest("pos", "covered")))
         .groupBy("id", "text_hash")
         .agg(
             F.sum("gain").alias("n_hit"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+            F.collect_set("item_set").alias("item_sets"),
             F.array_sort(F.collect_set(F.struct("pos", end.alias("end")))).alias("spans"),
         )
     )
+    if sets is None:
+        return covered_by.drop("item_sets")
+    covered_by = written(covered_by)
+    each = covered_by.select("id", "text_hash", F.explode("item_sets").alias("item_set")).join(sets, "item_set")
+    each = each.select("id", "text_hash", F.explode("items").alias("item")).groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    each = each.withColumnsRenamed({"id": "_id", "text_hash": "_text_hash"})
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_text_hash"))
+    return covered_by.join(each, same).select("id", "text_hash", "n_hit", "items", "spans")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_percent: int = 5, **columns) -> DataFrame:
@@ -174,10 +210,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_pe
     Nulls and empty texts have no words, hits or items, and are clean. A null id is a document like any other.
     Repeated rows get the same verdict; rows with one id and different texts are judged apart. An empty
     benchmark hits nothing; items with a null id or no words are ignored. Further columns are ignored.
-    `columns` are passed to find_hits.
+    `columns` are as for find_hits.
     """
     id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
-    found = _by_document(find_hits(docs, benchmark, n, **columns))
+    found = _by_document(*_hits(docs, benchmark, n, **columns))
     text = text_column(docs, text_col)
     words = docs.select(
         docs[id_col].alias("doc"),
@@ -210,7 +246,7 @@ def decontaminate(
     id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
     hash_ = F.xxhash64(text_column(docs, text_col))
     id_, text_hash, n_hit, spans = free_names(docs, "id", "text_hash", "n_hit", "spans")
-    found = _by_document(find_hits(docs, benchmark, n, **columns)).select(
+    found = _by_document(_hits(docs, benchmark, n, **columns)[0]).select(
         F.col("id").alias(id_), F.col("text_hash").alias(text_hash), F.col("n_hit").alias(n_hit), F.col("spans").alias(spans)
     )
     same = docs[id_col].eqNullSafe(found[id_]) & (hash_ == found[text_hash])

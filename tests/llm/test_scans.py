@@ -405,3 +405,15 @@ def test_toxicity_of_labels_beyond_the_sample(spark, docs):
     marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int")
     model = toxicity.fit(docs(*pairs), marks, training_rows=200)
     assert {r.doc_id for r in toxicity.score(docs(*pairs), model).where("score >= 0.3").collect()} == {i for i in range(0, 800, 4)}
+
+
+def test_a_prompt_that_all_items_share_costs_a_number_a_hit(spark, docs):
+    prompt = " ".join(f"p{i}" for i in range(20))
+    items = [(i, f"{prompt} own{i} words{i}") for i in range(300)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    pairs = [(i, f"before {prompt} after") for i in range(20)]
+    hits, sets = decontam._hits(docs(*pairs), bench)
+    assert hits.count() == 160 and dict(hits.dtypes)["item_set"] == "bigint"
+    assert hits.select("item_set").distinct().count() == 1 and sets.count() == 301
+    assert out(decontam.contamination(docs(*pairs), bench)) == plain_contamination(pairs, items)
+    assert {len(r["items"]) for r in decontam.find_hits(docs(*pairs[:1]), bench).collect()} == {300}
