@@ -57,6 +57,37 @@ def test_schema_edges_from_triples(spark):
     assert sc.schema_edges(t.where("false")).count() == 0
 
 
+def test_search_by_levels_equals_full_enumeration(spark):
+    rng = random.Random(12)
+    rows = {(rng.choice("ABCDEFG"), rng.choice(["p", "q", "pq", "r"]), rng.choice("ABCDEFG")) for _ in range(45)}
+    edges = spark.createDataFrame(sorted(rows), "source_type string, edge string, target_type string")
+    whole = sc.simple_paths(edges, "A", "G", 5).cache()
+    for k in (1, 2, 5):
+        expected = {(str(r.path), r.size, r.last) for r in sc.reduce_paths(whole, k).collect()}
+        assert {(str(r.path), r.size, r.last) for r in sc.shortest_by_property(edges, "A", "G", k, 5).collect()} == expected
+    expected = [(str(r.path), r.size) for r in whole.orderBy("size", sc._path_key()).limit(7).collect()]
+    assert [(str(r.path), r.size) for r in sc.k_shortest_paths(edges, "A", "G", 7, 5).collect()] == expected
+    assert sc.shortest_by_property(edges, "A", "A").isEmpty() and sc.shortest_by_property(edges, "A", "nowhere").isEmpty()
+
+
+def test_dense_schema_in_bounded_rows(spark):
+    """89 classes and 290 properties at depth 6: of some ten million paths and more only the open ones are followed."""
+    i = F.col("id")
+    rows = spark.range(7000).select(
+        F.format_string("C%02d", F.pmod(F.hash(i), F.lit(89))).alias("source_type"), F.format_string("p%03d", F.pmod(F.hash(i, F.lit(1)), F.lit(290))).alias("edge"),
+        F.format_string("C%02d", F.pmod(F.hash(i, F.lit(2)), F.lit(89))).alias("target_type"),
+    )
+    levels = []
+    found = sc.shortest_by_property(rows, "C00", "C01", 5, 6, lambda size, n: levels.append(n))
+    last = rows.where("target_type = 'C01' AND source_type != 'C01'").select("edge").distinct().count()
+    assert {r["count"] for r in found.groupBy("last").count().collect()} == {5}
+    assert found.select("last").distinct().count() == last
+    assert sum(levels) < 100_000
+    short = sc.reduce_paths(sc.simple_paths(rows, "C00", "C01", 4), 5)
+    if found.agg(F.max("size")).first()[0] <= 3:
+        assert {(str(r.path), r.last) for r in found.collect()} == {(str(r.path), r.last) for r in short.collect()}
+
+
 def test_accuracy(spark):
     def cells(rows):
         return spark.createDataFrame([(q, i, c, v) for i, (q, c, v) in enumerate(rows)], "question_id int, row_id int, col string, value string")
