@@ -250,7 +250,13 @@ def _outside_pairs(body: Column) -> Column:
         return F.aggregate(read, start, step)
 
     both = fold(signs, "(", ")")["free"] + fold(F.reverse(signs), ")", "(")["beyond"]
-    return F.when(body.contains("("), both).otherwise(F.regexp_count(body, F.lit("[./;,]")))
+    return F.when(body.contains("("), both).otherwise(F.regexp_count(body, F.lit(SIGNS)))
+
+
+#: What the metric takes out of a query before it counts: comment lines, texts, URIs.
+COMMENT, QUOTED, ANGLED = r"(?m)^#.*\n?", r'"[^"\\]*(?:\\[^\n][^"\\]*)*"', r"<[^>]*>"
+#: The outer braces of a query, with what stands in them, and the signs that count.
+BRACED, SIGNS = r"^[^{]*\{([\s\S]*)\}[^}]*$", "[./;,]"
 
 
 def count_hops(query: Column) -> Column:
@@ -258,11 +264,10 @@ def count_hops(query: Column) -> Column:
 
     Comment lines, texts, URIs and what stands in parentheses do not count.
     """
-    bare = F.regexp_replace(query, r"(?m)^#.*\n?", "")
-    braced = F.regexp_extract(bare, r"^[^{]*\{([\s\S]*)\}[^}]*$", 1)
-    body = F.when(bare.rlike(r"^[^{]*\{[\s\S]*\}[^}]*$"), braced).otherwise(bare)
-    body = F.regexp_replace(body, r'"[^"\\]*(?:\\[^\n][^"\\]*)*"', " ")
-    body = F.regexp_replace(body, r"<[^>]*>", " ")
+    bare = F.regexp_replace(query, COMMENT, "")
+    body = F.when(bare.rlike(BRACED), F.regexp_extract(bare, BRACED, 1)).otherwise(bare)
+    for gone in (QUOTED, ANGLED):
+        body = F.regexp_replace(body, gone, " ")
     return _outside_pairs(body)
 
 

@@ -119,17 +119,6 @@ def _(t: DataFrame) -> DataFrame:
     return pt.project(pt.without(found, "line", "nation"), "order", "supplier")
 
 
-@_register(
-    "p06_variable_predicate",
-    """SELECT 'inNation' AS property, 'nation/' || c_nationkey AS value FROM customer WHERE c_custkey = 7
-       UNION ALL SELECT 'rdf:type', 'Customer' FROM customer WHERE c_custkey = 7
-       UNION ALL SELECT 'rdfs:label', c_name FROM customer WHERE c_custkey = 7
-       UNION ALL SELECT 'segment', 'segment/' || c_mktsegment FROM customer WHERE c_custkey = 7""",
-)
-def _(t: DataFrame) -> DataFrame:
-    return pt.match(t, "customer/7", "?property", "?value").where("property != 'balance'")
-
-
 @_register(
     "p06_all_properties",
     """SELECT 'inNation' AS property, 'nation/' || c_nationkey AS value FROM customer WHERE c_custkey = 7
@@ -455,11 +444,6 @@ def _(t: DataFrame) -> DataFrame:
     return agg.count_equals_key(pt.bind(found, size=F.col("size").try_cast("int")), ["part"], "line", "size")
 
 
-@_register("a16_joined_types", "SELECT 'region/' || r_regionkey AS s, 'Region' AS types FROM region UNION ALL SELECT 'nation/' || n_nationkey, 'Nation' FROM nation")
-def _(t: DataFrame) -> DataFrame:
-    return agg.joined_types(t.where(F.col("p") == pt.TYPE).where("o IN ('Region', 'Nation')"))
-
-
 @_register(
     "a16_all_types",
     " UNION ALL ".join(f"SELECT {s} AS s, '{c}' AS types FROM {table}" for c, table, s, _, _ in _CLASSES),
@@ -490,15 +474,6 @@ def _(t: DataFrame) -> DataFrame:
     return agg.heaviest_label(pt.conjunction(texts, pt.match(t, "?d", "source", "?source")), ["source"], "text", "o_lang")
 
 
-@_register(
-    "a18_predicate_counts",
-    """SELECT 'placedBy' AS edge, count(*) AS count FROM orders UNION ALL SELECT 'inNation', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)
-       UNION ALL SELECT 'brand', count(*) FROM part UNION ALL SELECT 'skos:broader', (SELECT count(*) FROM nation) + (SELECT count(*) FROM region)""",
-)
-def _(t: DataFrame) -> DataFrame:
-    return agg.predicate_counts(t.where(F.col("p").isin("placedBy", "inNation", "brand", "skos:broader")))
-
-
 @_register(
     "a18_all_predicates",
     "SELECT edge, sum(n)::BIGINT AS count FROM ("
@@ -702,15 +677,6 @@ def _(t: DataFrame) -> DataFrame:
     return en.candidates_or_any(t, "customer 000000042", "artist")
 
 
-@_register(
-    "e04_labels",
-    "SELECT 'nation/' || n_nationkey AS s, n_name AS label FROM nation UNION ALL SELECT 'region/' || r_regionkey, r_name FROM region",
-)
-def _(t: DataFrame) -> DataFrame:
-    wanted = t.where(F.col("p") == pt.TYPE).where("o IN ('Nation', 'Region')").select("s")
-    return en.labels_of(t, wanted)
-
-
 @_register(
     "e04_all_labels",
     " UNION ALL ".join(f"SELECT {s} AS s, {label} AS label FROM {table} WHERE {label} IS NOT NULL" for _, table, s, label, _ in _CLASSES if label),
@@ -1037,21 +1003,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("config", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
-@_register_tables(
-    "v18_v20_query_difficulty",
-    """WITH h AS (SELECT lang, len(regexp_extract_all(text, '[./;,]')) AS n FROM (SELECT lang, regexp_replace(regexp_replace(regexp_replace(replace(replace(
-       coalesce(text, ''), '{', ' '), '}', ' '), '(?m)^#.*\\n?', '', 'g'), '"[^"\\\\]*(?:\\\\[^\\n][^"\\\\]*)*"', ' ', 'g'), '<[^>]*>', ' ', 'g') AS text FROM documents)
-       WHERE NOT contains(text, '(') AND NOT contains(text, ')'))
-       SELECT lang, CASE WHEN n <= 5 THEN 'easy' WHEN n <= 13 THEN 'medium' ELSE 'hard' END AS split, count(*) AS count FROM h GROUP BY 1, 2""",
-)
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bare = F.translate(F.coalesce("text", F.lit("")), "{}", "  ")
-    docs = _table(spark, sf_dir, "documents").where("NOT contains(coalesce(text, ''), '(') AND NOT contains(coalesce(text, ''), ')')")
-    return ev.split_counts(docs.select(F.struct("lang", ev.query_difficulty(bare, F.lit("")).alias("split")).alias("k")), "k").select("k.*", "count")
+def _outside_parentheses(text: str, depth: int = 12) -> str:
+    """SQL that takes pairs of parentheses out, the inner ones first, as deep as documents go."""
+    for _ in range(depth):
+        text = f"regexp_replace({text}, '\\([^()]*\\)', ' ', 'g')"
+    return text
 
 
-# No SQL: it cannot match parentheses.
-@_register_tables("v18_v20_all_documents", None)
+_HOPS_SQL = f"""WITH h AS (SELECT lang, q, len(regexp_extract_all({_outside_parentheses("text")}, '[./;,]')) AS n FROM (SELECT lang, coalesce(text, '') AS q,
+       regexp_replace(regexp_replace(regexp_replace(replace(replace(coalesce(text, ''), '{{', ' '), '}}', ' '), '(?m)^#.*\\n?', '', 'g'),
+       '"[^"\\\\]*(?:\\\\[^\\n][^"\\\\]*)*"', ' ', 'g'), '<[^>]*>', ' ', 'g') AS text FROM documents))
+       SELECT lang, CASE WHEN regexp_matches(upper(q), '\\b(GROUP BY|COUNT|ORDER BY)\\b') THEN 'hard' WHEN n <= 5 THEN 'easy' WHEN n <= 13 THEN 'medium' ELSE 'hard' END AS split,
+       count(*) AS count FROM h GROUP BY 1, 2"""
+
+
+@_register_tables("v18_v20_query_difficulty", _HOPS_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.translate(F.coalesce("text", F.lit("")), "{}", "  ")
     docs = _table(spark, sf_dir, "documents")
@@ -1163,7 +1129,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('# category: "names"\n# split: easy\n# origin: nation '), F.col("s_nationkey"), F.lit("\n# question: Who is "), F.col("s_name"),
         F.lit(' ?\n# query:\nSELECT * WHERE { ?s rdfs:label "'), F.col("s_name"), F.lit('" }\n# workflow\nfind('), F.col("s_suppkey"), F.lit(")\n\nrun()"),
     )
-    # A file for each supplier.
+    # The source reads a record a file, as the surveyed corpus has it.
     _table(spark, sf_dir, "supplier").select("s_suppkey", lines.alias("value")).repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
     found = readers.read_query_corpus(spark, f"{path}/*")
     return found.select("category", "split", "origin", "question", "query", F.array_join("workflow", " / ").alias("workflow"))
@@ -1304,5 +1270,12 @@ CATALOG["flagship"] = (
        JOIN orders ON o_custkey = c_custkey WHERE n_name ILIKE '%nation_1%' GROUP BY 1, 2 ORDER BY orders DESC, customer LIMIT 100""",
 )
 
+# Names that these questions had when they read a part of the view.
+for old, whole in (
+    ("p06_variable_predicate", "p06_all_properties"), ("a16_joined_types", "a16_all_types"), ("a18_predicate_counts", "a18_all_predicates"),
+    ("e04_labels", "e04_all_labels"), ("v18_v20_all_documents", "v18_v20_query_difficulty"),
+):
+    CATALOG[old] = CATALOG[whole]
+
 QUERIES: dict[str, Query] = {name: query for name, (query, _) in CATALOG.items()}
 ORACLES: dict[str, str] = {name: sql for name, (_, sql) in CATALOG.items() if sql}
