@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import text_column
+from graphloom.llm.common import text_column, written
 
 KEYS = ("source", "lang", "tokenizer")
-#: Buckets of documents by a hash of the id: a batch reads those that its documents are in.
-BUCKETS = 64
+#: Signed rows of a file of the ledger, on average.
+FILE_ROWS = 1_000_000
 #: Batches after which the ledger is folded into one state.
 COMPACT_EVERY = 16
 CHANGES = "batch_seq long, op string, doc_id long, source string, lang string, tokenizer string, tokens long"
@@ -105,27 +106,39 @@ def additive_totals(deltas: DataFrame) -> DataFrame:
     )
 
 
-def _bucket(id_: str = "doc_id") -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(BUCKETS)).cast("int")
+_LEDGER = "doc_id long, source string, lang string, tokenizer string, tokens long, sign int"
+_FILES = "file string, low long, high long, n long"
 
 
-_LEDGER = "doc_id long, source string, lang string, tokenizer string, tokens long, sign int, bucket int"
+def files_hit(low: np.ndarray, high: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of the ranges low..high, in order and at most touching, have one of the ids."""
+    first, end = np.searchsorted(high, ids), np.searchsorted(low, ids, "right")
+    change = np.zeros(len(low) + 1, np.int64)
+    held = end > first
+    np.add.at(change, first[held], 1)
+    np.add.at(change, end[held], -1)
+    return np.flatnonzero(np.cumsum(change[:-1]) > 0)
 
 
 class TokenRollup:
     """Totals under a folder in a store that driver and executors share.
 
-    Each batch writes its signed rows to ledger/batch=<id>/bucket=<hash of the document>, and then its sums to
-    deltas/batch=<id>, whose _SUCCESS file is the commit. A batch that is committed already is not applied again;
-    one that broke off is not read, and is written anew when it is sent again. One writer at a time.
+    Each batch writes its signed rows to ledger/batch=<id>, sorted by document over files of about FILE_ROWS rows, with a
+    list of the documents' range in each file, and then its sums to deltas/batch=<id>, whose _SUCCESS file is the
+    commit. A batch that is committed already is not applied again; one that broke off is not read, and is written
+    anew when it is sent again. One writer at a time.
 
-    To find what its documents counted before, a batch reads the buckets that they are in, of the last state and of
-    later ledgers. After `compact_every` batches these are folded into a new state, state/<k>; the batches that it
-    has are named in folded/<k>, whose _SUCCESS file makes it count.
+    To find what its documents counted before, a batch reads the files whose range has one of them, of the last state and
+    of later ledgers. Documents that come together with ids close to each other cost a few files; ids from everywhere
+    cost all of them. After `compact_every` batches these are folded into a new state, state/<k>; the batches that
+    it has are named in folded/<k>, whose _SUCCESS file makes it count.
+
+    Null ids and versions are left out of every batch; null sources and languages are groups; repeated rows and ties are
+    settled as in signed_deltas; an empty batch commits and changes nothing; further columns of changes are ignored.
     """
 
-    def __init__(self, spark: SparkSession, path: str, compact_every: int = COMPACT_EVERY):
-        self.spark, self.path, self.compact_every = spark, path.rstrip("/"), compact_every
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = COMPACT_EVERY, file_rows: int = FILE_ROWS):
+        self.spark, self.path, self.compact_every, self.file_rows = spark, path.rstrip("/"), compact_every, file_rows
 
     def _fs(self, path: str):
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -150,28 +163,52 @@ class TokenRollup:
             return None, set()
         return states, {r.value for r in self.spark.read.text(f"{self.path}/folded/{states}").collect()}
 
-    def ledger(self, buckets: list[int] | None = None) -> DataFrame:
-        """Signed rows of all batches, of the state folded last and the batches after it. buckets: none but these."""
+    def _parts(self) -> list[str]:
+        """Folders of the state folded last and of the batches after it."""
         state, folded = self._folded()
-        parts = [f"{self.path}/ledger/batch={b}" for b in self.committed() if b not in folded]
-        if state is not None:
-            parts.insert(0, f"{self.path}/state/{state}")
+        return ([] if state is None else [f"state/{state}"]) + [f"ledger/batch={b}" for b in self.committed() if b not in folded]
+
+    def ledger(self, changes: DataFrame | None = None) -> DataFrame:
+        """Signed rows of all batches, of the state folded last and the batches after it. changes: files with their documents only."""
         out = self.spark.createDataFrame([], _LEDGER)
-        for part in parts:
-            fs, folder = self._fs(part)
-            names = {f.getPath().getName() for f in fs.listStatus(folder)}
-            there = sorted(n for n in names if n.startswith("bucket=")) if buckets is None else [f"bucket={b}" for b in buckets if f"bucket={b}" in names]
-            if there:
-                out = out.unionByName(self.spark.read.schema(_LEDGER).option("basePath", part).parquet(*(f"{part}/{n}" for n in there)))
+        for part in self._parts():
+            files = self._files(part)
+            if changes is not None and files:
+                files = self._hit(files, changes)
+            if files:
+                out = out.unionByName(self.spark.read.schema(_LEDGER).parquet(*(f"{self.path}/{part}/{f.file}" for f in files)))
         return out
 
-    def state(self, buckets: list[int] | None = None) -> DataFrame:
-        """(doc_id, tokenizer, source, lang, tokens) of every document now: signed rows that do not cancel."""
-        keys = ["doc_id", "tokenizer", "source", "lang", "tokens"]
-        return self.ledger(buckets).groupBy(*keys).agg(F.sum("sign").alias("n")).where("n > 0").select(*keys)
+    def _files(self, part: str) -> list:
+        """The list of a folder's files, in order: a row for each FILE_ROWS rows."""
+        return sorted(self.spark.read.schema(_FILES).parquet(f"{self.path}/{part}-files").collect(), key=lambda f: (f.low, f.high))
+
+    def _hit(self, files: list, changes: DataFrame) -> list:
+        """Those of a folder's files whose range has a document of the changes. Tasks look the ids up, and tell files."""
+        low, high = (np.array([getattr(f, end) for f in files], np.int64) for end in ("low", "high"))
 
-    def _write(self, rows: DataFrame, path: str) -> None:
-        rows.withColumn("bucket", _bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(files_hit(low, high, batch["doc_id"].to_numpy(zero_copy_only=False)))], ["file"])
+
+        found = changes.where("doc_id IS NOT NULL").select("doc_id").mapInArrow(look, "file long").distinct().collect()
+        return [files[r.file] for r in sorted(found)]
+
+    def state(self, changes: DataFrame | None = None) -> DataFrame:
+        """(doc_id, tokenizer, source, lang, tokens) of every document now (changes: of theirs): signed rows that do not cancel."""
+        keys = ["doc_id", "tokenizer", "source", "lang", "tokens"]
+        return self.ledger(changes).groupBy(*keys).agg(F.sum("sign").alias("n")).where("n > 0").select(*keys)
+
+    def _write(self, rows: DataFrame, part: str) -> DataFrame:
+        path, order = f"{self.path}/{part}", ["doc_id", "tokenizer"]
+        rows = written(rows)
+        many = max(1, -(-rows.count() // self.file_rows))
+        columns = [c.split()[0] for c in _LEDGER.split(", ")]
+        rows.select(*columns).repartitionByRange(many, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+        back = self.spark.read.schema(_LEDGER).parquet(path)
+        listed = back.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{path}-files")
+        return back
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Applies a batch once; False if it is committed already. batch_id: letters, digits, - and _."""
@@ -179,13 +216,11 @@ class TokenRollup:
             raise ValueError(f"not a batch id: {batch_id!r}")
         if batch_id in self.committed():
             return False
-        # Written once: its buckets are looked at before its rows are used.
-        sent, ledger = f"{self.path}/sent/batch={batch_id}", f"{self.path}/ledger/batch={batch_id}"
+        # Written once: its documents are looked at before its rows are used.
+        sent, ledger = f"{self.path}/sent/batch={batch_id}", f"ledger/batch={batch_id}"
         changes.write.mode("overwrite").parquet(sent)
         changes = self.spark.read.schema(CHANGES).parquet(sent)
-        buckets = sorted(r.b for r in changes.where("doc_id IS NOT NULL").select(_bucket().alias("b")).distinct().collect())  # BUCKETS at most
-        self._write(signed_deltas(changes, self.state(buckets)), ledger)
-        signed = self.spark.read.schema(_LEDGER).parquet(ledger)
+        signed = self._write(signed_deltas(changes, self.state(changes)), ledger)
         additive_totals(signed).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
         if len(self.committed()) - len(self._folded()[1]) >= self.compact_every:
             self.compact()
@@ -195,7 +230,7 @@ class TokenRollup:
         """Folds all batches into one state. What broke off is not read, and is written over later."""
         state, batches = self._folded()[0], self.committed()
         number = 0 if state is None else state + 1
-        self._write(self.state().withColumn("sign", F.lit(1)), f"{self.path}/state/{number}")
+        self._write(self.state().withColumn("sign", F.lit(1)), f"state/{number}")
         names = self.spark.createDataFrame([(b,) for b in batches], "value string")
         names.coalesce(1).write.mode("overwrite").text(f"{self.path}/folded/{number}")
 

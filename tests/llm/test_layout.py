@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import duckdb
 import numpy as np
@@ -185,21 +186,38 @@ def test_broken_batch_is_written_anew(spark, tmp_path):
     assert out(book.totals(), "tokens") == [(11,)]
 
 
-def test_a_batch_reads_the_buckets_of_its_documents(spark, tmp_path):
-    book = rollup.TokenRollup(spark, str(tmp_path / "book"))
-    book.commit("a", changes(spark, *[(0, "upsert", i, "s", "en", "v1", i) for i in range(300)]))
-    one = spark.createDataFrame([(7,)], "doc_id long").select(rollup._bucket()).first()[0]
-    files = book.ledger([one]).inputFiles()
-    assert files and all(f"bucket={one}/" in f for f in files) and len(book.ledger().inputFiles()) > 20 * len(files)
+def test_a_batch_reads_the_files_of_its_documents(spark, tmp_path):
+    book = rollup.TokenRollup(spark, str(tmp_path / "book"), file_rows=20_000)
+    n = 1_000_000
+    every = spark.range(n).selectExpr("0L AS batch_seq", "'upsert' AS op", "id AS doc_id", "'s' AS source", "'en' AS lang", "'v1' AS tokenizer", "id % 9 AS tokens")
+    book.commit("a", every)
+    files = book._files("ledger/batch=a")
+    assert len(files) >= 40 and max(f.n for f in files) < 60_000  # writers grow with rows
+    some = every.where("doc_id BETWEEN 500000 AND 500999").withColumn("tokens", F.lit(100).cast("long"))
+
+    def size(df):
+        return sum(Path(unquote(urlparse(f).path)).stat().st_size for f in df.inputFiles())
+
+    assert 0 < size(book.ledger(some)) < 0.05 * size(book.ledger())
     read = []
 
     class Watched(rollup.TokenRollup):
-        def ledger(self, buckets=None):
-            read.append(buckets)
-            return super().ledger(buckets)
-
-    Watched(spark, str(tmp_path / "book")).commit("b", changes(spark, (0, "upsert", 7, "s", "en", "v1", 1000)))
-    assert read == [[one]] and out(book.totals(), "docs", "tokens") == [(300, sum(range(300)) - 7 + 1000)]
+        def ledger(self, changes=None):
+            read.append(super().ledger(changes))
+            return read[-1]
+
+    Watched(spark, str(tmp_path / "book")).commit("b", some)
+    assert len(read) == 1 and read[0].count() < 0.08 * n
+    assert out(book.totals(), "docs", "tokens") == [(n, sum(i % 9 for i in range(n)) + sum(100 - i % 9 for i in range(500000, 501000)))]
+
+
+@given(st.lists(st.integers(0, 40), min_size=1, max_size=30), st.integers(1, 9), st.lists(st.integers(-2, 45), max_size=9))
+def test_files_that_have_an_id(values, cuts, ids):
+    values.sort()
+    parts = [p for p in np.array_split(np.array(values), cuts) if len(p)]
+    low, high = np.array([p[0] for p in parts]), np.array([p[-1] for p in parts])
+    want = [i for i in range(len(parts)) if any(low[i] <= x <= high[i] for x in ids)]
+    assert rollup.files_hit(low, high, np.array(ids, np.int64)).tolist() == want
 
 
 def test_folded_ledgers_say_the_same(spark, tmp_path):
