@@ -577,17 +577,28 @@ def _(t: DataFrame) -> DataFrame:
     return plans.apply_filter(plans.build_query(t, CUSTOMER), t, CUSTOMER, "segment").select("customer", "segment")
 
 
-_SCHEMA = [
-    ("Customer", "balance", "Literal"), ("Customer", "inNation", "Nation"), ("Customer", "rdfs:label", "Literal"),
-    ("Document", "lang", "Literal"), ("Document", "source", "Literal"), ("Document", "text", "Literal"),
-    ("Line", "bySupplier", "Supplier"), ("Line", "ofOrder", "Order"), ("Line", "ofPart", "Part"), ("Line", "quantity", "Literal"),
-    ("Line", "shipDate", "Literal"), ("Nation", "linkedTo", "Nation"), ("Nation", "rdfs:label", "Literal"), ("Nation", "skos:broader", "Region"),
-    ("Order", "date", "Literal"), ("Order", "placedBy", "Customer"), ("Order", "status", "Literal"), ("Order", "total", "Literal"),
-    ("Part", "brand", "Literal"), ("Part", "partType", "Literal"), ("Part", "price", "Literal"), ("Part", "rdfs:label", "Literal"),
-    ("Part", "size", "Literal"), ("Region", "rdfs:label", "Literal"), ("Supplier", "balance", "Literal"), ("Supplier", "inNation", "Nation"),
-    ("Supplier", "rdfs:label", "Literal"),
-]
-_SCHEMA_SQL = "(VALUES " + ", ".join(str(e) for e in _SCHEMA) + ") AS e(source_type, edge, target_type)"
+#: Links of the view whose objects have a class: column, and table, key and class of the object.
+_LINKS = {
+    ("Order", "placedBy"): ("o_custkey", "customer", "c_custkey", "Customer"),
+    ("Customer", "inNation"): ("c_nationkey", "nation", "n_nationkey", "Nation"),
+    ("Supplier", "inNation"): ("s_nationkey", "nation", "n_nationkey", "Nation"),
+    ("Nation", "skos:broader"): ("a.n_regionkey", "region", "r_regionkey", "Region"),
+    ("Nation", "linkedTo"): ("(7 * a.n_nationkey + 3) % 25", "nation", "n_nationkey", "Nation"),
+    ("Line", "ofOrder"): ("l_orderkey", "orders", "o_orderkey", "Order"),
+    ("Line", "ofPart"): ("l_partkey", "part", "p_partkey", "Part"),
+    ("Line", "bySupplier"): ("l_suppkey", "supplier", "s_suppkey", "Supplier"),
+}
+#: Properties whose objects are neither literals nor of a class.
+_UNTYPED = ("rdf:type", "priority", "segment", "skos:broader")
+#: Schema edges for SQL, each as long as the tables have a row for it.
+_SCHEMA_SQL = "(" + " UNION ALL ".join(
+    f"SELECT '{cls}' AS source_type, '{p}' AS edge, '{link[3]}' AS target_type WHERE EXISTS (SELECT 1 FROM {table} AS a JOIN {link[1]} AS b ON b.{link[2]} = {link[0]})"
+    if (link := _LINKS.get((cls, p)))
+    else f"SELECT '{cls}' AS source_type, '{p}' AS edge, 'Literal' AS target_type WHERE EXISTS (SELECT 1 FROM {table} WHERE {column} IS NOT NULL)"
+    for cls, table, _, _, properties in _CLASSES
+    for p, column in properties
+    if (cls, p) in _LINKS or p not in _UNTYPED
+) + ") AS e"
 
 
 @_register(
