@@ -35,7 +35,8 @@ def test_query_matches_sql(spark, name):
     assert _plain(got.select(*names).collect()) == _plain(want)
 
 
-INDEXED = tuple(indexed.ORACLES)
+# The others are held against their SQL on larger tables.
+INDEXED = ("p03_stored_star", "e05_index_resolve", "p13_index_regex", "u08_sampled_others", "p04_multiway_cycle")
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no tables")
