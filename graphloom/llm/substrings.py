@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +22,22 @@ MINIMISER = 5
 BUCKET_BYTES = 4 << 20
 BUCKETS_EACH = 2
 PARTITIONS = 50_000
-#: Super-k-mers of one minimiser from which its windows are dealt out one by one: so many, and this share of all at least.
-#: At most 1 / HOT_SHARE numbers are as frequent, whatever the size of the input.
-HOT_ROWS, HOT_SHARE = 5_000, 1e-5
+#: Rows that one minimiser may bring to a task; beyond that its windows are dealt out one by one. A row is a window, or
+#: ROW_BYTES of it, so this is 16 MiB of windows written out.
+HOT_ROWS, ROW_BYTES = 60_000, 256
+#: Rows are counted in a table of cells: the bits of the least and the largest one, how many cells' mean an unmarked cell
+#: may hold beyond HOT_ROWS, and the bits of a range of cells that is summed together. At most 2 ** 28 / HOT_MEANS cells
+#: are marked, at any size of the input.
+CELL_BITS, HOT_MEANS, RANGE_BITS = (16, 28), 8, 16
+#: Entries of the table that a task holds before it sends them.
+HELD_ENTRIES = 1 << 21
 #: Bytes of super-k-mers that are combined and compressed together before they are sent, and of text that is cut at once.
 BLOCK_BYTES = 24 << 20
 PORTION_BYTES = 1 << 20
 _MULT, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0x5851F42D4C957F2D
 _LOW = np.uint64(0xFFFFFFFF)
+_LOW32 = np.uint32(0xFFFFFFFF)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -58,9 +64,12 @@ class _Powers:
 
 
 class Cut:
-    """Super-k-mers of several texts: the document and first word of each, its minimiser's number, a hash, and its string."""
+    """Super-k-mers of several texts: the document and first word of each, its minimiser's number, a hash, and its string.
 
-    def __init__(self, texts: list[list[bytes]], window: int, k: int, hot: np.ndarray, powers: _Powers):
+    hot: sorted cells, the low bits of numbers, whose windows travel alone.
+    """
+
+    def __init__(self, texts: list[list[bytes]], window: int, k: int, hot: np.ndarray, powers: _Powers, mask: np.uint32 = _LOW32):
         words = [w for text in texts for w in text]
         counts = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(counts)
@@ -74,7 +83,7 @@ class Cut:
         def hashed(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
             return _mix((sums[end] - sums[begin]) * down[begin])
 
-        alone = np.isin(number, hot)
+        alone = _member(number & mask, hot)
         if alone.any():  # each window by itself, under a number of its own words
             many = windows[alone]
             each = np.repeat(first[alone], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -130,24 +139,102 @@ def _portions(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[list, ...]]:
         yield tuple(map(list, zip(*portion, strict=True)))
 
 
-def _frequent(window: int, k: int):
-    """Batches of texts to (number, n): how many super-k-mers of a batch have each number that repeats in it; null for all others."""
+def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(among):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(among, values), len(among) - 1)
+    return among[at] == values
+
+
+def _summed(cells: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order, and the sum of the rows of each."""
+    order = np.argsort(cells, kind="stable")
+    cells, rows = cells[order], rows[order]
+    at = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.empty(0, np.int64)
+    return cells[at], np.add.reduceat(rows, at) if len(at) else rows
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _weighed(window: int, k: int, mask: np.uint32):
+    """Texts to (range, block): the rows that each cell would bring to a task, packed by ranges of cells."""
+
+    def weigh(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.array([len(t) for t in texts], np.int64)
+        words = [w for t in texts for w in t]
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        places, numbers = _minimisers(hashes, np.repeat(np.cumsum(counts), counts), window, k)
+        if not len(places):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        ends = np.cumsum(np.fromiter((0, *(len(w) + 1 for w in words)), np.int64, len(words) + 1))
+        return _summed(numbers & mask, 1 + (ends[places + window] - ends[places]) // ROW_BYTES)
+
+    def packed(cells: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        ranges = cells >> np.uint32(RANGE_BITS)
+        edges = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1], [True]])) if len(cells) else np.array([0])
+        pack = zstandard.ZstdCompressor(level=3).compress
+        low, many = cells.astype("<u2"), np.minimum(rows, _LOW32).astype("<u4")
+        blocks = [pack(low[lo:hi].tobytes() + many[lo:hi].tobytes()) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(ranges[edges[:-1]].astype(np.int32)), pa.array(blocks, pa.binary())], ["range", "block"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            runs = [np.empty(0, np.uint32)]
             for (texts,) in _portions(batch):
-                counts = np.array([len(t) for t in texts], np.int64)
-                hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for t in texts for w in t), np.uint64, int(counts.sum()))
-                places, least = _minimisers(hashes, np.repeat(np.cumsum(counts), counts), window, k)
-                runs.append(least[_run_starts(places, least)])
-            numbers, n = np.unique(np.concatenate(runs), return_counts=True)
-            often = n > 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*numbers[often].tolist(), None], pa.int64()), pa.array([*n[often].tolist(), int((~often).sum())], pa.int64())], ["number", "n"]
-            )
+                held.append(weigh(texts))
+                size += len(held[-1][0])
+                if size >= 2 * HELD_ENTRIES:
+                    held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    if size >= HELD_ENTRIES:
+                        yield packed(*held.pop())
+                        size = 0
+        if held:
+            yield packed(*_summed(*map(np.concatenate, zip(*held, strict=True))))
+
+    return send
 
-    return count
+
+def _full_cells(hot_rows: int):
+    """Blocks, sorted by range, to (cell, rows): cells of hot_rows and more; and with a null cell the rows of a range."""
+
+    def full(number: int, rows: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(rows >= hot_rows)
+        cells = [*((number << RANGE_BITS) + at).tolist(), None]
+        return pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array([*rows[at].tolist(), int(rows.sum())], pa.int64())], ["cell", "rows"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, np.zeros(1 << RANGE_BITS, np.int64)
+        for batch in batches:
+            for number, block in zip(batch["range"].to_pylist(), batch["block"], strict=True):
+                if number != now and now is not None:
+                    yield full(now, rows)
+                    rows[:] = 0
+                now = number
+                raw = zstandard.ZstdDecompressor().decompress(block.as_py())
+                n = len(raw) // 6
+                rows[np.frombuffer(raw, "<u2", n)] += np.frombuffer(raw, "<u4", n, 2 * n)
+        if now is not None:
+            yield full(now, rows)
+
+    return add_up
+
+
+def hot_cells(rows: DataFrame, window: int, minimiser: int, hot_rows: int, size: int) -> tuple[np.ndarray, np.uint32]:
+    """(sorted cells, mask): the low bits of minimisers' numbers that would bring too many rows to one task.
+
+    Every text is counted. A cell adds up all numbers with its bits, so no number with too many rows escapes; one
+    that shares a cell is marked without need, which only decides how its windows travel. The table of cells grows with the
+    bytes of text up to 2 ** 28; beyond, an unmarked cell may hold HOT_MEANS times the mean of all.
+    """
+    low, high = CELL_BITS
+    bits = min(max(math.ceil(math.log2(max(64 * size / 6 / hot_rows, 1))), low), high)
+    mask = np.uint32((1 << bits) - 1)
+    blocks = rows.select("text").mapInArrow(_weighed(window, minimiser, mask), "range int, block binary")
+    dealt = blocks.repartition(1 << (bits - RANGE_BITS), "range").sortWithinPartitions("range")
+    counted = written(dealt.mapInArrow(_full_cells(hot_rows), "cell long, rows long"))
+    total = counted.where("cell IS NULL").agg(F.sum("rows")).first()[0] or 0
+    found = counted.where("cell IS NOT NULL").where(F.col("rows") >= HOT_MEANS * total / (1 << bits)).select("cell").toArrow()
+    return np.sort(found["cell"].to_numpy()).astype(np.uint32), mask
 
 
 def _pack_block(columns: list[np.ndarray], packed: list[bytes]) -> bytes:
@@ -181,7 +268,7 @@ def _repeated_in_block(hashes: np.ndarray, packed: list[bytes], ids: np.ndarray)
     return out
 
 
-def _sent(window: int, k: int, buckets: int, hot: np.ndarray, block_bytes: int):
+def _sent(window: int, k: int, buckets: int, hot: np.ndarray, mask: np.uint32, block_bytes: int):
     """Documents to rows (bucket, block): super-k-mers for the buckets, and windows already known to repeat.
 
     Of equal super-k-mers of a block only those of the least id are sent on; the others repeat them, and go as
@@ -209,7 +296,7 @@ def _sent(window: int, k: int, buckets: int, hot: np.ndarray, block_bytes: int):
         powers, held, size = _Powers(), [], 0
         for batch in batches:
             for texts, ids, rows in _portions(batch, "id", "row"):
-                cut = Cut(texts, window, k, hot, powers)
+                cut = Cut(texts, window, k, hot, powers, mask)
                 if cut.packed:
                     held.append((np.array(ids, np.int64)[cut.doc], np.array(rows, np.int64)[cut.doc], cut.start, cut.number, cut.windows, cut.hash, cut.packed))
                     size += sum(map(len, cut.packed))
@@ -309,12 +396,11 @@ def repeated_windows(
 
     row is the XXH64 of the text, and tells rows of one id apart.
 
-    The number of buckets follows the bytes of text. Minimisers with very many super-k-mers are counted first,
-    over all documents; their windows travel alone, to buckets by their own words, so that no bucket gets a
-    common line's whole neighbourhood. Each of them has hot_rows super-k-mers and HOT_SHARE of all at least, so the
-    driver and the tasks get 1 / HOT_SHARE numbers at most. The count leaves out numbers that a batch has
-    once; it only decides how windows travel, never what is found. Partitions are sorted by bucket, and a task holds
-    one bucket.
+    The number of buckets follows the bytes of text. What each minimiser would bring to a task is counted first, over all
+    documents, in a table of bounded size; windows of those that would bring too much travel alone, to buckets by
+    their own words, so that no bucket gets a common line's whole neighbourhood. Partitions are sorted by bucket, and a
+    task holds one bucket: its text, and a number's windows, of which hot_rows are allowed (up to about 25 TB of text;
+    then the allowance grows with it, to about eight times that at 100 TB).
     """
     if window < minimiser:
         raise ValueError("window must have as many words as a minimiser at least")
@@ -323,11 +409,8 @@ def repeated_windows(
     ).withColumn("row", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / bucket_bytes))
-    counted = written(rows.select("text").mapInArrow(_frequent(window, minimiser), "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).where(F.col("number").isNull() | (F.col("n") >= hot_rows)))
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    hot = counted.where("number IS NOT NULL").where(F.col("n") >= HOT_SHARE * total).select("number").collect()
-    numbers = np.array(sorted(r["number"] for r in hot), np.uint32)
-    sent = rows.mapInArrow(_sent(window, minimiser, buckets, numbers, block_bytes), "bucket int, block binary")
+    hot, mask = hot_cells(rows, window, minimiser, hot_rows, size)
+    sent = rows.mapInArrow(_sent(window, minimiser, buckets, hot, mask, block_bytes), "bucket int, block binary")
     dealt = sent.repartition(min(math.ceil(buckets / BUCKETS_EACH), PARTITIONS), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_repeats(window), "id long, row long, first long, last long")
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -199,3 +200,41 @@ def test_super_kmers_hold_every_window_once(texts, some_hot):
 def test_equal_hashes_of_different_strings_are_no_repeats():
     hashes, packed, ids = np.array([5, 5, 5, 7, 5], np.uint64), [b"a", b"b", b"a", b"a", b"a"], np.array([4, 1, 3, 9, 3])
     assert substrings._repeated_in_block(hashes, packed, ids).tolist() == [True, False, False, False, False]
+
+
+def test_a_minimiser_far_larger_than_a_bucket_is_dealt_out(docs, spark):
+    """One run of five words with other words around it in every text: its windows do not meet in one bucket."""
+    rng = random.Random(11)
+    hot = "alpha beta gamma delta epsilon"
+    around = lambda: " ".join(f"u{rng.randrange(10**9)}" for _ in range(9))
+    pairs = [(i, f"{around()} {hot} {around()}") for i in range(2_000)]
+    pairs += [(5_000 + i, pairs[7 * i][1]) for i in range(100)]
+    frame = docs(*pairs)
+    rows = frame.select("text")
+    bucket, size = 4_000, sum(len(t) for _, t in pairs)
+    assert size > 50 * bucket
+    cells, mask = substrings.hot_cells(rows, 13, 5, 100, size)
+    words = [t.encode().split() for _, t in pairs]
+    cut = substrings.Cut(words, 13, 5, np.empty(0, np.uint32), substrings._Powers())
+    numbers, many = np.unique(cut.number, return_counts=True)
+    assert 0 < len(cells) <= 8 and set((numbers[many >= 100] & mask).tolist()) <= set(cells.tolist())
+    after = substrings.Cut(words, 13, 5, cells, substrings._Powers(), mask)
+    assert np.unique(after.number, return_counts=True)[1].max() < 200  # the 100 copies of a window and its original, at most
+    got = out(substrings.substring_duplicates(frame, hot_rows=100, bucket_bytes=bucket, block_bytes=20_000), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == plain_substrings(pairs, 13)
+
+
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "dd", "e" * 600]), max_size=30), max_size=6), st.integers(1, 40))
+def test_cells_hold_every_row(texts, held):
+    """Rows of all windows are in the blocks, however often a task sends them."""
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(t) for t in texts] + [None]})
+    was, substrings.HELD_ENTRIES = substrings.HELD_ENTRIES, held
+    try:
+        sent = list(substrings._weighed(3, 2, np.uint32(0x3FFFF))([batch, batch]))
+    finally:
+        substrings.HELD_ENTRIES = was
+    blocks = sorted((r, b) for s in sent for r, b in zip(s["range"].to_pylist(), s["block"].to_pylist(), strict=True))
+    merged = pa.RecordBatch.from_arrays([pa.array([r for r, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], ["range", "block"])
+    found = [(c, n) for s in substrings._full_cells(1)([merged]) for c, n in zip(s["cell"].to_pylist(), s["rows"].to_pylist(), strict=True)]
+    want = 2 * sum(1 + sum(len(w) + 1 for w in t[i : i + 3]) // substrings.ROW_BYTES for t in texts for i in range(len(t) - 2))
+    assert sum(n for c, n in found if c is None) == sum(n for c, n in found if c is not None) == want
