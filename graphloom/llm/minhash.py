@@ -126,11 +126,12 @@ def _sizes_agree(n: str, m: str, similar: int):
 def _across(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of members(id, part) of different parts that can be similar enough.
 
-    Two sets of x and y items need an overlap of t / (1 + t) * (x + y), so their rarest x - overlap + 1 and
-    y - overlap + 1 items have one in common. Items are ranked by how many members have them; sizes are met by
-    bands, since the overlap depends on both. What a family of texts shares ranks last, beyond that many
-    items, so texts with much in common, but less than asked for, do not meet. Items of one part only make no
-    pair across parts.
+    Two sets of x and y items need an overlap of t / (1 + t) * (x + y). Items are ranked by how many members have
+    them, so what a family of texts shares ranks last. The rarest x - overlap + 1 and y - overlap + 1 items of two such
+    sets have one in common; half as many again are met here, so that what is common can be counted: past the shorter
+    of both prefixes, and past the last common item, only so many more can follow, and pairs that cannot come to
+    the overlap go before their full sets are read. Sizes are met by bands, since the overlap depends on both. Items
+    of one part only make no pair across parts.
     """
     t, band = similar / 100, math.log(1.1)
     reach = math.ceil(-math.log(t) / band)
@@ -140,14 +141,29 @@ def _across(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     rare = items.join(known, "item").withColumn("rank", rank).where("lo < hi").withColumn("band", F.floor(F.log("n") / band))
     partners = F.sequence(F.col("band") - reach, F.col("band") + reach)
     least = F.greatest(F.floor(F.exp(F.col("other") * band) - 1e-6), F.ceil(F.lit(t) * F.col("n") - 1e-6))
-    overlap = F.ceil(F.lit(t / (1 + t)) * (F.col("n") + least) - 1e-6)
-    keyed = rare.withColumn("other", F.explode(partners)).where(F.col("rank") <= F.col("n") - overlap + 1)
-    left = keyed.select("item", "band", "other", F.col("id").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    right = keyed.select(
-        "item", F.col("other").alias("band"), F.col("band").alias("other"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb")
+    beyond = F.col("n") - F.ceil(F.lit(t / (1 + t)) * (F.col("n") + least) - 1e-6)  # items that the other may lack
+    prefix = beyond + 1 + F.floor(F.greatest(beyond, F.lit(0)) / 2)
+    keyed = (
+        rare.withColumn("other", F.explode(partners))
+        .withColumn("rest", F.greatest(F.col("n") - prefix, F.lit(0)).cast("int"))
+        .withColumn("after", F.col("n") - F.col("rank"))
+        .where((beyond >= 0) & (F.col("rank") <= prefix))
     )
-    met = left.join(right, ["item", "band", "other"])
-    return met.where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _sizes_agree("na", "nb", similar)).select("b", "a").distinct()
+
+    def side(x: str) -> DataFrame:
+        named = [F.col(c).alias(c + x) for c in ("id", "n", "part", "rest", "after")]
+        bands = ("band", "other") if x == "a" else ("other", "band")
+        return keyed.select("item", F.col(bands[0]).alias("band"), F.col(bands[1]).alias("other"), *named)
+
+    met = side("a").join(side("b"), ["item", "band", "other"])
+    met = met.where((F.col("ida") < F.col("idb")) & (F.col("parta") != F.col("partb")) & _sizes_agree("na", "nb", similar))
+    counted = met.groupBy(F.col("ida").alias("a"), F.col("idb").alias("b")).agg(
+        F.count("*").alias("common"),
+        F.min(F.least("aftera", "afterb")).alias("after"),
+        F.first(F.greatest("resta", "restb")).alias("rest"),
+        F.first(F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-6)).alias("needed"),
+    )
+    return counted.where(F.col("common") + F.least("after", "rest") >= F.col("needed")).select("b", "a")
 
 
 def near_duplicates(

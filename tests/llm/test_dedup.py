@@ -238,3 +238,29 @@ def test_cells_hold_every_row(texts, held):
     found = [(c, n) for s in substrings._full_cells(1)([merged]) for c, n in zip(s["cell"].to_pylist(), s["rows"].to_pylist(), strict=True)]
     want = 2 * sum(1 + sum(len(w) + 1 for w in t[i : i + 3]) // substrings.ROW_BYTES for t in texts for i in range(len(t) - 2))
     assert sum(n for c, n in found if c is None) == sum(n for c, n in found if c is not None) == want
+
+
+def test_candidates_of_a_family_are_nearly_its_links(spark):
+    """Texts just under the threshold whose tails draw on few words: candidates grow with the links, not with the pairs."""
+    core, tails = [f"c{i}" for i in range(120)], [f"t{i}" for i in range(20)]
+    for n in (60, 120):
+        rng = random.Random(n)
+        texts = [" ".join([*core, *(rng.choice(tails) for _ in range(rng.choice((12, 20, 22))))]) for _ in range(n)]
+        sets = [set(minhash.shingles(t, 2).view(np.int64).tolist()) for t in texts]
+        linked = {(a, b) for a in range(n) for b in range(a + 1, n) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+        of = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id long, items array<long>").repartition(3)
+        met = [(r["a"], r["b"]) for r in minhash._across(of.selectExpr("id", "id AS part"), of, 80).collect()]
+        assert len(met) == len(set(met)) and linked <= set(met) and len(met) <= len(linked) + n
+
+
+def test_candidates_lose_no_link_of_random_sets(spark):
+    """Sets of many sizes over few items, in two parts: all pairs across parts that are similar enough are met."""
+    for seed, similar in ((1, 80), (2, 60), (3, 95)):
+        rng = random.Random(seed)
+        sets = [set(rng.sample(range(60), rng.choice((1, 2, 5, 20, 40, 55)))) for _ in range(60)]
+        sets += [s - {rng.choice(sorted(s))} | {rng.randrange(60)} for s in sets]
+        part = [rng.randrange(3) for _ in sets]
+        of = spark.createDataFrame([(i, sorted(s), p) for i, (s, p) in enumerate(zip(sets, part, strict=True))], "id long, items array<long>, part long")
+        met = {(r["a"], r["b"]) for r in minhash._across(of.select("id", "part"), of.select("id", "items"), similar).collect()}
+        pairs = ((a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if part[a] != part[b])
+        assert {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b])} <= met
