@@ -13,6 +13,7 @@ from graphloom.operators import evaluation as ev
 from graphloom.operators import schema as sc
 from graphloom.plans import catalog
 from graphloom.sources import readers
+from graphloom.sources.relational import triples
 
 
 @pytest.fixture(scope="module")
@@ -233,3 +234,12 @@ def test_sources_round_trip(spark, tmp_path):
     assert readers.read_runs(spark, str(tmp_path / "out"), multi_line=False).first().run_id == "1"
     b = spark.createDataFrame([('{"x": {"type": "uri", "value": "v", "xml:lang": "en"}}',), (None,)], "row string")
     assert [r[0] for r in readers.flat_bindings(b, "row").collect()] == [{"x": "v"}, None]
+
+
+def test_schema_edges_of_rows_equal_those_of_triples_and_are_read_once(spark):
+    view = triples(spark, "/root/testdata/sf0.001")
+    plain = view.where("true")
+    got = sc.schema_edges(view)
+    assert not hasattr(plain, "by_subject") and sorted(got.collect()) == sorted(sc.schema_edges(plain).collect())
+    # What follows reads the schema, and no table of triples again.
+    assert all("graphloom-" in f for f in got.inputFiles())
