@@ -243,3 +243,18 @@ def test_schema_edges_of_rows_equal_those_of_triples_and_are_read_once(spark):
     assert not hasattr(plain, "by_subject") and sorted(got.collect()) == sorted(sc.schema_edges(plain).collect())
     # What follows reads the schema, and no table of triples again.
     assert all("graphloom-" in f for f in got.inputFiles())
+
+
+def test_corpus_of_many_records_a_file_equals_a_file_each(spark, tmp_path):
+    rows = [(i, f"# category: easy\n# question: q{i} ?\n# query:\nSELECT {i}\n\n# workflow\nfind({i})\nrun()") for i in range(5)] + [(9, "no record")]
+    table = spark.createDataFrame(rows, "i int, value string")
+    table.repartition("i").write.partitionBy("i").text(str(tmp_path / "each"))
+    table.select("value").coalesce(1).write.text(str(tmp_path / "many"), lineSep="\x1e")
+    each, many = (df.drop("file_path").collect() for df in (readers.read_query_corpus(spark, str(tmp_path / "each/*")), readers.read_query_corpus(spark, str(tmp_path / "many"), "\x1e")))
+    assert sorted(map(str, each)) == sorted(map(str, many)) and len(many) == 5
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no tables")
+def test_query_corpus_writes_no_file_a_record(spark):
+    got = catalog.QUERIES["s05_query_corpus"](spark, "/root/testdata/sf0.01")
+    assert got.count() == 100 > 10 * len(got.inputFiles())
