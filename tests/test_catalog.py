@@ -64,3 +64,9 @@ def test_every_sql_runs():
         db.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     for name, sql in ORACLES.items():
         assert len(db.sql(f"SELECT count(*) FROM ({sql})").fetchall()) == 1, name
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+def test_spans_are_worked_out_once(spark):
+    files = QUERIES["u07_spans_and_durations"](spark, str(DATA)).inputFiles()
+    assert files and all("graphloom-" in f for f in files)
