@@ -279,3 +279,12 @@ def test_rows_at_any_offset(spark):
     assert [r.k for r in agg.rows_between(rows, [F.desc("k")], 700, 5).collect()] == [299, 298, 297, 296, 295]
     assert agg.rows_between(rows, ["k"], 1000, 5).isEmpty()
     assert "WindowExec" not in agg.mask_uris(rows, ["k"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_of_pairs_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(pt, "TASK_ROWS", 500)
+    members = spark.range(10_000).select((F.col("id") % 2000).alias("g"), F.col("id").alias("m"), F.lit(1).alias("v"))
+    pairs = pt.pairs_in_group(members, "g", "m", "v")
+    assert pairs.count() == 2000 * 10
+    assert pt.tasks_for(spark, 10_000) == 20 and pairs._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
+    assert pt.tasks_for(spark, 10) == int(spark.conf.get("spark.sql.shuffle.partitions"))
