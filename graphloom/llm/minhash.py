@@ -126,44 +126,71 @@ def _sizes_agree(n: str, m: str, similar: int):
 def _across(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of members(id, part) of different parts that can be similar enough.
 
-    Two sets of x and y items need an overlap of t / (1 + t) * (x + y). Items are ranked by how many members have
-    them, so what a family of texts shares ranks last. The rarest x - overlap + 1 and y - overlap + 1 items of two such
-    sets have one in common; half as many again are met here, so that what is common can be counted: past the shorter
-    of both prefixes, and past the last common item, only so many more can follow, and pairs that cannot come to
-    the overlap go before their full sets are read. Sizes are met by bands, since the overlap depends on both. Items
-    of one part only make no pair across parts.
+    Items that only one part has are in no intersection across parts, and are left out first: what a set has of them it
+    lacks of the other, which rules most texts of a family out by themselves. The rest is ranked by how many members have
+    it, so what a family shares ranks last. Of two sets of x and y items that need an overlap of t / (1 + t) * (x + y),
+    with p and q left, the first p - overlap + 1 and q - overlap + 1 have one in common. Sizes are met by bands,
+    since the overlap depends on both, and the join asks for the ranks that the two sizes themselves allow.
+
+    A meeting has one side outside the part that has most of its rows, so rows of one part do not meet each other: at most
+    twice as many are looked at as there are meetings across parts. The pairs' heads, half as long again as their prefixes,
+    are compared last: past them only so many items can follow, so few pairs get to their full sets.
     """
-    t, band = similar / 100, math.log(1.1)
+    t, band = similar / 100, math.log(1.05)
     reach = math.ceil(-math.log(t) / band)
     items = sets.join(members, "id").select("id", "part", F.size("items").alias("n"), F.explode("items").alias("item"))
-    known = items.groupBy("item").agg(F.count("*").alias("f"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "item"))
-    rare = items.join(known, "item").withColumn("rank", rank).where("lo < hi").withColumn("band", F.floor(F.log("n") / band))
-    partners = F.sequence(F.col("band") - reach, F.col("band") + reach)
-    least = F.greatest(F.floor(F.exp(F.col("other") * band) - 1e-6), F.ceil(F.lit(t) * F.col("n") - 1e-6))
-    beyond = F.col("n") - F.ceil(F.lit(t / (1 + t)) * (F.col("n") + least) - 1e-6)  # items that the other may lack
-    prefix = beyond + 1 + F.floor(F.greatest(beyond, F.lit(0)) / 2)
+    known = items.groupBy("item").agg(F.count("*").alias("f"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+    own = Window.partitionBy("id")
+    ranked = (
+        items.join(known.select("item", "f"), "item")
+        .withColumn("left", F.count("*").over(own))
+        .withColumn("rank", F.row_number().over(own.orderBy("f", "item")))
+        .where(F.col("left") >= F.ceil(F.lit(t) * F.col("n") - 1e-6))
+    )
+
+    def overlap(n, m):
+        return F.ceil(F.lit(t / (1 + t)) * (n + m) - 1e-6)
+
+    least = F.ceil(F.lit(t) * F.col("n") - 1e-6)  # of the smallest partner
+    beyond = F.col("left") - overlap(F.col("n"), least)
+    ranked = written(ranked.where(F.col("rank") <= beyond + 1 + F.floor(beyond / 2)).withColumn("band", F.floor(F.log("n") / band)))
+    smallest = F.greatest(F.floor(F.exp(F.col("other") * band) - 1e-6), least)
     keyed = (
-        rare.withColumn("other", F.explode(partners))
-        .withColumn("rest", F.greatest(F.col("n") - prefix, F.lit(0)).cast("int"))
-        .withColumn("after", F.col("n") - F.col("rank"))
-        .where((beyond >= 0) & (F.col("rank") <= prefix))
+        ranked.withColumn("other", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach)))
+        .where(F.col("rank") <= F.col("left") - overlap(F.col("n"), smallest) + 1)
+        .withColumn("low", F.least("band", "other"))
+        .withColumn("high", F.greatest("band", "other"))
     )
+    key = ["item", "low", "high"]
+    mixed = (
+        keyed.groupBy(*key, "part").agg(F.count("*").alias("rows"))
+        .groupBy(*key).agg(F.max_by("part", F.struct("rows", "part")).alias("top"), F.count("*").alias("parts"))
+        .where("parts > 1").drop("parts")
+    )
+    keyed = keyed.select(*key, "id", "part", "n", "left", "rank", "band", "other").join(mixed, key)
 
     def side(x: str) -> DataFrame:
-        named = [F.col(c).alias(c + x) for c in ("id", "n", "part", "rest", "after")]
-        bands = ("band", "other") if x == "a" else ("other", "band")
-        return keyed.select("item", F.col(bands[0]).alias("band"), F.col(bands[1]).alias("other"), *named)
-
-    met = side("a").join(side("b"), ["item", "band", "other"])
-    met = met.where((F.col("ida") < F.col("idb")) & (F.col("parta") != F.col("partb")) & _sizes_agree("na", "nb", similar))
-    counted = met.groupBy(F.col("ida").alias("a"), F.col("idb").alias("b")).agg(
-        F.count("*").alias("common"),
-        F.min(F.least("aftera", "afterb")).alias("after"),
-        F.first(F.greatest("resta", "restb")).alias("rest"),
-        F.first(F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-6)).alias("needed"),
-    )
-    return counted.where(F.col("common") + F.least("after", "rest") >= F.col("needed")).select("b", "a")
+        return keyed.select(*key, *(F.col(c).alias(c + x) for c in ("id", "part", "n", "left", "rank", "band", "other", "top")))
+
+    needed = overlap(F.col("na"), F.col("nb"))
+    met = side("a").join(side("b").where("partb != topb"), key)
+    met = met.where(
+        (F.col("parta") != F.col("partb"))
+        & ((F.col("parta") == F.col("topa")) | (F.col("ida") < F.col("idb")))
+        & (F.col("banda") == F.col("otherb")) & (F.col("bandb") == F.col("othera"))
+        & _sizes_agree("na", "nb", similar)
+        & (F.col("ranka") <= F.col("lefta") - needed + 1) & (F.col("rankb") <= F.col("leftb") - needed + 1)
+    )
+    pairs = met.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
+    heads = written(
+        ranked.groupBy("id").agg(
+            F.first("n").alias("n"), F.first("left").alias("left"), F.collect_list("item").alias("head")
+        ).withColumn("rest", F.col("left") - F.size("head")).drop("left")
+    )
+    for x in ("a", "b"):
+        pairs = pairs.join(heads.select(*(F.col(c).alias(c if c == "id" else c + x) for c in heads.columns)).withColumnRenamed("id", x), x)
+    common = F.size(F.array_intersect("heada", "headb"))
+    return pairs.where(common + F.greatest("resta", "restb") >= needed).select("b", "a")
 
 
 def near_duplicates(

@@ -264,3 +264,31 @@ def test_candidates_lose_no_link_of_random_sets(spark):
         met = {(r["a"], r["b"]) for r in minhash._across(of.select("id", "part"), of.select("id", "items"), similar).collect()}
         pairs = ((a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if part[a] != part[b])
         assert {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b])} <= met
+
+
+def join_rows(df):
+    """The most rows that a join of the plan made."""
+    df.collect()
+    found, plans = [0], [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan" or name.endswith("QueryStage"):
+            plans.append(plan.executedPlan() if name == "AdaptiveSparkPlan" else plan.plan())
+            continue
+        if "Join" in name:
+            found.append(plan.metrics().get("numOutputRows").get().value())
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return max(found)
+
+
+def test_linked_members_do_not_meet_every_text_beyond_reach(spark):
+    """A large component, and texts that share most with it but have too much of their own: few rows meet, and the one link is found."""
+    rng = random.Random(5)
+    sets = [(i, 0, [*rng.sample(range(140), 137), *(1000 + 3 * i + j for j in range(3))]) for i in range(300)]
+    sets += [(i, i, [*rng.sample(range(140), 122), *(10_000 + 18 * i + j for j in range(18))]) for i in range(300, 360)]
+    sets.append((360, 360, [*sets[0][2][:130], *range(50_000, 50_010)]))
+    of = spark.createDataFrame(sets, "id long, part long, items array<long>").repartition(3)
+    met = minhash._across(of.select("id", "part"), of.select("id", "items"), 80)
+    assert join_rows(met) <= 2 * sum(len(s) for _, _, s in sets)
+    assert {(r["a"], r["b"]) for r in met.collect()} >= {(0, 360)}
