@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,9 @@ HELD_ENTRIES = 1 << 21
 #: Bytes of super-k-mers that are combined and compressed together before they are sent, and of text that is cut at once.
 BLOCK_BYTES = 24 << 20
 PORTION_BYTES = 1 << 20
+#: What is shuffled is compressed at this level, with a dictionary of so many bytes trained on the beginnings of some texts.
+#: Any sample serves: it changes sizes only. Blocks get small as buckets get many, and then have little to learn from.
+LEVEL, DICTIONARY_BYTES, SAMPLED_TEXTS, SAMPLED_CHARS, PIECE_CHARS = 6, 112_640, 1_000, 2_000, 250
 _MULT, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0x5851F42D4C957F2D
 _LOW = np.uint64(0xFFFFFFFF)
@@ -237,15 +240,36 @@ def hot_cells(rows: DataFrame, window: int, minimiser: int, hot_rows: int, size:
     return np.sort(found["cell"].to_numpy()).astype(np.uint32), mask
 
 
-def _pack_block(columns: list[np.ndarray], packed: list[bytes]) -> bytes:
+def trained(rows: DataFrame) -> bytes | None:
+    """A dictionary for texts like those of rows; None if they are too few to tell."""
+    heads = [r.text for r in rows.select(F.substring("text", 1, SAMPLED_CHARS).alias("text")).where("text != ''").limit(SAMPLED_TEXTS).collect()]
+    pieces = [t[i : i + PIECE_CHARS].encode(errors="surrogatepass") for t in heads for i in range(0, len(t), PIECE_CHARS)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
+    except zstandard.ZstdError:
+        return None
+
+
+def _packer(dictionary: bytes | None) -> Callable[[bytes], bytes]:
+    return zstandard.ZstdCompressor(level=LEVEL, **_with(dictionary)).compress
+
+
+def _unpacker(dictionary: bytes | None) -> Callable[[bytes], bytes]:
+    return zstandard.ZstdDecompressor(**_with(dictionary)).decompress
+
+
+def _with(dictionary: bytes | None) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+
+
+def _pack_block(columns: list[np.ndarray], packed: list[bytes], pack: Callable[[bytes], bytes]) -> bytes:
     parts = [np.ascontiguousarray(x, t).tobytes() for x, t in zip(columns, ("<i8", "<i8", "<i4", "<u4"), strict=True)]
     lengths = np.array([len(p) for p in packed], "<i4").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.array([len(packed)], "<i8").tobytes(), *parts, lengths, *packed]))
+    return pack(b"".join([np.array([len(packed)], "<i8").tobytes(), *parts, lengths, *packed]))
 
 
-def _unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+def _unpack_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """(ids, rows, starts, numbers, where each string begins, and ends, strings)."""
-    raw = zstandard.ZstdDecompressor().decompress(block)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     columns, at = [], 8
     for kind in ("<i8", "<i8", "<i4", "<u4", "<i4"):
@@ -268,7 +292,7 @@ def _repeated_in_block(hashes: np.ndarray, packed: list[bytes], ids: np.ndarray)
     return out
 
 
-def _sent(window: int, k: int, buckets: int, hot: np.ndarray, mask: np.uint32, block_bytes: int):
+def _sent(window: int, k: int, buckets: int, hot: np.ndarray, mask: np.uint32, block_bytes: int, dictionary: bytes | None):
     """Documents to rows (bucket, block): super-k-mers for the buckets, and windows already known to repeat.
 
     Of equal super-k-mers of a block only those of the least id are sent on; the others repeat them, and go as
@@ -276,7 +300,7 @@ def _sent(window: int, k: int, buckets: int, hot: np.ndarray, mask: np.uint32, b
     not grow with the number of documents that have it.
     """
 
-    def flush(held: list[tuple]) -> pa.RecordBatch:
+    def flush(held: list[tuple], pack: Callable[[bytes], bytes]) -> pa.RecordBatch:
         ids, rows, starts, numbers, windows, hashes = (np.concatenate(c) for c in zip(*(h[:-1] for h in held), strict=True))
         packed = [p for h in held for p in h[-1]]
         known = _repeated_in_block(hashes, packed, ids)
@@ -289,11 +313,11 @@ def _sent(window: int, k: int, buckets: int, hot: np.ndarray, mask: np.uint32, b
             at = order[lo:hi]
             names.append(int(to[at[0]]))
             strings = [b"" if r else packed[i] for i, r in zip(at.tolist(), known[at].tolist(), strict=True)]
-            blocks.append(_pack_block([ids[at], rows[at], starts[at], told[at]], strings))
+            blocks.append(_pack_block([ids[at], rows[at], starts[at], told[at]], strings, pack))
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held, size = _Powers(), [], 0
+        powers, pack, held, size = _Powers(), _packer(dictionary), [], 0
         for batch in batches:
             for texts, ids, rows in _portions(batch, "id", "row"):
                 cut = Cut(texts, window, k, hot, powers, mask)
@@ -301,15 +325,15 @@ def _sent(window: int, k: int, buckets: int, hot: np.ndarray, mask: np.uint32, b
                     held.append((np.array(ids, np.int64)[cut.doc], np.array(rows, np.int64)[cut.doc], cut.start, cut.number, cut.windows, cut.hash, cut.packed))
                     size += sum(map(len, cut.packed))
                 if size >= block_bytes:
-                    yield flush(held)
+                    yield flush(held, pack)
                     held, size = [], 0
         if held:
-            yield flush(held)
+            yield flush(held, pack)
 
     return send
 
 
-def _repeats(window: int):
+def _repeats(window: int, dictionary: bytes | None):
     """Blocks, sorted by bucket, to (id, row, first, last): runs of windows that also start in a smaller id.
 
     One bucket is held at a time.
@@ -341,11 +365,11 @@ def _repeats(window: int):
             found = np.empty((0, 4), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.T], ["id", "row", "first", "last"])
 
-    def of_bucket(blocks: list[bytes]) -> pa.RecordBatch:
+    def of_bucket(blocks: list[bytes], unpack: Callable[[bytes], bytes]) -> pa.RecordBatch:
         ids, rows, starts, numbers, block_of, begins, ends, raws = [], [], [], [], [], [], [], []
         found: list[np.ndarray] = [np.empty((0, 3), np.int64)]
         for block in blocks:
-            i, r, s, n, at, raw = _unpack_block(block)
+            i, r, s, n, at, raw = _unpack_block(unpack(block))
             real = at[1:] > at[:-1]
             if not real.all():  # marks: the number says how many windows
                 many = n[~real].astype(np.int64)
@@ -368,16 +392,16 @@ def _repeats(window: int):
         return runs(np.concatenate(found))
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blocks = None, []
+        unpack, now, blocks = _unpacker(dictionary), None, []
         for batch in batches:
             for bucket, block in zip(batch["bucket"].to_pylist(), batch["block"], strict=True):
                 if bucket != now and blocks:
-                    yield of_bucket(blocks)
+                    yield of_bucket(blocks, unpack)
                     blocks = []
                 now = bucket
                 blocks.append(block.as_py())
         if blocks:
-            yield of_bucket(blocks)
+            yield of_bucket(blocks, unpack)
 
     return repeats
 
@@ -410,19 +434,33 @@ def repeated_windows(
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / bucket_bytes))
     hot, mask = hot_cells(rows, window, minimiser, hot_rows, size)
-    sent = rows.mapInArrow(_sent(window, minimiser, buckets, hot, mask, block_bytes), "bucket int, block binary")
+    dictionary = trained(rows)
+    sent = rows.mapInArrow(_sent(window, minimiser, buckets, hot, mask, block_bytes, dictionary), "bucket int, block binary")
     dealt = sent.repartition(min(math.ceil(buckets / BUCKETS_EACH), PARTITIONS), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_repeats(window), "id long, row long, first long, last long")
+    return dealt.mapInArrow(_repeats(window, dictionary), "id long, row long, first long, last long")
+
+
+def _packed_texts(dictionary: bytes | None):
+    """Rows (id, row, text) to (id, row, packed): texts go through the shuffle compressed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = _packer(dictionary)
+        for batch in batches:
+            blocks = pa.array([packed(text.as_py().encode(errors="surrogatepass")) for text in batch["text"]], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["row"], blocks], ["id", "row", "packed"])
+
+    return pack
 
 
-def _kept(window: int, keep_text: bool):
-    """Rows (id, text, runs) to (id, n_words, n_removed, kept_sha256, kept)."""
+def _kept(window: int, keep_text: bool, dictionary: bytes | None):
+    """Rows (id, packed, runs) to (id, n_words, n_removed, kept_sha256, kept)."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _unpacker(dictionary)
         for batch in batches:
             n_words, n_removed, digests, texts = [], [], [], []
-            for text, runs in zip(batch["text"].to_pylist(), batch["runs"].to_pylist(), strict=True):
-                words = _words(text)
+            for packed, runs in zip(batch["packed"], batch["runs"].to_pylist(), strict=True):
+                words = unpack(packed.as_py()).split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 for run in runs or ():
                     gone[run["first"]] += 1
@@ -457,8 +495,10 @@ def substring_duplicates(
     runs = written(repeated_windows(docs, window, id_col, text_col, **options))
     by_doc = runs.groupBy(F.col("id").alias("of"), F.col("row").alias("of_row")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_column(docs, text_col).alias("text"))
-    joined = rows.join(by_doc, (F.col("id") == F.col("of")) & (F.xxhash64("text") == F.col("of_row")), "left").select("id", "text", "runs")
+    dictionary = trained(rows)
+    packed = rows.select("id", F.xxhash64("text").alias("row"), "text").mapInArrow(_packed_texts(dictionary), "id long, row long, packed binary")
+    joined = packed.join(by_doc, (F.col("id") == F.col("of")) & (F.col("row") == F.col("of_row")), "left").select("id", "packed", "runs")
     out = joined.mapInArrow(
-        _kept(window, keep_text), "id long, n_words long, n_removed long, kept_sha256 string, kept string"
+        _kept(window, keep_text, dictionary), "id long, n_words long, n_removed long, kept_sha256 string, kept string"
     )
     return out.withColumnRenamed("id", id_col)

@@ -292,3 +292,23 @@ def test_linked_members_do_not_meet_every_text_beyond_reach(spark):
     met = minhash._across(of.select("id", "part"), of.select("id", "items"), 80)
     assert join_rows(met) <= 2 * sum(len(s) for _, _, s in sets)
     assert {(r["a"], r["b"]) for r in met.collect()} >= {(0, 360)}
+
+
+def test_small_blocks_are_sent_with_a_dictionary(spark, docs):
+    """What is shuffled is well compressed though each of many buckets gets little, and texts come back whole."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(500)]
+    pairs = [(i, " ".join(rng.choices(vocabulary, k=200))) for i in range(300)]
+    dictionary = substrings.trained(docs(*pairs).select("text"))
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in pairs], "row": [0] * len(pairs), "text": [t for _, t in pairs]})
+
+    def size(known):
+        sent = substrings._sent(13, 5, 400, np.empty(0, np.uint32), np.uint32(0xFFFFFFFF), 1 << 20, known)
+        return sum(len(b) for s in sent([batch]) for b in s["block"].to_pylist())
+
+    assert size(dictionary) < 0.9 * size(None)
+    packed = next(substrings._packed_texts(dictionary)([batch]))["packed"].to_pylist()
+    assert [substrings._unpacker(dictionary)(p).decode() for p in packed] == [t for _, t in pairs]
+    assert substrings.trained(docs((1, None)).select("text")) is None
+    plan = substrings.substring_duplicates(docs(*pairs))._jdf.queryExecution().executedPlan().toString()
+    assert "packed" in plan.split("Join")[1]
