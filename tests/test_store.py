@@ -118,3 +118,41 @@ def test_numbers_follow_the_order(spark):
     got = numbered(rows, [F.desc("k")], "n", 10).collect()
     assert [r.n for r in sorted(got, key=lambda r: -r.k)] == list(range(10, 5010))
     assert numbered(rows.limit(0), ["k"]).columns == ["k", "row"]
+
+
+def test_a_file_a_bucket_sorted_by_predicate_and_key(spark, view, tmp_path):
+    setting = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    store = st.TripleStore.create(view, str(tmp_path / "sorted"), 4)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == setting
+    for table, order in (("by_s", ["p", "s"]), ("by_o", ["p", "o"]), ("terms_by_id", ["id"]), ("terms_by_text", ["text"])):
+        files = sorted((tmp_path / "sorted" / table).glob("*.parquet"))
+        assert len(files) == 4
+        for f in files:
+            rows = [tuple(r) for r in spark.read.parquet(str(f)).select(*order).coalesce(1).collect()]
+            assert rows == sorted(rows) and rows
+    store.close()
+
+
+def test_counts_by_predicate_shuffle_no_triples(spark, view, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "HEAVY_ROWS", 1000)
+    first = view.where("p IN ('placedBy', 'date', 'rdf:type')")
+    store = st.TripleStore.create(first, str(tmp_path / "counts"), 4)
+    store.append(view.where("p NOT IN ('placedBy', 'date', 'rdf:type')"))
+    expected = view.groupBy("p").agg(F.count("*").alias("triples"), F.count_distinct("s").alias("subjects"), F.count_distinct("o").alias("objects"))
+    same(store.predicate_counts(), expected)
+    plain = st.TripleStore.create(first, str(tmp_path / "plain"), 4)
+    monkeypatch.setattr(plain, "_branches", lambda key: [plain._read(f"by_{key}")])
+    plan = plain.predicate_counts()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(p#") == 2
+    assert ", s#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+@pytest.mark.parametrize(("frequent", "held"), [(0, 0), (0, 1 << 40), (50, 0), (1 << 40, 1 << 40)])
+def test_frequent_terms_are_not_shuffled_and_any_join_gives_the_same(spark, view, tmp_path, monkeypatch, frequent, held):
+    monkeypatch.setattr(st, "FREQUENT", frequent)
+    monkeypatch.setattr(st, "HELD_BYTES", held)
+    store = st.TripleStore.create(view.where("p <> 'rdf:type'"), str(tmp_path / "any"), 4)
+    store.append(view.where("p = 'rdf:type'"))
+    same(store.triples().select(*view.columns), view)
+    ids = store.terms()
+    assert ids.count() == ids.select("text").distinct().count() == ids.agg(F.max("id")).first()[0]
