@@ -1,5 +1,10 @@
 """The stored layout of triples: same solutions as the text form, and stars without a shuffle."""
 
+import time
+from functools import reduce
+from pathlib import Path
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +12,7 @@ from graphloom.operators import pattern as pt
 from graphloom.operators.numbering import numbered, written
 from graphloom.sources import store as st
 from graphloom.sources.relational import triples
+from graphloom.sources.shared import shared_folder
 
 SF = "/root/testdata/sf0.001"
 STAR = (("placedBy", "?customer"), ("date", "?date"), ("total", "?total"), ("status", "?status"))
@@ -156,3 +162,56 @@ def test_frequent_terms_are_not_shuffled_and_any_join_gives_the_same(spark, view
     same(store.triples().select(*view.columns), view)
     ids = store.terms()
     assert ids.count() == ids.select("text").distinct().count() == ids.agg(F.max("id")).first()[0]
+
+
+def test_only_the_store_stays_on_disk(spark, view, tmp_path):
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {x for x in disk.getAllFiles().mkString("\n").splitlines() if "/shuffle_" in x}
+
+    tables, shuffled, settings = set(shared.glob("graphloom-*")), shuffles(), {name: spark.conf.get(name) for name in st._SETTINGS}
+    store = st.TripleStore.create(view.where("p <> 'status'"), str(tmp_path / "small"), 4)
+    store.append(view.where("p = 'status'"))
+    assert set(shared.glob("graphloom-*")) == tables
+    for _ in range(50):  # they go in the background
+        if shuffles() <= shuffled:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= shuffled
+    assert {name: spark.conf.get(name) for name in st._SETTINGS} == settings
+    for table in st._TABLES:
+        for f in (tmp_path / "small" / table).glob("*.parquet"):
+            assert pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD"
+    same(store.triples().select(*view.columns), view)
+
+
+def test_slices_give_the_same(spark, view, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "SLICE_ROWS", 5000)
+    monkeypatch.setattr(st, "MOST_SLICES", 4)
+    monkeypatch.setattr(st, "HEAVY_ROWS", 1000)
+    lines = view.where("p IN ('ofOrder', 'ofPart', 'rdf:type')")
+    heavy = spark.range(2000).select(F.lit("order/1").alias("s"), F.lit("ofPart").alias("p"), F.concat(F.lit("x"), "id").alias("o"), *(F.lit(v).cast("string").alias(c) for c, v in (("o_kind", "uri"), ("o_dt", None), ("o_lang", None))))
+    first = lines.unionAll(heavy)
+    second = view.where("p NOT IN ('ofOrder', 'ofPart', 'rdf:type')")
+    store = st.TripleStore.create(first, str(tmp_path / "slices"), 6)
+    assert store._read("heavy_s").count() >= 2000
+    same(store.triples().select(*view.columns), first)
+    assert len(list((tmp_path / "slices" / "by_o").glob("*.parquet"))) == 6  # parts of the buckets, not of a bucket
+    store.append(second)
+    same(store.triples().select(*view.columns), first.unionAll(second))
+    other = reduce(type(view).unionAll, store._branches("o")).drop("batch")
+    same(store.texts(other, "s", "o").select(*view.columns), first.unionAll(second))
+    ids = store.terms()
+    assert ids.count() == ids.select("text").distinct().count() == ids.agg(F.max("id")).first()[0]
+
+
+def test_a_batch_that_broke_off_early_can_come_again(spark, view, tmp_path, monkeypatch):
+    store = st.TripleStore.create(view.where("p = 'date'"), str(tmp_path / "early"), 4)
+    with monkeypatch.context() as m:
+        m.setattr(store, "_looked_up", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            store.append(view.where("p = 'status'"))
+    store.append(view.where("p = 'status'"))
+    same(store.triples().select(*view.columns), view.where("p IN ('date', 'status')"))
